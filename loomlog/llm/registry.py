@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .langid import op7_language_id
 from .mixing import OP5_SQL, op5_fair_queue_mix
+from .simhash import op1_simhash_near_dedup
 
 QUERIES = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op5_fair_queue_mix": op5_fair_queue_mix,
+    "op7_language_id": op7_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
