@@ -52,12 +52,11 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ca
         table = docs.sparkSession.createDataFrame([(h, -(-n // limit)) for h, n in heavy], "__h long, __salts long")
         spread = F.pmod(F.xxhash64("__id", "__len"), F.col("__salts"))
         rows = rows.withColumn("__h", F.xxhash64("__norm")).join(F.broadcast(table), "__h", "left").withColumn("__salt", F.coalesce(spread, F.lit(-1).cast("long"))).drop("__h", "__salts")
-    else:
-        rows = rows.withColumn("__salt", F.lit(-1).cast("long"))
-    run = W.partitionBy("__norm", "__salt")
+    keys = ["__norm", "__salt"] if heavy else ["__norm"]
+    run = W.partitionBy(*keys)
     best = run.orderBy(F.desc("__len"), F.asc_nulls_last("__id"))
     local = (
-        rows.repartitionByRange(n_parts, "__norm", "__salt")
+        rows.repartitionByRange(n_parts, *keys)
         .withColumn("__keep", F.first("__id").over(best))
         .withColumn("__rank", F.row_number().over(best))
         .withColumn("__size", F.count(F.lit(1)).over(run))
