@@ -32,7 +32,7 @@ def heavy_texts(docs: DataFrame, text: str, limit: int) -> DataFrame:
     return docs.groupBy(F.xxhash64(normalise(F.col(text))).alias("__h")).agg(F.count("*").alias("__n")).filter(F.col("__n") > limit)
 
 
-def content_sort(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: list[str] | None = None, min_run: int = 2000) -> DataFrame:
+def content_sort(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: list[str] | None = None, min_run: int = 200) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256 and the ``carry`` columns.
 
     A text counts as heavy when it has more rows than ``min_run`` and than a quarter of an even
