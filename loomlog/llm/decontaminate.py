@@ -75,7 +75,7 @@ class Index:
     slack: float = 0.0  #: what terms left out of the first pass can add to any segment's bound
 
 
-def build(items: list[tuple[int, str]], threshold: float, segment: int = 40, block: int = 8, left_out: float = 0.3, k1: float = 1.2, b: float = 0.75) -> Index:
+def build(items: list[tuple[int, str]], threshold: float, segment: int = 40, block: int = 8, left_out: float = 0.4, k1: float = 1.2, b: float = 0.75) -> Index:
     ix = Index(threshold, block, [])
     segments: list[list[str]] = []
     for item_id, text in items:

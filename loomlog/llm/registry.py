@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op3_benchmark_decontamination
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .langid import op7_language_id
 from .mixing import OP5_SQL, op5_fair_queue_mix
@@ -9,6 +10,7 @@ from .simhash import op1_simhash_near_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_fair_queue_mix": op5_fair_queue_mix,
     "op7_language_id": op7_language_id,
     "op10_exact_dedup": op10_exact_dedup,

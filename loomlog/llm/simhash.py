@@ -34,23 +34,36 @@ SEED = 42
 BLOCK = 1 << 16  #: shingles hashed at once, so that a very long text needs bounded memory
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """64-bit SimHash of the text's word shingles: XXH64 (seed 42) of each, a bit is set if it is in over half."""
+def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of the text's word shingles, repeats included, block by block; nothing for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     flat = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    last = ends[width - 1 :] if len(words) >= width else ends[-1:]
-    n, digest, ones = len(last), xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, n, BLOCK):
+    last, digest = ends[width - 1 :] if len(words) >= width else ends[-1:], xxhash.xxh64_intdigest
+    for at in range(0, len(last), BLOCK):
         pairs = zip(starts[at : at + BLOCK].tolist(), last[at : at + BLOCK].tolist(), strict=False)
-        h = np.array([digest(flat[a:b], SEED) for a, b in pairs], dtype=np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        yield np.array([digest(flat[a:b], SEED) for a, b in pairs], dtype=np.uint64)
+
+
+def _ones(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """64-bit SimHash of the text's word shingles: a bit is set if it is in over half of the hashes."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for h in shingle_hashes(text, width):
+        n, ones = n + len(h), ones + _ones(h)
+    return _majority(ones, n)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
     """id and fp (the fingerprint's bits as a signed long) of every row."""
 
@@ -80,7 +93,7 @@ def bucket_keys(fp: Column, bits: int, blocks: int) -> Column:
     return F.explode(F.array(*keys))
 
 
-def tree_links(fp: np.ndarray, table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def tree_links(fp: np.ndarray, table: np.ndarray, bits: int, sketch: np.ndarray | None = None, similarity: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what is within ``bits``, as a forest; rows are sorted by table[:, 0]."""
     left = np.arange(len(fp))
     a, b = [], []
@@ -91,6 +104,8 @@ def tree_links(fp: np.ndarray, table: np.ndarray, bits: int) -> tuple[np.ndarray
             near = left[np.searchsorted(table[left, 0], max(0, int(table[x, 0]) - bits)) : np.searchsorted(table[left, 0], int(table[x, 0]) + bits, "right")]
             near = near[(np.abs(table[near].astype(np.int16) - table[x].astype(np.int16)).max(axis=1, initial=0) <= bits)]
             near = near[np.bitwise_count(fp[near] ^ fp[x]) <= bits]
+            if sketch is not None and len(near):
+                near = near[similar(sketch[near], sketch[x]) >= similarity - MARGIN]
             if len(near):
                 a += [x] * len(near)
                 b += near.tolist()
@@ -117,13 +132,22 @@ def _small(fp: np.ndarray, table: np.ndarray, group: np.ndarray, bits: int, most
 def links(nodes: DataFrame, bits: int = 4, blocks: int = 6, n_pivots: int = 16, chunk: int = 4096, small: int = 32) -> DataFrame:
     """Links (a, b) between rows of ``nodes`` (id, fp; fp distinct) within ``bits``: a forest for each task."""
     refs = pivots(n_pivots)
-    rows = nodes.select("id", "fp", F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(refs[0].view(np.int64))))).alias("d0"), bucket_keys(F.col("fp"), bits, blocks).alias("k")).select("id", "fp", "d0", "k.*")
-    # Buckets of one row have no links; large ones are dealt as pairs of chunks.
+    refs = pivots(n_pivots)
+    rows = nodes.select("id", "fp", bucket_keys(F.col("fp"), bits, blocks).alias("k")).select("id", "fp", "k.*")
+    return _compared(_dealt(rows, chunk), refs, bits, small)
+
+
+def _dealt(rows: DataFrame, chunk: int) -> DataFrame:
+    """(id, fp, g): tasks g of the buckets (band, key) that have several rows; large ones are dealt as pairs of chunks."""
     size = rows.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / chunk).cast("int")
-    dealt = rows.join(size, ["band", "key"]).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    dealt = dealt.select("id", "fp", "d0", "band", "key", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("id", "fp", "d0", F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other")).alias("g"))
+    dealt = rows.join(size, ["band", "key"]).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp", "id"), F.col("parts")).cast("int"))
+    dealt = dealt.select("id", "fp", "band", "key", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return dealt.select("id", "fp", F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other")).alias("g"))
+
+
+def _compared(dealt: DataFrame, refs: np.ndarray, bits: int, small: int, similarity: float | None = None) -> DataFrame:
+    """Links (a, b) inside each task g; with ``similarity``, only those whose sketches say so."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -138,19 +162,25 @@ def links(nodes: DataFrame, bits: int = 4, blocks: int = 6, n_pivots: int = 16,
                 continue
             ids, group, fp = batch["id"].to_numpy(), batch["g"].to_numpy(), batch["fp"].to_numpy().view(np.uint64)
             table = np.bitwise_count(fp[:, None] ^ refs[None, :])
+            sketch = None if similarity is None else np.frombuffer(b"".join(batch["sketch"]), np.uint8).reshape(len(batch), -1)
             _, first, count = np.unique(group, return_index=True, return_counts=True)
             few = np.repeat(count <= small, count)
             at = np.flatnonzero(few)
             a, b = _small(fp[at], table[at], group[at], bits, small)
-            found = [(at[a], at[b])]
+            a, b = at[a], at[b]
+            if sketch is not None:
+                ok = similar(sketch[a], sketch[b]) >= similarity - MARGIN
+                a, b = a[ok], b[ok]
+            found = [(a, b)]
             for f, n in zip(first[count > small], count[count > small], strict=True):
-                a, b = tree_links(fp[f : f + n], table[f : f + n], bits)
+                a, b = tree_links(fp[f : f + n], table[f : f + n], bits, None if sketch is None else sketch[f : f + n], similarity)
                 found.append((a + f, b + f))
             a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
             if len(a):
                 yield pd.DataFrame({"a": ids[a], "b": ids[b]})
 
-    return dealt.repartition("g").sortWithinPartitions("g", "d0", "fp").mapInPandas(compare, "a long, b long").distinct()
+    d0 = F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(refs[0].view(np.int64)))))
+    return dealt.withColumn("d0", d0).repartition("g").sortWithinPartitions("g", "d0", "fp").mapInPandas(compare, "a long, b long").distinct()
 
 
 def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
@@ -169,6 +199,61 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return own.join(best, own.fp == best.nfp, "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+BINS = 512
+MARGIN = 0.02  #: one standard error of a sketch's similarity, so that pairs at the threshold lean to being found
+
+
+def sketched(docs: DataFrame, id_col: str, text: str, width: int, keys: int) -> DataFrame:
+    """id, fp, mins (``keys`` min-hash values) and sketch (one byte for each of 512 bins) of every row that has words."""
+
+    @F.pandas_udf("fp long, mins array<long>, sketch binary")
+    def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        odd = np.arange(1, 2 * keys, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+        top = np.uint64(2**64 - 1)
+        for batch in texts:
+            out = []
+            for text in batch:
+                n, ones, low, bins = 0, np.zeros(64, np.int64), np.full(keys, top), np.full(BINS, top)
+                for h in shingle_hashes(text, width):
+                    n, ones = n + len(h), ones + _ones(h)
+                    low = np.minimum(low, [np.min((h ^ (h >> np.uint64(31))) * k) for k in odd])
+                    np.minimum.at(bins, (h >> np.uint64(55)).astype(np.int64), h & np.uint64(2**55 - 1))
+                if n:
+                    out.append((int(np.uint64(_majority(ones, n)).view(np.int64)), low.view(np.int64), np.where(bins == top, 0, 1 + (bins >> np.uint64(20)) % np.uint64(255)).astype(np.uint8).tobytes()))
+                else:
+                    out.append((None, None, None))
+            yield pd.DataFrame(out, columns=["fp", "mins", "sketch"])
+
+    return docs.select(F.col(id_col).alias("id"), sketch(F.col(text)).alias("s")).select("id", "s.*").filter("fp IS NOT NULL AND id IS NOT NULL")
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of shingle sets from their sketches (standard error below 0.02 for long texts; 0 marks an empty bin)."""
+    used = np.count_nonzero(a | b, axis=-1)
+    same = np.count_nonzero((a == b) & (a > 0), axis=-1)
+    return (same / np.maximum(used, 1) - 1 / 255) / (1 - 1 / 255)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5, bits: int = 18, keys: int = 5, n_pivots: int = 16, chunk: int = 2048, small: int = 32) -> DataFrame:
+    """(id, component_id) of the rows that have a near copy: shingle sets alike by ``similarity`` or more.
+
+    At a similarity of 0.8 fingerprints lie about 10 of 64 bits apart, up to 18 (0.3 % lie farther), where pieces of a fingerprint no
+    longer make buckets. So the buckets are min-hash values of the shingles: two sets that are alike by 0.8 share
+    none of five with probability 0.0003. Within a bucket pivot tables discard by coordinate difference, Hamming distance
+    and a 512-bin sketch of the shingle set verify the survivors.
+    """
+    own = materialise(sketched(docs, id_col, text, width, keys), "sketches")
+    rows = own.select("id", "fp", F.posexplode("mins").alias("band", "key"))
+    dealt = _dealt(rows, chunk).join(own.select(F.col("id").alias("sid"), F.col("fp").alias("sfp"), "sketch"), (F.col("id") == F.col("sid")) & (F.col("fp") == F.col("sfp"))).drop("sid", "sfp")
+    return components(_compared(dealt, pivots(n_pivots), bits, small, similarity)).withColumnRenamed("component", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one row, that of the smallest id, of each group of near copies."""
+    gone = near_copies(docs, id_col, text, **options).filter("id <> component_id").select(F.col("id").alias("__gone"))
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+
+
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
