@@ -7,11 +7,13 @@ from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .langid import op7_language_id
 from .mixing import OP5_SQL, op5_fair_queue_mix
 from .simhash import op1_simhash_near_dedup
+from .warc import op6_warc_round_trip
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_fair_queue_mix": op5_fair_queue_mix,
+    "op6_warc_round_trip": op6_warc_round_trip,
     "op7_language_id": op7_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
