@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .brown_lm import op9_brown_lm
 from .decontaminate import op3_benchmark_decontamination
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .langid import op7_language_id
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_fair_queue_mix": op5_fair_queue_mix,
     "op6_warc_round_trip": op6_warc_round_trip,
     "op7_language_id": op7_language_id,
+    "op9_brown_lm": op9_brown_lm,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
