@@ -7,12 +7,16 @@ from .decontaminate import op3_benchmark_decontamination
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .langid import op7_language_id
 from .mixing import OP5_SQL, op5_fair_queue_mix
+from .pii import op2_pii_sanitisation
+from .secrets_crf import op4_secret_scan
 from .simhash import op1_simhash_near_dedup
 from .warc import op6_warc_round_trip
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_pii_sanitisation": op2_pii_sanitisation,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_secret_scan": op4_secret_scan,
     "op5_fair_queue_mix": op5_fair_queue_mix,
     "op6_warc_round_trip": op6_warc_round_trip,
     "op7_language_id": op7_language_id,
