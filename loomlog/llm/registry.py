@@ -10,6 +10,7 @@ from .mixing import OP5_SQL, op5_fair_queue_mix
 from .pii import op2_pii_sanitisation
 from .secrets_crf import op4_secret_scan
 from .simhash import op1_simhash_near_dedup
+from .substring_dedup import OP8_SQL, op8_substring_dedup
 from .warc import op6_warc_round_trip
 
 QUERIES = {
@@ -20,11 +21,13 @@ QUERIES = {
     "op5_fair_queue_mix": op5_fair_queue_mix,
     "op6_warc_round_trip": op6_warc_round_trip,
     "op7_language_id": op7_language_id,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_brown_lm": op9_brown_lm,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op5_fair_queue_mix": OP5_SQL,
+    "op8_substring_dedup": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
