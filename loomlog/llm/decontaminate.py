@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, text_batches
 
 WORDS = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -231,6 +231,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     A pair is verified when the question's overlap is at least ``overlap`` and so is the answer's, or when both
     together are: an answer too short to be evidence then counts by its share.
     """
+    text_batches(docs.sparkSession)
     if segment > passage - stride:
         raise ValueError("a segment must fit into some passage whole: segment <= passage - stride")
     spark = docs.sparkSession

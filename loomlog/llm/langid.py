@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, held_out
+from .common import documents, held_out, text_batches
 
 UND = "und"
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -106,6 +106,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
     An n-gram is typical of a language when it occurs ``min_count`` times in its sample and at least ``ratio``
     times as often, per n-gram, as in the language that uses it most.
     """
+    text_batches(labelled.sparkSession)
     if slots & (slots - 1):
         raise ValueError("slots must be a power of two")
     known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())

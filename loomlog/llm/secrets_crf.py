@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, materialise, text_batches
 
 # The base patterns.
 KEYWORD = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -251,6 +251,7 @@ def scan_text(text: str | None, crf: Crf) -> tuple[int, int, int, str, str]:
 
 def scan(docs: DataFrame, crf: Crf, text: str = "text") -> DataFrame:
     """``docs`` with ``secrets``: counts of base findings, their digest, and all spans as a string."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(crf)
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

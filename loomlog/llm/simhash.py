@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, materialise, text_batches
 from .components import components
 
 SEED = 42
@@ -67,6 +67,8 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
     """id and fp (the fingerprint's bits as a signed long) of every row."""
 
+    text_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
@@ -206,6 +208,8 @@ MARGIN = 0.02  #: one standard error of a sketch's similarity, so that pairs at
 def sketched(docs: DataFrame, id_col: str, text: str, width: int, keys: int) -> DataFrame:
     """id, fp, mins (``keys`` min-hash values) and sketch (one byte for each of 512 bins) of every row that has words."""
 
+    text_batches(docs.sparkSession)
+
     @F.pandas_udf("fp long, mins array<long>, sketch binary")
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         odd = np.arange(1, 2 * keys, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, materialise, text_batches
 
 P = 0x9E3779B97F4A7C15
 PI = pow(P, -1, 1 << 64)
@@ -177,6 +177,8 @@ def _split_words(text: str | None) -> list[bytes]:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 35, gram: int = 5, shard: int = 2000) -> DataFrame:
     """(id, key, first, n): n windows from word ``first`` on repeat, in the rows with this id and key (hash of id and text)."""
 
+    text_batches(docs.sparkSession)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 256):

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import shared_dir
+from .common import shared_dir, text_batches
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, content_type string, content_length long, refers_to string, payload_digest string, payload_bytes long, payload binary"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -327,6 +327,7 @@ class WarcDataSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Makes the format ``warc`` known and lets Spark push filters into Python data sources."""
+    text_batches(spark)
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
