@@ -42,22 +42,22 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ca
     n_parts = partitions(docs.sparkSession)
     limit = max(min_run, docs.count() // (4 * n_parts))
     heavy = [(r["__h"], r["__n"]) for r in heavy_texts(docs, text, limit).collect()]
-    rows = docs.select(
-        F.col(id_col).alias("__id"),
-        normalise(F.col(text)).alias("__norm"),
-        F.char_length(F.coalesce(F.col(text), F.lit(""))).alias("__len"),
-        *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("__row")] if carry else []),
-    )
+    norm = normalise(F.col("__row.__text" if carry else "__norm"))
+    size = F.char_length(F.coalesce(F.col(text), F.lit(""))).alias("__len")
+    if carry:  # rows travel whole; their normalised texts are made again behind the exchange
+        rows = docs.select(F.col(id_col).alias("__id"), size, F.struct(F.col(text).alias("__text"), *[F.col(f"`{c}`") for c in carry if c != text]).alias("__row"))
+    else:
+        rows = docs.select(F.col(id_col).alias("__id"), size, normalise(F.col(text)).alias("__norm"))
     if heavy:
         table = docs.sparkSession.createDataFrame([(h, -(-n // limit)) for h, n in heavy], "__h long, __salts long")
         spread = F.pmod(F.xxhash64("__id", "__len"), F.col("__salts"))
-        rows = rows.withColumn("__h", F.xxhash64("__norm")).join(F.broadcast(table), "__h", "left").withColumn("__salt", F.coalesce(spread, F.lit(-1).cast("long"))).drop("__h", "__salts")
+        rows = rows.withColumn("__h", F.xxhash64(norm)).join(F.broadcast(table), "__h", "left").withColumn("__salt", F.coalesce(spread, F.lit(-1).cast("long"))).drop("__h", "__salts")
     keys = ["__norm", "__salt"] if heavy else ["__norm"]
+    ranged = rows.repartitionByRange(n_parts, norm, *keys[1:]).withColumn("__norm", norm) if carry else rows.repartitionByRange(n_parts, *keys)
     run = W.partitionBy(*keys)
     best = run.orderBy(F.desc("__len"), F.asc_nulls_last("__id"))
     local = (
-        rows.repartitionByRange(n_parts, *keys)
-        .withColumn("__keep", F.first("__id").over(best))
+        ranged.withColumn("__keep", F.first("__id").over(best))
         .withColumn("__rank", F.row_number().over(best))
         .withColumn("__size", F.count(F.lit(1)).over(run))
         .withColumn("__sha", F.sha2("__norm", 256))
@@ -83,7 +83,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ca
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    return content_sort(docs, id_col, text, carry=docs.columns).filter("kept").select("__row.*")
+    return content_sort(docs, id_col, text, carry=docs.columns).filter("kept").select(*[F.col("__row.__text" if c == text else f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
