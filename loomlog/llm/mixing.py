@@ -83,14 +83,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     mix_finish. Rows are range-partitioned and sorted by finish time over all sources.
     """
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), F.coalesce(F.col(source), F.lit("")).alias("__src"), word_count(F.col(text)).alias("__size"))
-    queue = fair_queue(docs, id_col, text, source, max_epochs=max_epochs, **options).filter("taken > 0")
-    # Rows that repeat an id in one source with one size are told apart by their order.
-    twin = lambda *c: F.row_number().over(W.partitionBy(*c).orderBy(*c))
-    queue = queue.select(F.col(id_col).alias("q_id"), F.coalesce("source", F.lit("")).alias("q_src"), F.col("size").alias("q_size"), "source_size", "target", "queue_before")
-    queue = queue.withColumn("q_twin", twin("q_id", "q_src", "q_size"))
-    keyed = keyed.withColumn("__twin", twin("__id", "__src", "__size"))
+    queue = fair_queue(docs, id_col, text, source, max_epochs=max_epochs, **options)
+    queue = materialise(queue.select(F.col(id_col).alias("q_id"), F.coalesce("source", F.lit("")).alias("q_src"), F.col("size").alias("q_size"), "source_size", "target", "queue_before", "taken"), "mix-queue")
+    on = F.col("__id").eqNullSafe(F.col("q_id")) & (F.col("__src") == F.col("q_src")) & (F.col("__size") == F.col("q_size"))
+    if queue.groupBy("q_id", "q_src", "q_size").count().filter("count > 1").limit(1).count():
+        # Rows that repeat an id in one source with one size are told apart by their order; the texts move once more for it.
+        twin = lambda *c: F.row_number().over(W.partitionBy(*c).orderBy(*c))
+        queue = queue.withColumn("q_twin", twin("q_id", "q_src", "q_size"))
+        keyed = keyed.withColumn("__twin", twin("__id", "__src", "__size"))
+        on = on & (F.col("__twin") == F.col("q_twin"))
     served = F.array(*[F.struct(F.lit(k + 1).alias("epoch"), _served(k).alias("words"), ((F.col("queue_before") + F.col("source_size") * k + F.col("size")) / F.col("target")).alias("finish")) for k in range(max_epochs)])
-    joined = keyed.join(queue, F.col("__id").eqNullSafe(F.col("q_id")) & (F.col("__src") == F.col("q_src")) & (F.col("__size") == F.col("q_size")) & (F.col("__twin") == F.col("q_twin")))
+    joined = keyed.join(queue.filter("taken > 0"), on)
     taken = joined.withColumn("size", F.col("__size")).withColumn("m", F.explode(F.filter(served, lambda m: m["words"] > 0)))
     whole = F.col(f"__row.`{text}`")
     cut = F.when(F.col("m.words") < F.col("__size"), F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)), F.lit(1), F.col("m.words").cast("int")), " ")).otherwise(whole)
