@@ -129,8 +129,8 @@ def disclosing(docs: DataFrame, terms: DataFrame, found: DataFrame, text: str, d
     pairs = materialise(pairs, "pii-pairs")
     entities = found.select("rid", F.explode("found").alias("m")).select("rid", F.lower("m.v").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("c_e"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)))).alias("w"))
-    wanted = pairs.select(F.col("term").alias("w")).distinct()
-    seen = words.join(wanted, "w", "left_semi").groupBy("w").agg(F.count("*").alias("c_t"))
+    # Counted before the join: a frequent word is one row there, not one for each document.
+    seen = words.groupBy("w").agg(F.count("*").alias("c_t"))
     n = float(max(1, docs.count()))
     pmi = F.log2(F.least(F.col("c_te"), F.col("c_t"), F.col("c_e")) * n / (F.col("c_t") * F.col("c_e")))
     info = F.log2(F.lit(n) / F.col("c_e"))
