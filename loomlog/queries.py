@@ -185,7 +185,7 @@ query("a45_tool_analytics", "SELECT tool, count(*) AS calls FROM (SELECT 'tool'
 # --- derived ----------------------------------------------------------------------------------------------------
 
 query("d01_insights")(lambda spark, d: D.insights((f := fold_of(spark, d)).sessions, f.rolled_models, f.turns, f.prices))
-query("d02_what_if", """SELECT a.family AS source, b.family AS target, round(c, 6) AS cost, round(c * (b.p1 + b.p2) / (p.p1 + p.p2), 6) AS projected, round(c * (b.p1 + b.p2) / (p.p1 + p.p2) - c, 6) AS delta, round((c * (b.p1 + b.p2) / (p.p1 + p.p2) - c) / c * 100, 6) AS delta_pct
+query("d02_what_if", """SELECT a.family AS source, b.family AS target, round(c, 6) AS cost, round(c * (b.p1 + b.p2) / (p.p1 + p.p2), 6) AS projected, round(c * (b.p1 + b.p2) / (p.p1 + p.p2) - c, 6) + 0 AS delta, round((c * (b.p1 + b.p2) / (p.p1 + p.p2) - c) / c * 100, 6) + 0 AS delta_pct
     FROM (SELECT family, round(sum(cost), 6) AS c FROM rm WHERE family <> 'unknown' GROUP BY family HAVING sum(cost) > 0) a JOIN price p ON a.family = p.family JOIN price b ON b.family <> a.family AND b.family <> 'unknown'""")(_m(D.what_if, prices))
 query("d03_project_breakdown", "SELECT pid AS project_id, c AS cost, round(c / sum(c) OVER () * 100, 6) AS cost_share, round(t / sum(t) OVER () * 100, 6) AS token_share FROM (SELECT pid, round(sum(cost), 6) AS c, sum(inp + out)::DOUBLE AS t FROM s GROUP BY pid)")(_s(D.project_breakdown))
 query("d04_timeline_blocks", """SELECT sid AS session_id, pid AS project_id, round(greatest(0, f), 6)::DOUBLE AS start_min, round(greatest(5, least(1440, l) - greatest(0, f)), 6)::DOUBLE AS minutes

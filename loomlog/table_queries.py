@@ -64,7 +64,7 @@ query("p12_project_names", r"""WITH q AS (SELECT DISTINCT p_brand AS b FROM part
     SELECT id, CASE WHEN id LIKE '-C:-%' THEN 'C:\work\' || b WHEN id LIKE '-%' THEN '/home/me/' || b ELSE b END AS path, b AS name FROM i""")(
     lambda s, d: table(s, d, "part").select(F.explode(F.array(F.concat(F.lit("-home-me-"), "p_brand"), F.concat(F.lit("-C:-work-"), "p_brand"), F.col("p_brand"))).alias("id")).distinct().select("id", P.decode_project_id(F.col("id")).alias("path"), P.last_segment(P.decode_project_id(F.col("id"))).alias("name"))
 )
-query("p16_formats", """WITH q AS (SELECT o_orderkey, (o_orderkey * 7919) % 3000000 AS n FROM orders) SELECT o_orderkey, CASE WHEN n >= 1000000 THEN printf('%.1fM', n / 1e6) WHEN n >= 1000 THEN printf('%.1fK', n / 1e3) ELSE n::VARCHAR END AS tokens FROM q""")(
+query("p16_formats", """WITH q AS (SELECT o_orderkey, (o_orderkey * 7919) % 3000000 AS n FROM orders) SELECT o_orderkey, CASE WHEN n >= 1000000 THEN printf('%.1fM', n / 1e6 + CASE WHEN n % 500000 = 250000 THEN 1e-9 ELSE 0 END) WHEN n >= 1000 THEN printf('%.1fK', n / 1e3 + CASE WHEN n % 500 = 250 THEN 1e-9 ELSE 0 END) ELSE n::VARCHAR END AS tokens FROM q""")(
     lambda s, d: table(s, d, "orders").select("o_orderkey", P.format_tokens((F.col("o_orderkey") * 7919) % 3000000).alias("tokens"))
 )
 query("p19_csv_escape", """WITH q AS (SELECT conv_id, turn, text FROM conversations) SELECT conv_id, turn, CASE WHEN contains(text, '"') OR contains(text, ',') OR contains(text, chr(10)) THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS cell FROM q""")(lambda s, d: table(s, d, "conversations").select("conv_id", "turn", P.csv_escape(F.col("text")).alias("cell")))
