@@ -28,7 +28,7 @@ def csv_rows(records: DataFrame) -> DataFrame:
 
 def markdown(records: DataFrame, limit: int = 2000) -> DataFrame:
     """(session_id, document): compaction marks, texts, thinking, tool calls with results cut to ``limit`` characters, in line order."""
-    b = with_results(block_rows(records).filter("kind IN ('user', 'assistant')"))
+    b = with_results(block_rows(records)).filter("kind IN ('user', 'assistant')")  # results stand in carrier rows
     who = F.when(F.col("kind") == "user", "## User\n\n").otherwise("## Assistant\n\n")
     result = F.when(F.col("result").isNotNull(), F.concat(F.when(F.col("result_error"), "\n\nError:\n").otherwise("\n\nResult:\n"), F.substring("result", 1, limit))).otherwise("")
     part = (
