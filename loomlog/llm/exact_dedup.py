@@ -3,6 +3,10 @@
 Sampled splitters range-partition the normalised texts, Spark's external sort puts equal texts
 side by side, and a window compares each full text with its neighbour's.
 
+Spark's range exchange gathers a sample of its keys on the driver, so the keys are bounded: a text's
+first ``head`` characters and, for texts that begin alike, its hash. Equal texts agree in both and meet;
+the sort behind the exchange and the window go by the whole text.
+
 Texts that hold many rows would land in one partition, so their rows get a salt as a second sort
 key (:func:`heavy_texts` counts hashes with map-side combine). The salt only spreads work: the
 first row of each salted run is compared again, full text against full text, and a wrong guess
@@ -32,7 +36,7 @@ def heavy_texts(docs: DataFrame, text: str, limit: int) -> DataFrame:
     return docs.groupBy(F.xxhash64(normalise(F.col(text))).alias("__h")).agg(F.count("*").alias("__n")).filter(F.col("__n") > limit)
 
 
-def content_sort(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: list[str] | None = None, min_run: int = 200) -> DataFrame:
+def content_sort(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: list[str] | None = None, min_run: int = 200, head: int = 64) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256 and the ``carry`` columns.
 
     A text counts as heavy when it has more rows than ``min_run`` and than a quarter of an even
@@ -42,19 +46,21 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ca
     n_parts = partitions(docs.sparkSession)
     limit = max(min_run, docs.count() // (4 * n_parts))
     heavy = [(r["__h"], r["__n"]) for r in heavy_texts(docs, text, limit).collect()]
-    norm = normalise(F.col("__row.__text" if carry else "__norm"))
+    norm = normalise(F.col("__row.__text")) if carry else F.col("__norm")
     size = F.char_length(F.coalesce(F.col(text), F.lit(""))).alias("__len")
     if carry:  # rows travel whole; their normalised texts are made again behind the exchange
         rows = docs.select(F.col(id_col).alias("__id"), size, F.struct(F.col(text).alias("__text"), *[F.col(f"`{c}`") for c in carry if c != text]).alias("__row"))
     else:
         rows = docs.select(F.col(id_col).alias("__id"), size, normalise(F.col(text)).alias("__norm"))
+    rows = rows.withColumn("__begin", F.substring(norm, 1, head)).withColumn("__h", F.xxhash64(norm))
     if heavy:
-        table = docs.sparkSession.createDataFrame([(h, -(-n // limit)) for h, n in heavy], "__h long, __salts long")
+        table = docs.sparkSession.createDataFrame([(h, -(-n // limit)) for h, n in heavy], "__heavy long, __salts long")
         spread = F.pmod(F.xxhash64("__id", "__len"), F.col("__salts"))
-        rows = rows.withColumn("__h", F.xxhash64(norm)).join(F.broadcast(table), "__h", "left").withColumn("__salt", F.coalesce(spread, F.lit(-1).cast("long"))).drop("__h", "__salts")
-    keys = ["__norm", "__salt"] if heavy else ["__norm"]
-    ranged = rows.repartitionByRange(n_parts, norm, *keys[1:]).withColumn("__norm", norm) if carry else rows.repartitionByRange(n_parts, *keys)
-    run = W.partitionBy(*keys)
+        rows = rows.join(F.broadcast(table), F.col("__h") == F.col("__heavy"), "left").withColumn("__salt", F.coalesce(spread, F.lit(-1).cast("long"))).drop("__heavy", "__salts")
+    bounded = ["__begin", "__h", "__salt"] if heavy else ["__begin", "__h"]
+    ranged = rows.repartitionByRange(n_parts, *bounded)
+    ranged = ranged.withColumn("__norm", norm) if carry else ranged
+    run = W.partitionBy(*bounded, "__norm")
     best = run.orderBy(F.desc("__len"), F.asc_nulls_last("__id"))
     local = (
         ranged.withColumn("__keep", F.first("__id").over(best))
