@@ -21,11 +21,10 @@ POOLS = ("input_tokens", "output_tokens", "cache_read", "cache_5m", "cache_1h")
 
 def visible(records: DataFrame) -> DataFrame:
     """Rows of the fold: hidden ones go first, then later lines that repeat a uuid of their session."""
-    seen = records.filter("kind <> 'skip'")
-    again = F.row_number().over(W.partitionBy("project_id", "session_id", "uuid").orderBy("line_no"))
-    keyed = F.coalesce(F.col("uuid"), F.lit("")) != ""
-    # Rows without a uuid are never compared: they must not meet in one group.
-    return seen.filter(keyed).withColumn("__n", again).filter("__n = 1").drop("__n").unionByName(seen.filter(~keyed))
+    # A row without a uuid is a group of its own: it is compared with nothing.
+    same = F.coalesce(F.nullif("uuid", F.lit("")), F.concat(F.lit("\0"), F.col("line_no").cast("string")))
+    again = F.row_number().over(W.partitionBy("project_id", "session_id", "__same").orderBy("line_no"))
+    return records.filter("kind <> 'skip'").withColumn("__same", same).withColumn("__n", again).filter("__n = 1").drop("__n", "__same")
 
 
 def running(rows: DataFrame) -> DataFrame:

@@ -78,6 +78,12 @@ def novel(findings: DataFrame, alerted: DataFrame) -> DataFrame:
     return findings.withColumn("fingerprint", print_).join(alerted.select("fingerprint"), "fingerprint", "left_anti")
 
 
+def turn_at(rows: DataFrame, turns: DataFrame) -> DataFrame:
+    """``rows`` with turn_line, the last turn of their session that has their timestamp."""
+    keys = ["project_id", "session_id", "ts"]
+    return rows.join(turns.groupBy(*keys).agg(F.max("line_no").alias("turn_line")), keys, "left")
+
+
 def with_tags(sessions: DataFrame, stored: DataFrame) -> DataFrame:
     """Automatic and stored tags together, each once."""
     t = stored.select(F.col("session_id").alias("__s"), F.col("tags").alias("__t"))

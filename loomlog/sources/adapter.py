@@ -32,4 +32,5 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("kind") == "boundary", F.floor(F.col("value") * 300).cast("long")).alias("pre_tokens"),
     )
     order = W.partitionBy("project_id", "session_id", "agent_id").orderBy("ts", "event_id")
-    return r.withColumn("line_no", F.row_number().over(order).cast("long")).drop("event_id")
+    # Dealt by session once; the windows, sums and joins of the fold keep to it.
+    return r.repartition("project_id", "session_id").withColumn("line_no", F.row_number().over(order).cast("long")).drop("event_id")

@@ -76,9 +76,9 @@ query("p21_entropy", """WITH q AS (SELECT DISTINCT p_name FROM part), c AS (SELE
     SELECT p_name, round(-sum(k::DOUBLE / length(p_name) * log2(k::DOUBLE / length(p_name))), 6) + 0 AS entropy, count(*) AS unique_chars FROM n GROUP BY p_name""")(
     lambda s, d: table(s, d, "part").select("p_name").distinct().select("p_name", F.round(P.entropy(F.col("p_name")), 6).alias("entropy"), P.unique_chars(F.col("p_name")).cast("long").alias("unique_chars"))
 )
-query("p23_user_tags", r"""WITH q AS (SELECT conv_id, turn, '<system-reminder>' || role || '</system-reminder> ' || text AS t FROM conversations WHERE turn = 0)
-    SELECT conv_id, 'System reminder' AS label, 'reminder' AS kind, regexp_extract(t, '<system-reminder>(.*?)</system-reminder>', 1) AS content FROM q""")(
-    lambda s, d: table(s, d, "conversations").filter("turn = 0").select("conv_id", F.explode(P.user_tags(F.concat(F.lit("<system-reminder>"), "role", F.lit("</system-reminder> "), "text"))).alias("t")).select("conv_id", "t.label", "t.kind", "t.content")
+query("p23_user_tags", r"""WITH q AS (SELECT conv_id, turn, '<system-reminder>' || role || '</system-reminder> ' || text AS t FROM conversations)
+    SELECT conv_id, turn, 'System reminder' AS label, 'reminder' AS kind, regexp_extract(t, '<system-reminder>(.*?)</system-reminder>', 1) AS content FROM q""")(
+    lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.explode(P.user_tags(F.concat(F.lit("<system-reminder>"), "role", F.lit("</system-reminder> "), "text"))).alias("t")).select("conv_id", "turn", "t.label", "t.kind", "t.content")
 )
 query("p26_token_estimate", "WITH q AS (SELECT conv_id, turn, text FROM conversations) SELECT conv_id, turn, ceil(length(text) / 4)::BIGINT AS tokens FROM q")(lambda s, d: table(s, d, "conversations").select("conv_id", "turn", P.token_estimate(F.col("text")).alias("tokens")))
 query("p30_labels", "SELECT sid AS session_id, line AS line_no, CASE WHEN d < 5000 THEN 'green' WHEN d < 60000 THEN 'yellow' ELSE 'red' END AS badge FROM turns")(lambda s, d: fold_of(s, d).turns.select("session_id", "line_no", P.latency_badge(F.col("duration_ms")).alias("badge")))
@@ -107,7 +107,7 @@ query("j12_project_semi", "WITH k AS (SELECT s_nationkey FROM supplier WHERE s_a
 query("j13_novel_findings", "WITH f AS (SELECT DISTINCT event_type AS check_id, user_id::VARCHAR AS masked FROM events), old AS (SELECT DISTINCT event_type || ':' || user_id AS fingerprint FROM events WHERE event_id % 3 = 0) SELECT check_id, masked FROM f WHERE check_id || ':' || masked NOT IN (SELECT fingerprint FROM old)")(
     lambda s, d: X.novel(table(s, d, "events").select(F.col("event_type").alias("check_id"), F.col("user_id").cast("string").alias("masked")).distinct(), table(s, d, "events").filter("event_id % 3 = 0").select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("fingerprint")).distinct()).select("check_id", "masked")
 )
-query("j16_import_closure", """WITH RECURSIVE ed AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 1), c AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT root, dst, depth + 1 FROM c JOIN ed ON src = node WHERE depth < 10) SELECT root, node, depth FROM c""")(
+query("j16_import_closure", """WITH RECURSIVE ed AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 1), c AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS depth FROM part UNION ALL SELECT root, dst, depth + 1 FROM c JOIN ed ON src = node WHERE depth < 10) SELECT root, node, depth FROM c""")(
     lambda s, d: _closure(s, d)
 )
 
@@ -116,7 +116,7 @@ def _closure(s, d):
     if s.sparkContext.getCheckpointDir() is None:
         _checkpoints(s)
     part = table(s, d, "part")
-    return X.import_depths(part.filter("p_partkey > 1").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst")), part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("node")))
+    return X.import_depths(part.filter("p_partkey > 1").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst")), part.select(F.col("p_partkey").alias("node")))
 
 
 def _checkpoints(s) -> None:
@@ -149,8 +149,8 @@ def bodies(s, d):
 query("l01_instruction_rules", r"""WITH q AS (SELECT doc_id::VARCHAR AS path, text AS t, len(string_split(text, chr(10))) AS n, ceil(length(text) / 4) AS k, len(regexp_extract_all(text, '\*\.[A-Za-z0-9]+')) AS g FROM documents)
     SELECT path, 'CMD001' AS check_id, 'error' AS severity FROM q WHERE n > 200 UNION ALL SELECT path, 'CMD002', 'warning' FROM q WHERE n > 100 UNION ALL SELECT path, 'CMD003', 'info' FROM q WHERE g >= 3
     UNION ALL SELECT path, 'XCT001', 'warning' FROM q WHERE k > 2500 UNION ALL SELECT path, 'XCT002', 'error' FROM q WHERE k > 5000""")(lambda s, d: L.instructions(bodies(s, d)).select("path", "check_id", "severity"))
-query("l07_skill_rules", "WITH q AS (SELECT doc_id::VARCHAR AS path, len(string_split(text, chr(10))) AS n FROM documents) SELECT path, 'SKL002' AS check_id FROM q UNION ALL SELECT path, 'SKL003' FROM q")(
-    lambda s, d: L.skills(bodies(s, d).withColumn("content", F.substring("content", 1, 400))).select("path", "check_id")
+query("l07_skill_rules", "WITH q AS (SELECT doc_id::VARCHAR AS path, len(string_split(text, chr(10))) AS n FROM documents) SELECT path, 'SKL002' AS check_id FROM q UNION ALL SELECT path, 'SKL003' FROM q UNION ALL SELECT path, 'SKL012' FROM q WHERE n > 500")(
+    lambda s, d: L.skills(bodies(s, d)).select("path", "check_id")
 )
 query("l10_session_rules", """SELECT CASE WHEN cost > 25 THEN 'SES001' WHEN inp + out > 2000000 THEN 'SES003' WHEN compactions >= 5 THEN 'SES002' WHEN has_error THEN 'SES005' WHEN gap THEN 'SES006' END AS check_id, sid AS path FROM s
     WHERE epoch_ms(TIMESTAMP '2024-01-30 12:00:00') - last_ms <= 7 * 86400000 AND (cost > 25 OR inp + out > 2000000 OR compactions >= 5 OR has_error OR gap) ORDER BY sid LIMIT 10""")(lambda s, d: L.sessions(fold_of(s, d).sessions, NOW).select("check_id", "path"))
