@@ -115,8 +115,8 @@ class Fold:
         base = child.groupBy(*keys).agg(F.sum(F.when(F.col("kind").isin("user", "assistant"), 1).otherwise(0)).alias("message_count"), F.min_by("ts", stamped).alias("first_ts"), F.max_by("ts", stamped).alias("last_ts"))
         # Of models that tie, the one that reached the count first: its last turn is the earliest.
         best = F.max_by("model", F.when(F.col("model").isNotNull(), F.struct("turn_count", -F.col("last_line"))))
-        sums = self.subagent_models.groupBy(*keys).agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("cost").alias("cost"), best.alias("primary_model"))
-        zero = {"input_tokens": 0, "output_tokens": 0, "cost": 0.0}
+        sums = self.subagent_models.groupBy(*keys).agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("cost").alias("cost"), *[F.sum(F.when(F.col("model").isNotNull(), F.col(c))).alias(c) for c in ("cache_5m", "cache_1h")], best.alias("primary_model"))
+        zero = {"input_tokens": 0, "output_tokens": 0, "cost": 0.0, "cache_5m": 0, "cache_1h": 0}
         return base.filter("message_count > 0").join(sums, keys, "left").fillna(zero)
 
     @cached_property
@@ -155,9 +155,8 @@ class Fold:
         """One row per session. Children add tokens in and out, cache writes, cost and messages, but not cache reads."""
         keys = ["project_id", "session_id"]
         own = self.session_models.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in (*POOLS, "cost")], F.max_by("model", F.struct("turn_count", -F.col("first_line"))).alias("primary_model"))
-        child_models = self.subagent_models.filter("model IS NOT NULL").groupBy(*keys).agg(F.sum("cache_5m").alias("s_5m"), F.sum("cache_1h").alias("s_1h"))
-        child = self.subagents.groupBy(*keys).agg(F.sum("input_tokens").alias("s_in"), F.sum("output_tokens").alias("s_out"), F.sum("cost").alias("subagent_cost"), F.sum("message_count").alias("s_msgs"), F.count("*").alias("n_subagents"))
-        s = self._sessions_base.join(own, keys, "left").join(child, keys, "left").join(child_models, keys, "left")
+        child = self.subagents.groupBy(*keys).agg(F.sum("input_tokens").alias("s_in"), F.sum("output_tokens").alias("s_out"), F.sum("cost").alias("subagent_cost"), F.sum("message_count").alias("s_msgs"), F.sum("cache_5m").alias("s_5m"), F.sum("cache_1h").alias("s_1h"), F.count("*").alias("n_subagents"))
+        s = self._sessions_base.join(own, keys, "left").join(child, keys, "left")
         zero = lambda c: F.coalesce(c, F.lit(0))
         plus = lambda a, b: (zero(a) + zero(b)).alias(a)
         kept = [c for c in self._sessions_base.columns if c not in ("slug", "cwd")]
