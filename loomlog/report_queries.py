@@ -59,7 +59,7 @@ query("a06_cache_savings", "SELECT round(sum(cr) / 1e6 * 2.7, 6) AS savings, rou
 query("a14_compaction_cost_avoided", "SELECT round(sum(CASE WHEN compactions > 0 THEN removed / 1e6 * p1 ELSE 0 END), 6) AS cost_avoided FROM sr")(lambda s, d: R.compaction_summary(fold_of(s, d).sessions, _prices(s)).select("cost_avoided"))
 query("a27_session_severity", "SELECT severity, count(*) AS sessions FROM fs GROUP BY severity")(lambda s, d: R.flagged(fold_of(s, d).sessions, NOW).groupBy("severity").agg(F.count("*").alias("sessions")))
 query("a35_project_share", "SELECT pid AS project_id, round(t / sum(t) OVER () * 100, 6) AS token_share FROM (SELECT pid, sum(inp + out)::DOUBLE AS t FROM s GROUP BY pid)")(lambda s, d: D.project_breakdown(fold_of(s, d).sessions).select("project_id", "token_share"))
-query("a39_compaction_impact", "SELECT round(coalesce((p - n) / nullif(n, 0), 0), 6) * 100 AS impact_pct FROM (SELECT coalesce(avg(d) FILTER (post), 0) AS p, coalesce(avg(d) FILTER (NOT post), 0) AS n FROM turns)")(lambda s, d: R.post_vs_normal(fold_of(s, d).turns).select("impact_pct"))
+query("a39_compaction_impact", "SELECT round(coalesce((p - n) / nullif(n, 0), 0) * 100, 6) AS impact_pct FROM (SELECT coalesce(avg(d) FILTER (post), 0) AS p, coalesce(avg(d) FILTER (NOT post), 0) AS n FROM turns)")(lambda s, d: R.post_vs_normal(fold_of(s, d).turns).select("impact_pct"))
 query("a40_cache_savings_pct", "SELECT floor(v / (c + v) * 100 + 0.5)::BIGINT AS savings_pct FROM (SELECT sum(cr) / 1e6 * 2.7 AS v, sum(cost) AS c FROM s)")(lambda s, d: R.cache_totals(fold_of(s, d).sessions, _prices(s)).select(F.col("savings_pct").cast("long")))
 
 
@@ -119,11 +119,11 @@ query("p32_model_label", "SELECT family, CASE WHEN family = 'unknown' THEN 'Clau
 # --- joins ------------------------------------------------------------------------------------------------------
 
 
-@query("j03_tool_results", "WITH q AS (SELECT l_orderkey, arg_max(l_returnflag, l_linenumber) AS result FROM lineitem GROUP BY l_orderkey) SELECT o_orderkey AS id, result FROM orders LEFT JOIN q ON l_orderkey = o_orderkey")
+@query("j03_tool_results", "WITH q AS (SELECT l_orderkey, arg_max(l_returnflag, l_linenumber * 1000 + ascii(l_returnflag)) AS result FROM lineitem GROUP BY l_orderkey) SELECT o_orderkey AS id, result FROM orders LEFT JOIN q ON l_orderkey = o_orderkey")
 def j03(s, d):
     key = lambda c: (F.col(c) % 100).cast("string")
     calls = table(s, d, "orders").select(key("o_orderkey").alias("session_id"), F.lit(0).cast("long").alias("line_no"), F.lit(0).alias("pos"), F.lit("tool_use").alias("type"), F.col("o_orderkey").cast("string").alias("id"))
-    results = table(s, d, "lineitem").select(key("l_orderkey").alias("session_id"), F.col("l_linenumber").cast("long").alias("line_no"), F.lit(0).alias("pos"), F.lit("tool_result").alias("type"), F.col("l_orderkey").cast("string").alias("tool_use_id"), F.col("l_returnflag").alias("content"), F.lit(False).alias("is_error"))
+    results = table(s, d, "lineitem").select(key("l_orderkey").alias("session_id"), F.col("l_linenumber").cast("long").alias("line_no"), F.ascii("l_returnflag").alias("pos"), F.lit("tool_result").alias("type"), F.col("l_orderkey").cast("string").alias("tool_use_id"), F.col("l_returnflag").alias("content"), F.lit(False).alias("is_error"))
     return X.with_results(calls.unionByName(results, allowMissingColumns=True)).filter("type = 'tool_use'").select(F.col("id").cast("long"), "result")
 
 
