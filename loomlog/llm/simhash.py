@@ -205,25 +205,45 @@ BINS = 512
 MARGIN = 0.02  #: one standard error of a sketch's similarity, so that pairs at the threshold lean to being found
 
 
-def sketched(docs: DataFrame, id_col: str, text: str, width: int, keys: int) -> DataFrame:
-    """id, fp, mins (``keys`` min-hash values) and sketch (one byte for each of 512 bins) of every row that has words."""
+def min_hashes(h: np.ndarray, count: int) -> np.ndarray:
+    """``count`` minima of ``h``, each under a hash of its own: xor with a seed, then a mixer that is not linear, so that no order follows from another."""
+    z = np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    low = np.full(count, np.uint64(2**64 - 1))
+    for at in range(0, len(h), 4096):
+        x = (h[None, at : at + 4096] ^ z[:, None]) * np.uint64(0xFF51AFD7ED558CCD)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xC4CEB9FE1A85EC53)
+        x ^= x >> np.uint64(29)
+        low = np.minimum(low, x.min(axis=1))
+    return low
+
+
+def band_keys(low: np.ndarray) -> np.ndarray:
+    """One value for each two of the minima."""
+    a, b = low[::2], low[1::2]
+    return (a ^ (a >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + b
+
+
+def sketched(docs: DataFrame, id_col: str, text: str, width: int, bands: int) -> DataFrame:
+    """id, fp, mins (``bands`` values of two minima each) and sketch (one byte for each of 512 bins) of every row that has words."""
 
     text_batches(docs.sparkSession)
 
     @F.pandas_udf("fp long, mins array<long>, sketch binary")
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        odd = np.arange(1, 2 * keys, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
         top = np.uint64(2**64 - 1)
         for batch in texts:
             out = []
             for text in batch:
-                n, ones, low, bins = 0, np.zeros(64, np.int64), np.full(keys, top), np.full(BINS, top)
+                n, ones, low, bins = 0, np.zeros(64, np.int64), np.full(2 * bands, top), np.full(BINS, top)
                 for h in shingle_hashes(text, width):
                     n, ones = n + len(h), ones + _ones(h)
-                    low = np.minimum(low, [np.min((h ^ (h >> np.uint64(31))) * k) for k in odd])
+                    low = np.minimum(low, min_hashes(h, 2 * bands))
                     np.minimum.at(bins, (h >> np.uint64(55)).astype(np.int64), h & np.uint64(2**55 - 1))
                 if n:
-                    out.append((int(np.uint64(_majority(ones, n)).view(np.int64)), low.view(np.int64), np.where(bins == top, 0, 1 + (bins >> np.uint64(20)) % np.uint64(255)).astype(np.uint8).tobytes()))
+                    out.append((int(np.uint64(_majority(ones, n)).view(np.int64)), band_keys(low).view(np.int64), np.where(bins == top, 0, 1 + (bins >> np.uint64(20)) % np.uint64(255)).astype(np.uint8).tobytes()))
                 else:
                     out.append((None, None, None))
             yield pd.DataFrame(out, columns=["fp", "mins", "sketch"])
@@ -238,15 +258,15 @@ def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same / np.maximum(used, 1) - 1 / 255) / (1 - 1 / 255)
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5, bits: int = 18, keys: int = 5, n_pivots: int = 16, chunk: int = 2048, small: int = 32) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5, bits: int = 18, bands: int = 26, n_pivots: int = 16, chunk: int = 2048, small: int = 32) -> DataFrame:
     """(id, component_id) of the rows that have a near copy: shingle sets alike by ``similarity`` or more.
 
     At a similarity of 0.8 fingerprints lie about 10 of 64 bits apart, up to 18 (0.3 % lie farther), where pieces of a fingerprint no
-    longer make buckets. So the buckets are min-hash values of the shingles: two sets that are alike by 0.8 share
-    none of five with probability 0.0003. Within a bucket pivot tables discard by coordinate difference, Hamming distance
+    longer make buckets. So the buckets are pairs of independent min-hash values of the shingles: two sets that are alike by 0.8
+    share none of 26 pairs with probability (1 - 0.64) ** 26 = 3e-12. Within a bucket pivot tables discard by coordinate difference, Hamming distance
     and a 512-bin sketch of the shingle set verify the survivors.
     """
-    own = materialise(sketched(docs, id_col, text, width, keys), "sketches")
+    own = materialise(sketched(docs, id_col, text, width, bands), "sketches")
     rows = own.select("id", "fp", F.posexplode("mins").alias("band", "key"))
     dealt = _dealt(rows, chunk).join(own.select(F.col("id").alias("sid"), F.col("fp").alias("sfp"), "sketch"), (F.col("id") == F.col("sid")) & (F.col("fp") == F.col("sfp"))).drop("sid", "sfp")
     return components(_compared(dealt, pivots(n_pivots), bits, small, similarity)).withColumnRenamed("component", "component_id")

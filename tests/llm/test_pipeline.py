@@ -7,7 +7,9 @@ from collections import Counter, defaultdict
 
 import compare
 import corpus_pipeline
+import numpy as np
 import pytest
+from loomlog.llm import simhash
 from loomlog.llm.common import documents, materialise
 from loomlog.llm.decontaminate import words_of
 from loomlog.llm.mixing import OP5_SQL
@@ -63,6 +65,18 @@ def test_near_duplicates(kept):
         assert [j for j in near(i) if alike(i, j) >= 0.7]
 
 
+def test_min_hashes_are_independent():
+    r = np.random.default_rng(1)
+    sets = r.integers(0, 2**64, (400, 100), np.uint64)
+    alone = [np.stack([simhash.min_hashes(s[i : i + 1], 5) for i in range(100)]) for s in sets]
+    assert np.mean([len(set(one.argmin(axis=0).tolist())) == 5 for one in alone]) > 0.85  # 0.90 if independent
+    missed = 0
+    for s in r.integers(0, 2**64, (3000, 100), np.uint64):  # alike by 0.8
+        a, b = simhash.band_keys(simhash.min_hashes(s[:90], 52)), simhash.band_keys(simhash.min_hashes(s[10:], 52))
+        missed += not (a == b).any()
+    assert missed == 0
+
+
 def test_benchmark_leaks(spark, kept, corpus):
     items = [" " + " ".join(words_of(r.text)) + " " for r in spark.read.parquet(f"{corpus}/benchmark.parquet").collect()]
     left = {r.doc_id for r in kept["benchmark_leaks"]}
