@@ -18,7 +18,7 @@ repeat an id or a fingerprint are one node; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -95,27 +95,34 @@ def bucket_keys(fp: Column, bits: int, blocks: int) -> Column:
     return F.explode(F.array(*keys))
 
 
-def tree_links(fp: np.ndarray, table: np.ndarray, bits: int, sketch: np.ndarray | None = None, similarity: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is within ``bits``, as a forest; rows are sorted by table[:, 0]."""
-    left = np.arange(len(fp))
+def forest(count: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect rows 0 to ``count`` where ``near`` (a row, the rows left) finds them, as a forest."""
+    left = np.arange(count)
     a, b = [], []
     while len(left):
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             x = todo.pop()
-            near = left[np.searchsorted(table[left, 0], max(0, int(table[x, 0]) - bits)) : np.searchsorted(table[left, 0], int(table[x, 0]) + bits, "right")]
-            near = near[(np.abs(table[near].astype(np.int16) - table[x].astype(np.int16)).max(axis=1, initial=0) <= bits)]
-            near = near[np.bitwise_count(fp[near] ^ fp[x]) <= bits]
-            if sketch is not None and len(near):
-                near = near[similar(sketch[near], sketch[x]) >= similarity - MARGIN]
-            if len(near):
-                a += [x] * len(near)
-                b += near.tolist()
-                todo += near.tolist()
-                left = np.setdiff1d(left, near, assume_unique=True)
+            found = near(x, left)
+            if len(found):
+                a += [x] * len(found)
+                b += found.tolist()
+                todo += found.tolist()
+                left = np.setdiff1d(left, found, assume_unique=True)
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
+def tree_links(fp: np.ndarray, table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what is within ``bits``, as a forest; rows are sorted by table[:, 0]."""
+
+    def near(x: int, left: np.ndarray) -> np.ndarray:
+        found = left[np.searchsorted(table[left, 0], max(0, int(table[x, 0]) - bits)) : np.searchsorted(table[left, 0], int(table[x, 0]) + bits, "right")]
+        found = found[(np.abs(table[found].astype(np.int16) - table[x].astype(np.int16)).max(axis=1, initial=0) <= bits)]
+        return found[np.bitwise_count(fp[found] ^ fp[x]) <= bits]
+
+    return forest(len(fp), near)
+
+
 def _small(fp: np.ndarray, table: np.ndarray, group: np.ndarray, bits: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links inside many small groups at once: neighbours at lag 1, 2, ... of rows sorted by group, then table[:, 0]."""
     a, b, at = [], [], np.arange(len(fp))
@@ -139,43 +146,29 @@ def links(nodes: DataFrame, bits: int = 4, blocks: int = 6, n_pivots: int = 16,
     return _compared(_dealt(rows, chunk), refs, bits, small)
 
 
-def _dealt(rows: DataFrame, chunk: int) -> DataFrame:
-    """(id, fp, g): tasks g of the buckets (band, key) that have several rows; large ones are dealt as pairs of chunks."""
+def _dealt(rows: DataFrame, chunk: int, carry: str = "fp") -> DataFrame:
+    """(id, ``carry``, g): tasks g of the buckets (band, key) that have several rows; large ones are dealt as pairs of chunks."""
     size = rows.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / chunk).cast("int")
-    dealt = rows.join(size, ["band", "key"]).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp", "id"), F.col("parts")).cast("int"))
-    dealt = dealt.select("id", "fp", "band", "key", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    return dealt.select("id", "fp", F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other")).alias("g"))
+    dealt = rows.join(size, ["band", "key"]).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64(carry, "id"), F.col("parts")).cast("int"))
+    dealt = dealt.select("id", carry, "band", "key", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return dealt.select("id", carry, F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other")).alias("g"))
 
 
-def _compared(dealt: DataFrame, refs: np.ndarray, bits: int, small: int, similarity: float | None = None) -> DataFrame:
-    """Links (a, b) inside each task g; with ``similarity``, only those whose sketches say so."""
+def _compared(dealt: DataFrame, refs: np.ndarray, bits: int, small: int) -> DataFrame:
+    """Links (a, b) inside each task g."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in _with_end(batches):
-            if batch is not None:
-                batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-                cut = int(np.searchsorted(batch["g"].to_numpy(), batch["g"].iloc[-1]))
-                batch, rest = batch.iloc[:cut], batch.iloc[cut:]
-            else:
-                batch = rest
-            if batch is None or not len(batch):
-                continue
+        for batch in _whole_tasks(batches):
             ids, group, fp = batch["id"].to_numpy(), batch["g"].to_numpy(), batch["fp"].to_numpy().view(np.uint64)
             table = np.bitwise_count(fp[:, None] ^ refs[None, :])
-            sketch = None if similarity is None else np.frombuffer(b"".join(batch["sketch"]), np.uint8).reshape(len(batch), -1)
             _, first, count = np.unique(group, return_index=True, return_counts=True)
             few = np.repeat(count <= small, count)
             at = np.flatnonzero(few)
             a, b = _small(fp[at], table[at], group[at], bits, small)
-            a, b = at[a], at[b]
-            if sketch is not None:
-                ok = similar(sketch[a], sketch[b]) >= similarity - MARGIN
-                a, b = a[ok], b[ok]
-            found = [(a, b)]
+            found = [(at[a], at[b])]
             for f, n in zip(first[count > small], count[count > small], strict=True):
-                a, b = tree_links(fp[f : f + n], table[f : f + n], bits, None if sketch is None else sketch[f : f + n], similarity)
+                a, b = tree_links(fp[f : f + n], table[f : f + n], bits)
                 found.append((a + f, b + f))
             a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
             if len(a):
@@ -185,6 +178,20 @@ def _compared(dealt: DataFrame, refs: np.ndarray, bits: int, small: int, similar
     return dealt.withColumn("d0", d0).repartition("g").sortWithinPartitions("g", "d0", "fp").mapInPandas(compare, "a long, b long").distinct()
 
 
+def _whole_tasks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows, sorted by g, in batches that end where a task g ends."""
+    rest = None
+    for batch in _with_end(batches):
+        if batch is not None:
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            cut = int(np.searchsorted(batch["g"].to_numpy(), batch["g"].iloc[-1]))
+            batch, rest = batch.iloc[:cut], batch.iloc[cut:]
+        else:
+            batch = rest
+        if batch is not None and len(batch):
+            yield batch
+
+
 def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
     for batch in batches:
         if len(batch):
@@ -202,7 +209,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 BINS = 512
-MARGIN = 0.02  #: one standard error of a sketch's similarity, so that pairs at the threshold lean to being found
+WIDE = 0.78  #: one standard error of a sketch under 0.8
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct shingle hashes, sorted."""
+    blocks = list(shingle_hashes(text, width))
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
 
 
 def min_hashes(h: np.ndarray, count: int) -> np.ndarray:
@@ -227,28 +240,29 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, id_col: str, text: str, width: int, bands: int) -> DataFrame:
-    """id, fp, mins (``bands`` values of two minima each) and sketch (one byte for each of 512 bins) of every row that has words."""
+    """id, shingles (how many distinct), mins (``bands`` values of two minima each) and sketch (one byte for each of 512 bins) of every row that has words."""
 
     text_batches(docs.sparkSession)
 
-    @F.pandas_udf("fp long, mins array<long>, sketch binary")
+    @F.pandas_udf("shingles long, mins array<long>, sketch binary")
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         top = np.uint64(2**64 - 1)
         for batch in texts:
             out = []
             for text in batch:
-                n, ones, low, bins = 0, np.zeros(64, np.int64), np.full(2 * bands, top), np.full(BINS, top)
-                for h in shingle_hashes(text, width):
-                    n, ones = n + len(h), ones + _ones(h)
+                low, bins = np.full(2 * bands, top), np.full(BINS, top)
+                distinct = shingle_set(text, width)
+                for at in range(0, len(distinct), BLOCK):
+                    h = distinct[at : at + BLOCK]
                     low = np.minimum(low, min_hashes(h, 2 * bands))
                     np.minimum.at(bins, (h >> np.uint64(55)).astype(np.int64), h & np.uint64(2**55 - 1))
-                if n:
-                    out.append((int(np.uint64(_majority(ones, n)).view(np.int64)), band_keys(low).view(np.int64), np.where(bins == top, 0, 1 + (bins >> np.uint64(20)) % np.uint64(255)).astype(np.uint8).tobytes()))
+                if len(distinct):
+                    out.append((len(distinct), band_keys(low).view(np.int64), np.where(bins == top, 0, 1 + (bins >> np.uint64(20)) % np.uint64(255)).astype(np.uint8).tobytes()))
                 else:
                     out.append((None, None, None))
-            yield pd.DataFrame(out, columns=["fp", "mins", "sketch"])
+            yield pd.DataFrame(out, columns=["shingles", "mins", "sketch"])
 
-    return docs.select(F.col(id_col).alias("id"), sketch(F.col(text)).alias("s")).select("id", "s.*").filter("fp IS NOT NULL AND id IS NOT NULL")
+    return docs.select(F.col(id_col).alias("id"), sketch(F.col(text)).alias("s")).select("id", "s.*").filter("shingles IS NOT NULL AND id IS NOT NULL")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -258,18 +272,52 @@ def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same / np.maximum(used, 1) - 1 / 255) / (1 - 1 / 255)
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5, bits: int = 18, bands: int = 26, n_pivots: int = 16, chunk: int = 2048, small: int = 32) -> DataFrame:
+def _wide_links(dealt: DataFrame, similarity: float, small: int) -> DataFrame:
+    """Links (a, b) inside each task g between rows whose sketches are alike by WIDE and whose sizes allow ``similarity``."""
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _whole_tasks(batches):
+            ids, group, size = batch["id"].to_numpy(), batch["g"].to_numpy(), batch["shingles"].to_numpy()
+            sketch = np.frombuffer(b"".join(batch["sketch"]), np.uint8).reshape(len(batch), -1)
+            _, first, count = np.unique(group, return_index=True, return_counts=True)
+            found, few = [], np.flatnonzero(np.repeat(count <= small, count))
+            # Neighbours at lag 1, 2, ...; sizes rise inside a task, so none is near behind the first that is too large.
+            at = np.arange(len(few))
+            for lag in range(1, small):
+                at = at[at + lag < len(few)]
+                at = at[(group[few[at]] == group[few[at + lag]]) & (size[few[at]] / size[few[at + lag]] >= similarity)]
+                if not len(at):
+                    break
+                near = at[similar(sketch[few[at]], sketch[few[at + lag]]) >= WIDE]
+                found.append((few[near], few[near + lag]))
+            for f, c in zip(first[count > small], count[count > small], strict=True):
+                s, n = sketch[f : f + c], size[f : f + c]
+
+                def near(x: int, left: np.ndarray, s: np.ndarray = s, n: np.ndarray = n) -> np.ndarray:
+                    left = left[np.minimum(n[left], n[x]) / np.maximum(n[left], n[x]) >= similarity]
+                    return left[similar(s[left], s[x]) >= WIDE]
+
+                a, b = forest(c, near)
+                found.append((a + f, b + f))
+            if found:
+                a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+                yield pd.DataFrame({"a": ids[a], "b": ids[b]})
+
+    return dealt.repartition("g").sortWithinPartitions("g", "shingles").mapInPandas(compare, "a long, b long").distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5, bands: int = 26, chunk: int = 2048, small: int = 32) -> DataFrame:
     """(id, component_id) of the rows that have a near copy: shingle sets alike by ``similarity`` or more.
 
-    At a similarity of 0.8 fingerprints lie about 10 of 64 bits apart, up to 18 (0.3 % lie farther), where pieces of a fingerprint no
+    At a similarity of 0.8 fingerprints lie about 10 of 64 bits apart, up to 18 and farther, where pieces of a fingerprint no
     longer make buckets. So the buckets are pairs of independent min-hash values of the shingles: two sets that are alike by 0.8
-    share none of 26 pairs with probability (1 - 0.64) ** 26 = 3e-12. Within a bucket pivot tables discard by coordinate difference, Hamming distance
-    and a 512-bin sketch of the shingle set verify the survivors.
+    share none of 26 pairs with probability (1 - 0.64) ** 26 = 3e-12. Within a bucket a pair is skipped if the sizes of its sets
+    exclude it; a 512-bin sketch decides.
     """
     own = materialise(sketched(docs, id_col, text, width, bands), "sketches")
-    rows = own.select("id", "fp", F.posexplode("mins").alias("band", "key"))
-    dealt = _dealt(rows, chunk).join(own.select(F.col("id").alias("sid"), F.col("fp").alias("sfp"), "sketch"), (F.col("id") == F.col("sid")) & (F.col("fp") == F.col("sfp"))).drop("sid", "sfp")
-    return components(_compared(dealt, pivots(n_pivots), bits, small, similarity)).withColumnRenamed("component", "component_id")
+    rows = own.select("id", "shingles", F.posexplode("mins").alias("band", "key"))
+    dealt = _dealt(rows, chunk, "shingles").join(own.select(F.col("id").alias("sid"), F.col("shingles").alias("sn"), "sketch"), (F.col("id") == F.col("sid")) & (F.col("shingles") == F.col("sn"))).drop("sid", "sn")
+    return components(_wide_links(dealt, similarity, small)).withColumnRenamed("component", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:

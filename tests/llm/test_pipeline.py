@@ -77,6 +77,22 @@ def test_min_hashes_are_independent():
     assert missed == 0
 
 
+def near_pairs(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {tuple(r) for r in simhash.near_copies(docs).collect()}
+
+
+def test_repeated_lines_are_near_copies(spark):
+    r = np.random.default_rng(2)
+    texts, want = [], set()
+    for k in range(60):  # one shingle set twice; the second text repeats a tenth of it 20 times
+        words = [f"w{x}" for x in r.integers(0, 10**6, 100)]
+        part = words[:14] * 20
+        texts += [" ".join(words[:14] * 2 + words), " ".join(part + words)]
+        want |= {(2 * k, 2 * k), (2 * k + 1, 2 * k)}
+    assert near_pairs(spark, texts) == want
+
+
 def test_benchmark_leaks(spark, kept, corpus):
     items = [" " + " ".join(words_of(r.text)) + " " for r in spark.read.parquet(f"{corpus}/benchmark.parquet").collect()]
     left = {r.doc_id for r in kept["benchmark_leaks"]}
