@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 BINS = 512
-WIDE = 0.78  #: one standard error of a sketch under 0.8
+WIDE = 0.65  #: what sketches of a pair alike by 0.8 reach: over eight standard errors lower
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -306,18 +306,58 @@ def _wide_links(dealt: DataFrame, similarity: float, small: int) -> DataFrame:
     return dealt.repartition("g").sortWithinPartitions("g", "shingles").mapInPandas(compare, "a long, b long").distinct()
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5, bands: int = 26, chunk: int = 2048, small: int = 32) -> DataFrame:
+def alike(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the sets alike by ``similarity`` or more, as a forest; shared hashes are counted."""
+    n = np.array([len(s) for s in sets])
+    ends = np.cumsum(n)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    sets, seen = np.split(codes, ends[:-1]), np.zeros(len(codes), bool)
+
+    def near(x: int, left: np.ndarray) -> np.ndarray:
+        left = left[np.minimum(n[left], n[x]) / np.maximum(np.maximum(n[left], n[x]), 1) >= similarity]
+        seen[sets[x]] = True
+        common = np.array([np.count_nonzero(seen[sets[i]]) for i in left], np.int64)
+        seen[sets[x]] = False
+        return left[common / (n[left] + n[x] - common) >= similarity]
+
+    return forest(len(sets), near)
+
+
+def _exact_links(dealt: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Links (a, b) inside each task g between texts whose shingle sets are alike by ``similarity`` or more."""
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _whole_tasks(batches):
+            ids = batch["id"].to_numpy()
+            _, first, count = np.unique(batch["g"].to_numpy(), return_index=True, return_counts=True)
+            for f, c in zip(first, count, strict=True):
+                a, b = alike([shingle_set(t, width) for t in batch["text"].iloc[f : f + c]], similarity)
+                if len(a):
+                    yield pd.DataFrame({"a": ids[a + f], "b": ids[b + f]})
+
+    return dealt.repartition("g").sortWithinPartitions("g").mapInPandas(verify, "a long, b long").distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5, bands: int = 26, chunk: int = 2048, chunk_shingles: int = 1 << 20, small: int = 32) -> DataFrame:
     """(id, component_id) of the rows that have a near copy: shingle sets alike by ``similarity`` or more.
 
     At a similarity of 0.8 fingerprints lie about 10 of 64 bits apart, up to 18 and farther, where pieces of a fingerprint no
     longer make buckets. So the buckets are pairs of independent min-hash values of the shingles: two sets that are alike by 0.8
     share none of 26 pairs with probability (1 - 0.64) ** 26 = 3e-12. Within a bucket a pair is skipped if the sizes of its sets
-    exclude it; a 512-bin sketch decides.
+    exclude it or a 512-bin sketch says less than 0.65. What these links connect is a group; each text of a group is read
+    once more, and links that count are those whose sets, counted out, are alike by ``similarity``. Groups with over ``chunk`` texts or
+    ``chunk_shingles`` shingles are dealt as pairs of chunks.
     """
     own = materialise(sketched(docs, id_col, text, width, bands), "sketches")
     rows = own.select("id", "shingles", F.posexplode("mins").alias("band", "key"))
     dealt = _dealt(rows, chunk, "shingles").join(own.select(F.col("id").alias("sid"), F.col("shingles").alias("sn"), "sketch"), (F.col("id") == F.col("sid")) & (F.col("shingles") == F.col("sn"))).drop("sid", "sn")
-    return components(_wide_links(dealt, similarity, small)).withColumnRenamed("component", "component_id")
+    groups = materialise(components(_wide_links(dealt, similarity, small)).join(own.groupBy("id").agg(F.sum("shingles").alias("shingles")), "id"), "near-groups")
+    size = groups.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("shingles") / chunk_shingles)).cast("int").alias("parts"))
+    split = groups.join(size, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    split = split.select("id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    split = split.select("id", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("g"))
+    texts = docs.select(F.col(id_col).alias("tid"), F.col(text).alias("text")).join(split, F.col("tid") == F.col("id")).select("id", "g", "text")
+    return components(_exact_links(texts, similarity, width)).withColumnRenamed("component", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:

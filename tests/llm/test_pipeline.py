@@ -93,6 +93,19 @@ def test_repeated_lines_are_near_copies(spark):
     assert near_pairs(spark, texts) == want
 
 
+def test_near_copies_at_the_threshold(spark):
+    def pair(k, shared, more):  # sets of shared + more shingles, of which all / shared are common
+        words = [f"w{k}x{i}" for i in range(shared + more + 4)]
+        return [" ".join(words), " ".join(words[: shared + 4])]
+
+    texts, want = [], set()
+    for k in range(100):
+        shared, more = (400, 100) if k % 2 else (79 * 5, 21 * 5)  # 0.80 and 0.79
+        texts += pair(k, shared, more)
+        want |= {(2 * k, 2 * k), (2 * k + 1, 2 * k)} if k % 2 else set()
+    assert near_pairs(spark, texts) == want
+
+
 def test_benchmark_leaks(spark, kept, corpus):
     items = [" " + " ".join(words_of(r.text)) + " " for r in spark.read.parquet(f"{corpus}/benchmark.parquet").collect()]
     left = {r.doc_id for r in kept["benchmark_leaks"]}
