@@ -1,13 +1,13 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
-Four patterns find personal data (email, ip, card, phone). Around each finding, the protected entity, words are
-candidate terms. Corpus co-occurrence says how much a term reveals: with document counts c and N documents,
+Four patterns find personal data (email, ip, card, phone). All words of a document with a finding, the protected
+entity, are candidate terms, wherever they stand outside findings. Corpus co-occurrence says how much a term reveals: with document counts c and N documents,
 
     PMI(t, e) = log2(c(t, e) N / (c(t) c(e)))        IC(e) = log2(N / c(e))
 
 and a term discloses the entity when PMI / IC is at least ``disclosure`` (1: the term occurs with the entity only) and they meet in at
-least ``support`` different contexts, so that copies of one text are no evidence. Such terms are generalised
-in the sanitised text, and removed from ``removal`` on.
+least ``support`` different contexts (one for each document, the surroundings of its first finding of the entity), so that
+copies of one text are no evidence. Such terms are generalised wherever they occur in a document that holds the entity, and removed from ``removal`` on.
 
 Positions come from splitting the text by a pattern: a match starts behind all pieces and matches before it. The
 patterns are the base ones with possessive quantifiers and a start condition, which find the same matches without
@@ -36,7 +36,7 @@ PATTERNS = {
 }
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 TERM = r"(?:\G(?<![\p{L}'-])|(?<![\p{L}'-]))\p{L}[\p{L}'-]{2,}+"
-REACH = 60  #: code points of context on either side of a finding
+REACH = 60  #: code points on either side of a finding that tell contexts apart
 NONE = "array<struct<s:int,e:int,v:string,left:string,right:string>>"
 
 
@@ -111,45 +111,56 @@ def shown(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda m: F.concat_ws(":", m["kind"], m["s"].cast("string"), m["e"].cast("string"))), ",")
 
 
-def context_terms(found: DataFrame) -> DataFrame:
-    """(rid, entity, context, term, s, e): the whole words in the contexts of the findings."""
-    each = found.select("rid", F.explode("found").alias("m")).select("rid", F.lower("m.v").alias("entity"), F.xxhash64("m.left", "m.right").alias("context"), F.col("m.s").alias("ms"), F.col("m.e").alias("me"), "m.left", "m.right")
-    # A word that the reach cuts is left out.
-    left = F.when(F.char_length("left") == REACH, F.regexp_replace("left", r"^\S+", "")).otherwise(F.col("left"))
-    right = F.when(F.char_length("right") == REACH, F.regexp_replace("right", r"\S+$", "")).otherwise(F.col("right"))
-    sides = F.array(F.struct(left.alias("t"), (F.col("ms") - F.char_length(left)).alias("at")), F.struct(right.alias("t"), F.col("me").alias("at")))
-    parts = each.select("rid", "entity", "context", F.explode(sides).alias("x")).withColumn("m", F.explode(matches(F.col("x.t"), TERM)))
-    return parts.select("rid", "entity", "context", F.lower("m.v").alias("term"), (F.col("x.at") + F.col("m.s")).alias("s"), (F.col("x.at") + F.col("m.e")).alias("e"))
+def entities_of(found: DataFrame) -> DataFrame:
+    """(rid, entity, context) of each document and entity in it; context is that of the first finding of the entity."""
+    each = found.select("rid", F.explode("found").alias("m")).select("rid", F.lower("m.v").alias("entity"), F.struct("m.s", F.xxhash64("m.left", "m.right").alias("context")).alias("first"))
+    return each.groupBy("rid", "entity").agg(F.min("first").alias("first")).select("rid", "entity", F.col("first.context").alias("context"))
 
 
-def disclosing(docs: DataFrame, terms: DataFrame, found: DataFrame, text: str, disclosure: float, support: int) -> DataFrame:
+def words_in(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
+def disclosing(docs: DataFrame, held: DataFrame, found: DataFrame, text: str, disclosure: float, support: int) -> DataFrame:
     """(entity, term, ratio) of the terms that disclose an entity; counts run over all documents, each with map-side combine."""
-    met = terms.groupBy("entity", "term", "context", "rid").agg(F.lit(1).alias("one"))
-    pairs = met.groupBy("entity", "term", "context").agg(F.count("*").alias("docs")).groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("docs").alias("c_te")).filter(F.col("contexts") >= support)
-    pairs = materialise(pairs, "pii-pairs")
-    entities = found.select("rid", F.explode("found").alias("m")).select("rid", F.lower("m.v").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("c_e"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)))).alias("w"))
-    # Counted before the join: a frequent word is one row there, not one for each document.
-    seen = words.groupBy("w").agg(F.count("*").alias("c_t"))
     n = float(max(1, docs.count()))
-    pmi = F.log2(F.least(F.col("c_te"), F.col("c_t"), F.col("c_e")) * n / (F.col("c_t") * F.col("c_e")))
+    # Pairs have no more contexts than their entity has.
+    entities = held.groupBy("entity", "context").agg(F.count("*").alias("docs")).groupBy("entity").agg(F.count("*").alias("contexts"), F.sum("docs").alias("c_e"))
+    entities = entities.filter(F.col("contexts") >= support).select("entity", "c_e")
+    # Counted before the join: a frequent word is one row there, not one for each document.
+    seen = docs.select(F.explode(words_in(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("c_t")).filter(F.col("c_t") >= support)
+    # c_te is at most c_e, so the ratio reaches ``disclosure`` only where c_t is at most N^(1 - disclosure) c_e^disclosure.
+    most = F.greatest(F.col("c_e"), F.pow(F.lit(n), F.lit(1 - disclosure)) * F.pow(F.col("c_e"), F.lit(disclosure))) * (1 + 1e-9)
+    likely = materialise(held.join(entities, "entity").withColumn("most", most), "pii-entities")
+    highest = likely.agg(F.max("most")).first()[0] or 0.0
+    # Words inside findings are no evidence: they are the entity itself.
+    bare = F.transform("found", lambda m: F.struct(F.lit("").alias("kind"), m["s"].alias("s"), m["e"].alias("e")))
+    none = F.array().cast("array<struct<kind:string,s:int,e:int,action:string>>")
+    beside = found.join(likely.select("rid").distinct(), "rid", "left_semi").select("rid", F.explode(words_in(sanitised_text(F.col("text"), bare, none))).alias("term"))
+    beside = beside.join(seen.filter(F.col("c_t") <= highest), "term")
+    met = likely.join(beside, "rid").filter(F.col("c_t") <= F.col("most"))
+    pairs = met.groupBy("entity", "term", "context").agg(F.count("*").alias("docs"), F.max("c_e").alias("c_e"), F.max("c_t").alias("c_t"))
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("docs").alias("c_te"), F.max("c_e").alias("c_e"), F.max("c_t").alias("c_t")).filter(F.col("contexts") >= support)
+    pmi = F.log2(F.least("c_te", "c_t", "c_e") * n / (F.col("c_t") * F.col("c_e")))
     info = F.log2(F.lit(n) / F.col("c_e"))
-    rated = pairs.join(entities, "entity").join(seen, F.col("term") == F.col("w")).withColumn("ratio", F.when(info > 0, pmi / info).otherwise(0.0))
-    return rated.filter(F.col("ratio") >= disclosure).select("entity", "term", "ratio")
+    return pairs.withColumn("ratio", F.when(info > 0, pmi / info).otherwise(0.0)).filter(F.col("ratio") >= disclosure).select("entity", "term", "ratio")
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", disclosure: float = 0.8, support: int = 3, removal: float = 0.95) -> DataFrame:
     """Per row: rid (its number), id, found (base findings), terms (spans of disclosing terms with their ratio and action)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias(id_col), findings(F.coalesce(F.col(text), F.lit(""))).alias("found"))
-    found = materialise(rows, "pii-found")
-    terms = context_terms(found)
-    telling = disclosing(docs, terms, found, text, disclosure, support)
-    # A term inside a base finding of any kind is covered already.
-    spans = terms.join(telling, ["entity", "term"]).groupBy("rid", "s", "e").agg(F.max("ratio").alias("ratio"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias(id_col), findings(F.coalesce(F.col(text), F.lit(""))).alias("found"), F.col(text).alias("text"))
+    found = materialise(rows.withColumn("text", F.when(F.size("found") > 0, F.col("text"))), "pii-found")
+    held = entities_of(found)
+    telling = materialise(disclosing(docs, held, found, text, disclosure, support), "pii-pairs")
+    best = held.join(telling, "entity").groupBy("rid", "term").agg(F.max("ratio").alias("ratio"))
+    # Every occurrence of the terms in the documents that hold their entity.
+    places = found.join(best.select("rid").distinct(), "rid", "left_semi").select("rid", F.explode(matches(F.col("text"), TERM)).alias("m")).select("rid", F.lower("m.v").alias("term"), "m.s", "m.e")
+    spans = places.join(best, ["rid", "term"])
     each = F.struct(F.lit("term").alias("kind"), "s", "e", F.when(F.col("ratio") >= removal, "remove").otherwise("generalise").alias("action"))
     spans = spans.groupBy("rid").agg(F.array_sort(F.collect_list(each)).alias("terms")).withColumnRenamed("rid", "trid")
     joined = found.join(spans, F.col("rid") == F.col("trid"), "left")
     none = F.array().cast("array<struct<kind:string,s:int,e:int,action:string>>")
+    # A term inside a base finding of any kind is covered already.
     free = F.filter(F.coalesce("terms", none), lambda t: ~F.exists("found", lambda m: (m["s"] < t["e"]) & (t["s"] < m["e"])))
     return joined.select("rid", F.col(id_col), "found", free.alias("terms"))
 

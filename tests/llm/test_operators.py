@@ -111,6 +111,15 @@ def test_op2_terms_that_disclose_go(spark):
     assert all("write" in r.clean for r in out)
 
 
+def test_op2_terms_far_from_the_entity_go(spark):
+    far = "and so on with the same old words as ever " * 4
+    rows = [(i, f"Mail {i} to q@example.org now. {far} Quillfeather said so, {far} and quillfeather again.") for i in range(4)] + [(100 + i, f"Mail {i} to someone now. {far} He said so again.") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sanitise(docs).join(docs, "doc_id").select("doc_id", sanitised_text(F.col("text"), F.col("found"), F.col("terms")).alias("clean")).collect()
+    assert len(out) == 64 and all("quillfeather" not in r.clean.lower() and "q@example.org" not in r.clean for r in out)
+    assert all("same old words" in r.clean and "said so" in r.clean for r in out)
+
+
 def test_op3(spark, corpus, texts):
     items = {r["item_id"]: words_of(r["text"]) for r in pq.read_table(f"{corpus}/benchmark.parquet").to_pylist()}
     got = {(r.doc_id, r.item_id) for r in registry.QUERIES["op3_benchmark_decontamination"](spark, corpus).collect()}
