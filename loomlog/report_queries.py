@@ -18,7 +18,13 @@ from .sources import incremental as I
 from .sources.adapter import event_records
 from .table_queries import bodies, table
 
-_sessions = lambda *cols: lambda s, d: fold_of(s, d).sessions.select(*cols)
+
+
+def _sessions(*cols):
+    """The sessions' columns ``cols``; a column that is computed comes as a function, since columns need a running session."""
+    return lambda s, d: fold_of(s, d).sessions.select(*(c() if callable(c) else c for c in cols))
+
+
 _prices = pricing.price_table
 
 # --- fold -------------------------------------------------------------------------------------------------------
@@ -28,9 +34,9 @@ query("w02_project_path", "SELECT sid AS session_id, pid AS project_path FROM s"
 query("w10_post_compaction", "SELECT sid AS session_id, count(*) FILTER (post) AS post, count(*) FILTER (NOT post) AS normal FROM turns GROUP BY sid")(
     lambda s, d: fold_of(s, d).turns.groupBy("session_id").agg(F.count_if("is_post_compaction").alias("post"), F.count_if(~F.col("is_post_compaction")).alias("normal"))
 )
-query("w12_tool_calls", "SELECT sid AS session_id, tool_calls::BIGINT AS tool_calls, false AS is_worktree FROM s")(_sessions("session_id", F.col("tool_calls").cast("long"), "is_worktree"))
+query("w12_tool_calls", "SELECT sid AS session_id, tool_calls::BIGINT AS tool_calls, false AS is_worktree FROM s")(_sessions("session_id", lambda: F.col("tool_calls").cast("long"), "is_worktree"))
 query("w19_removed_tokens", "SELECT sid AS session_id, removed AS removed_tokens FROM s")(_sessions("session_id", "removed_tokens"))
-query("w20_auto_tags", "SELECT sid AS session_id, CASE WHEN pgroups > 0 THEN 'parallel-threads' ELSE '' END AS tags FROM s")(_sessions("session_id", F.array_join("tags", ",").alias("tags")))
+query("w20_auto_tags", "SELECT sid AS session_id, CASE WHEN pgroups > 0 THEN 'parallel-threads' ELSE '' END AS tags FROM s")(_sessions("session_id", lambda: F.array_join("tags", ",").alias("tags")))
 
 
 @query("w22_rollup_totals", """SELECT s.sid AS session_id, s.inp AS input_tokens, s.out AS output_tokens, s.cr AS cache_read, (s.c5 + s.c1)::BIGINT AS cache_creation, s.msgs::BIGINT AS message_count, coalesce(m.cr, 0)::BIGINT AS cache_read_with_children
@@ -98,7 +104,7 @@ query("p18_plan_title", "WITH q AS (SELECT * FROM part) SELECT p_partkey, CASE W
 query("p24_colour", """WITH q AS (SELECT p_partkey, list_reduce(list_transform(string_split(p_name, ''), lambda x: ascii(x)::BIGINT), lambda h, x: (h * 31 + x + 2147483648 + 137438953472) % 4294967296 - 2147483648) AS h FROM part)
     SELECT p_partkey, (abs(h) % 8)::BIGINT AS colour FROM q""")(lambda s, d: table(s, d, "part").select("p_partkey", P.colour_index(F.col("p_name"), 8).cast("long").alias("colour")))
 query("p25_relative_days", "SELECT sid AS session_id, CASE WHEN n <= 0 THEN 'today' WHEN n = 1 THEN 'yesterday' WHEN n < 7 THEN n || 'd ago' ELSE day END AS label FROM (SELECT *, date_diff('day', last_ts::DATE, DATE '2024-01-30') AS n FROM s)")(
-    _sessions("session_id", P.relative_days(F.col("last_ts"), F.lit("2024-01-30").cast("date")).alias("label"))
+    _sessions("session_id", lambda: P.relative_days(F.col("last_ts"), F.lit("2024-01-30").cast("date")).alias("label"))
 )
 query("p27_balanced_glob", "WITH q AS (SELECT * FROM part) SELECT p_partkey, p_partkey % 4 = 0 AS valid FROM q")(
     lambda s, d: table(s, d, "part").select("p_partkey", P.balanced_glob(F.get(F.array(F.concat("p_brand", F.lit("/**/*.{ts,js}")), F.concat(F.lit("a["), "p_brand"), F.lit("  "), F.concat(F.lit("}"), "p_brand", F.lit("{"))), (F.col("p_partkey") % 4).cast("int"))).alias("valid"))
