@@ -29,9 +29,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only for local sessions that name none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="loomlog-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         found = f"file://{found}"
@@ -39,20 +41,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is written there is deleted when the Python driver ends."""
+    path = f"{shared_dir(spark)}/loomlog-{tag}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts lineage (a lost executor costs a re-read, not a recomputation) and computes shared
     inputs once. The files live until the Python driver ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomlog-{tag}-{uuid.uuid4().hex}"
+    return written(df, tag)[0]
+
+
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """As :func:`materialise`, with the path, for callers that :func:`remove` it earlier."""
+    path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def with_row_keys(docs: DataFrame, tag: str) -> DataFrame:
+    """(rid, row): a written copy of ``docs`` in which every row has a number of its own, whatever its id is.
+
+    Written, because numbers that Spark gives out anew on each reading need not agree.
+    """
+    return materialise(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), tag)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)

@@ -11,32 +11,34 @@ the passages in which none can reach the threshold; the remaining ones run block
 segment at or above the threshold (no top-k). Hits are verified against the document's words: the shares of the
 item's question and of its answer, as word 3-grams, found around the hit.
 
-The test set is dealt into index shards of at most ``shard_bytes`` of text, each broadcast and applied in
-turn; one shard is what the driver and a worker hold at a time.
+The test set is dealt into index shards of at most ``shard_bytes`` of text, built one after the other and broadcast; the documents are
+scanned once, a column of hits for each shard. What is broadcast has the size of the test set, a given table of
+evaluation items, never that of the corpus.
 
 Defined cases: null or empty texts match nothing; an item without words matches nothing; items
-that repeat a text are all reported; an item without a sentence end has no answer, its
-whole text is the question; empty tables give an empty table.
+that repeat a text or an id are all reported, null item ids too; an item without a sentence end has no answer, its
+whole text is the question; a passage is cut from whole texts of any length; each row is reported by its own text, so that null and
+repeated ids change nothing; columns of any name pass through; empty tables give an empty table.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from operator import itemgetter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, text_batches
 
 WORDS = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
-SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
 def words_of(text: str) -> list[str]:
@@ -62,7 +64,7 @@ class Index:
 
     threshold: float
     block: int
-    items: list[tuple[int, int, set, set]]  #: id, words, 3-grams of the question and of the answer
+    items: list[tuple[object, int, set, set]]  #: id, words, 3-grams of the question and of the answer
     owner: list[int] = field(default_factory=list)  #: segment -> number of its item
     terms: dict[str, int] = field(default_factory=dict)
     postings: list[tuple[list[int], list[float]]] = field(default_factory=list)
@@ -75,7 +77,7 @@ class Index:
     slack: float = 0.0  #: what terms left out of the first pass can add to any segment's bound
 
 
-def build(items: list[tuple[int, str]], threshold: float, segment: int = 40, block: int = 8, left_out: float = 0.4, k1: float = 1.2, b: float = 0.75) -> Index:
+def build(items: list[tuple[object, str]], threshold: float, segment: int = 40, block: int = 8, left_out: float = 0.4, k1: float = 1.2, b: float = 0.75) -> Index:
     ix = Index(threshold, block, [])
     segments: list[list[str]] = []
     for item_id, text in items:
@@ -225,44 +227,58 @@ def _search(ix: Index, held: list[tuple[int, list[str]]], passage: int, stride:
             yield number, item_id, score, *share
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = 0.5, overlap: float = 0.6, passage: int = 64, stride: int = 24, segment: int = 40, shard_bytes: int = 8 << 20) -> DataFrame:
-    """Verified pairs: doc_id, item_id, score, question_overlap, answer_overlap (null if the item has no such part).
+def _scan(shared: Broadcast, overlap: float, passage: int, stride: int) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
+    """A function from batches of texts to their verified items in one broadcast index."""
 
-    A pair is verified when the question's overlap is at least ``overlap`` and so is the answer's, or when both
-    together are: an answer too short to be evidence then counts by its share.
-    """
-    text_batches(docs.sparkSession)
+    def verified(question: float, answer: float) -> bool:
+        enough = lambda x: x < 0 or x >= overlap  # noqa: E731  (negative: the item has no such part)
+        return enough(question) and enough(answer) or min(question, answer) >= 0 and (question + answer) / 2 >= overlap
+
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            found: list[list[dict]] = [[] for _ in range(len(batch))]
+            for number, item, score, question, answer in search(shared.value, batch.tolist(), passage, stride):
+                if verified(question, answer):
+                    found[number].append({"item": item, "score": score, "question": None if question < 0 else question, "answer": None if answer < 0 else answer})
+            yield pd.Series(found)
+
+    return scan
+
+
+def _hits(docs: DataFrame, items: DataFrame, text: str, item_col: str, item_text: str, threshold: float, overlap: float, passage: int, stride: int, segment: int, shard_bytes: int) -> list[Column]:
+    """For each index shard a column of ``docs``: its verified items, array<struct<item, score, question, answer>>."""
     if segment > passage - stride:
         raise ValueError("a segment must fit into some passage whole: segment <= passage - stride")
     spark = docs.sparkSession
-    chosen = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).filter("t IS NOT NULL")
-    size = chosen.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
-    found = None
+    text_batches(spark)
+    chosen = items.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).filter("t IS NOT NULL")
+    shards = max(1, -(-(chosen.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // shard_bytes))
+    kind = f"array<struct<item: {dict(items.dtypes)[item_col]}, score: double, question: double, answer: double>>"
+
+    out = []
     for k in range(shards):
         own = chosen.filter(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k) if shards > 1 else chosen
         shared = spark.sparkContext.broadcast(build([(r["i"], r["t"]) for r in own.orderBy("i", "t").collect()], threshold, segment))
+        out.append(F.pandas_udf(_scan(shared, overlap, passage, stride), kind)(F.col(text)))
+    return out
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = 0.5, overlap: float = 0.6, passage: int = 64, stride: int = 24, segment: int = 40, shard_bytes: int = 8 << 20) -> DataFrame:
+    """Verified pairs: id, item_id, score, question_overlap, answer_overlap (null if the item has no such part).
+
+    A pair is verified when the question's overlap is at least ``overlap`` and so is the answer's, or when both
+    together are: an answer too short to be evidence then counts by its share. Ids stay in Spark, of any type, null or repeated.
+    """
+    hits = _hits(docs, items, text, item_col, item_text, threshold, overlap, passage, stride, segment, shard_bytes)
+    found = docs.select(F.col(id_col).alias(id_col), F.explode(F.concat(*hits)).alias("h"))
+    return found.select(id_col, F.col("h.item").alias("item_id"), "h.score", F.col("h.question").alias("question_overlap"), F.col("h.answer").alias("answer_overlap"))
+
 
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ix = shared.value
-            for batch in batches:
-                hits = list(search(ix, batch["t"].tolist(), passage, stride))
-                if hits:
-                    number, *cols = map(list, zip(*hits, strict=True))
-                    yield pd.DataFrame(dict(zip(["doc_id", "item_id", "score", "question_overlap", "answer_overlap"], [batch["d"].to_numpy()[number], *cols], strict=True)))
-
-        part = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text).alias("t")).mapInPandas(scan, SCHEMA)
-        found = part if found is None else found.unionByName(part)
-    q, a = F.col("question_overlap"), F.col("answer_overlap")
-    ok = ((q < 0) | (q >= overlap)) & ((a < 0) | (a >= overlap)) | ((q >= 0) & (a >= 0) & ((q + a) / 2 >= overlap))
-    part = lambda c: F.when(F.col(c) >= 0, F.col(c)).alias(c)
-    return found.filter(ok).select("doc_id", "item_id", "score", part("question_overlap"), part("answer_overlap"))
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` without a verified test item."""
-    hit = contamination(docs, items, id_col, **options).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col(id_col) == F.col("__hit"), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = 0.5, overlap: float = 0.6, passage: int = 64, stride: int = 24, segment: int = 40, shard_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of ``docs`` without a verified test item. Each row is judged by its own text, whatever its id; nothing is shuffled."""
+    for hit in _hits(docs, items, text, item_col, item_text, threshold, overlap, passage, stride, segment, shard_bytes):
+        docs = docs.filter(F.size(hit) == 0)
+    return docs
 
 
 def op3_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
