@@ -12,8 +12,9 @@ dealt as pairs of chunks, each compared in a task of its own; none is capped. Li
 a bucket as trees (enough for components), never as all pairs of a group; components are
 found over links in Spark (:mod:`.components`).
 
-Defined cases: null and empty texts have fingerprint zero and are linked like any other; rows that
-repeat an id or a fingerprint are one node; an empty table gives an empty table.
+Defined cases: null and empty texts have fingerprint zero and are linked like any other; rows that repeat a
+fingerprint are one node; ids may be null, repeat or be of any type that sorts; whole texts of any length are read; only the named
+columns are looked at; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, text_batches
+from .common import documents, materialise, text_batches, with_row_keys
 from .components import components
 
 SEED = 42
@@ -141,7 +142,6 @@ def _small(fp: np.ndarray, table: np.ndarray, group: np.ndarray, bits: int, most
 def links(nodes: DataFrame, bits: int = 4, blocks: int = 6, n_pivots: int = 16, chunk: int = 4096, small: int = 32) -> DataFrame:
     """Links (a, b) between rows of ``nodes`` (id, fp; fp distinct) within ``bits``: a forest for each task."""
     refs = pivots(n_pivots)
-    refs = pivots(n_pivots)
     rows = nodes.select("id", "fp", bucket_keys(F.col("fp"), bits, blocks).alias("k")).select("id", "fp", "k.*")
     return _compared(_dealt(rows, chunk), refs, bits, small)
 
@@ -200,11 +200,15 @@ def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, bits: int = 4, **options) -> DataFrame:
-    """id, fp (signed long) and component_id, the smallest id reachable over links, of every row."""
+    """id, fp (signed long) and component_id, the smallest id reachable over links, of every row.
+
+    Fingerprints are the nodes, so ids may be of any type, null or repeated; component_id is null only if all reachable ids are.
+    """
     own = materialise(fingerprints(docs, id_col, text, width), "simhash")
-    nodes = materialise(own.groupBy("fp").agg(F.min("id").alias("id")).filter("id IS NOT NULL"), "simhash-nodes")
-    found = components(links(nodes, bits, **options))
-    best = nodes.join(found, "id", "left").select(F.col("fp").alias("nfp"), F.coalesce("component", "id").alias("component_id"))
+    nodes = materialise(own.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
+    found = components(links(nodes.select(F.col("fp").alias("id"), "fp"), bits, **options))
+    placed = nodes.join(found, F.col("fp") == F.col("id"), "left").select(F.col("fp").alias("nfp"), F.coalesce("component", "fp").alias("component"), "least")
+    best = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("nfp", "component_id")
     return own.join(best, own.fp == best.nfp, "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
@@ -339,7 +343,7 @@ def _exact_links(dealt: DataFrame, similarity: float, width: int) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5, bands: int = 26, chunk: int = 2048, chunk_shingles: int = 1 << 20, small: int = 32) -> DataFrame:
-    """(id, component_id) of the rows that have a near copy: shingle sets alike by ``similarity`` or more.
+    """(id, component_id) of the rows that have a near copy: shingle sets alike by ``similarity`` or more. Ids are distinct longs.
 
     At a similarity of 0.8 fingerprints lie about 10 of 64 bits apart, up to 18 and farther, where pieces of a fingerprint no
     longer make buckets. So the buckets are pairs of independent min-hash values of the shingles: two sets that are alike by 0.8
@@ -361,9 +365,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sim
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one row, that of the smallest id, of each group of near copies."""
-    gone = near_copies(docs, id_col, text, **options).filter("id <> component_id").select(F.col("id").alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """``docs`` with one row, that of the smallest id, of each group of near copies.
+
+    Rows are told apart by a number of their own, so ids may be null (they come last), repeat or be of any type that sorts. Rows
+    without words have no near copy and stay; rows that repeat a text of words are near copies of each other.
+    """
+    keyed = with_row_keys(docs, "near-rows")
+    groups = materialise(near_copies(keyed.select("rid", F.col(f"row.`{text}`").alias("text")), "rid", "text", **options), "near-members")
+    named = keyed.select("rid", F.col(f"row.`{id_col}`").alias("own")).join(groups, F.col("rid") == F.col("id"))
+    order = F.struct(F.col("own").isNull().alias("last"), "own", "rid")
+    stays = named.groupBy("component_id").agg(F.min(order).alias("b")).select(F.col("b.rid").alias("stays"))
+    gone = groups.select("id").join(stays, F.col("id") == F.col("stays"), "left_anti")
+    return keyed.join(gone, F.col("rid") == F.col("id"), "left_anti").select("row.*")
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
