@@ -10,9 +10,9 @@ Learning uses a bounded sample: about ``train_docs`` labelled documents of each
 hash of the id. Filters have a fixed size (``slots`` words per 64 languages), which bounds what is
 collected and broadcast. Prediction reads whole texts and nothing but the text.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; a text with letters but
-without any n-gram, or no learned language at all, gives ``und`` with score 0; ties go to the
-language first in code point order; null labels are not learned; an empty table gives an empty table.
+Defined cases: a null text, or one without a letter, is ``und`` with score 0, and so is every text if nothing was learned; any other
+text gets a learned language; ties, no known n-gram among them, go to the language with most labelled documents, then to the first
+in code point order; null labels are not learned, ids may be null or repeat; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -38,13 +38,15 @@ def _codes(text: str) -> np.ndarray:
 def ngram_keys(text: str, n: int) -> Iterator[np.ndarray]:
     """Keys of the lower-cased text's n-grams, block by block; each is an exact packing for n <= 3.
 
-    Everything that is not a letter becomes one space, n-grams lie within a word and its two borders.
+    Everything that is not a letter becomes one space, n-grams lie within a word and its two borders; a word of one letter
+    has those of its borders. Blocks overlap by n - 1, so that none adds or loses an n-gram.
     """
-    for at in range(0, max(1, len(text)), BLOCK):
-        part = text[at : at + BLOCK + n - 1].lower()
+    text = f" {text.lower()} "
+    for at in range(0, max(1, len(text) - n + 1), BLOCK):
+        part = text[at : at + BLOCK + n - 1]
         if not part.isalpha():
             part = "".join([c if c.isalpha() else " " for c in part])
-        part = _codes(f" {part} ")
+        part = _codes(part)
         if len(part) < n:
             continue
         keys, blanks = np.zeros(len(part) - n + 1, np.uint64), np.zeros(len(part) - n + 1, np.int8)
@@ -55,7 +57,7 @@ def ngram_keys(text: str, n: int) -> Iterator[np.ndarray]:
         inner = np.zeros(len(keys), bool)
         for k in range(1, n - 1):
             inner |= part[k : k + len(keys)] == 32
-        yield keys[(blanks < n - 1) & ~inner]
+        yield keys[(blanks < n) & ~inner]
 
 
 def positions(keys: np.ndarray, slots: int, hashes: int) -> list[np.ndarray]:
@@ -71,8 +73,9 @@ def positions(keys: np.ndarray, slots: int, hashes: int) -> list[np.ndarray]:
 class Filters:
     """The learned filters: ``words[b, p]`` holds the bits of languages 64 b .. 64 b + 63 at position p."""
 
-    def __init__(self, langs: list[str], words: np.ndarray, n: int, hashes: int):
+    def __init__(self, langs: list[str], words: np.ndarray, n: int, hashes: int, docs: list[int] | None = None):
         self.langs, self.words, self.n, self.hashes = langs, words, n, hashes
+        self.docs = np.array(docs or [0] * len(langs))  #: labelled documents of each language, for ties
         fill = [np.mean((words[i // 64] >> np.uint64(i % 64)) & np.uint64(1)) for i in range(len(langs))]
         self.false = np.minimum(np.array(fill, float) ** hashes, 0.999)
 
@@ -88,20 +91,22 @@ class Filters:
                     mask &= row[p]
                 for i in range(64 * b, min(64 * b + 64, len(self.langs))):
                     hits[i] += np.count_nonzero(mask & np.uint64(1 << (i % 64)))
-        if not total or not len(self.langs):
+        if not len(self.langs):
             return None
+        if not total:
+            return np.zeros(len(self.langs))
         return np.clip((hits / total - self.false) / (1 - self.false), 0, 1)
 
     def decide(self, text: str | None) -> tuple[str, float]:
         shares = self.shares(text) if text else None
         if shares is None or not any(c.isalpha() for c in text):
             return UND, 0.0
-        best = int(np.argmax(shares))
+        best = int(np.lexsort((np.arange(len(shares)), -self.docs, -shares))[0])
         return self.langs[best], float(shares[best])
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", n: int = 3, train_docs: int = 1000, slots: int = 1 << 18, hashes: int = 3, min_count: int = 3, ratio: float = 0.25, max_langs: int = 1024) -> Filters:
-    """Filters from about ``train_docs`` documents per language.
+    """Filters from about ``train_docs`` documents of each of the ``max_langs`` languages with most labelled documents (the sample's bounds).
 
     An n-gram is typical of a language when it occurs ``min_count`` times in its sample and at least ``ratio``
     times as often, per n-gram, as in the language that uses it most.
@@ -110,9 +115,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
     if slots & (slots - 1):
         raise ValueError("slots must be a power of two")
     known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r["l"]: r["n"] for r in known.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(max_langs + 1).collect()}
-    if len(counts) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+    counts = {r["l"]: r["n"] for r in known.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()}
     langs = sorted(counts)
     if not langs:
         return Filters([], np.zeros((1, slots), np.uint64), n, hashes)
@@ -145,7 +148,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
     words = np.zeros((-(-len(langs) // 64), slots), np.uint64)
     for r in typical.mapInPandas(place, "b int, p long, bit long").groupBy("b", "p").agg(F.bit_or("bit").alias("w")).toPandas().itertuples():
         words[r.b, r.p] = np.int64(r.w).view(np.uint64)
-    return Filters(langs, words, n, hashes)
+    return Filters(langs, words, n, hashes, [counts[x] for x in langs])
 
 
 def predict(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
