@@ -1,17 +1,22 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every document gets a place in its source's shuffled queue and a virtual finish time: the source's
-cumulative words divided by its target. Sorted by finish time over all sources, the queue is served
-until the total budget is used. As targets add up to the budget, that is virtual time 1; a document that
-is being served then is cut there, so each source gives its rounded target exactly. Queues repeat
-(``max_epochs`` times) because a source may have to give more words than it has.
-
-No source is gathered in one task: a queue is cut into stretches of about ``stretch`` documents by
-the leading digits of the shuffle key, stretches are summed first, and running sums are taken
-inside a stretch from the stretch's offset.
-
-Defined cases: a null text has size 0; a null source is a source of its own, last in order; sizes of 0
-are taken as 0; rows that repeat an id are queued one by one; an empty table gives an empty table.
+Every document gets a place in its source's shuffled queue; queues repeat (``max_epochs`` times), because a source may have to give
+more words than it has. A document's virtual finish time is its source's cumulative words divided by the source's target; the
+document in service when the target is used up is split there, so that its first part finishes at virtual time 1. All queues
+are then sorted by finish time, words are summed along that order and the order is truncated at the total budget.
+
+The global sort: ranges are stretches of virtual time of equal width. A source's words are even over virtual time, so the ranges hold
+equal numbers of words at every size, without sampling; ranges are summed first, those behind the budget are dropped whole, and running
+sums are taken inside a range from the range's offset. Likewise no source is gathered in one task: its queue is cut by the leading
+digits of the shuffle key into stretches that hold about a quarter of an even partition's rows.
+
+Per source there is one row, and two windows over these rows alone run in one task.
+
+Defined cases: a null text has size 0; a null source is a source of its own, last in order and apart from ''; ids may be null or
+repeat: rows are queued one by one, those that share id, size and text are alike; a document of size 0, or of a source without words,
+takes no words and has no finish time if its source's target is under half a word; other columns pass through, and those named like the three
+that :func:`mix` adds are refused; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, materialise
+from .common import WORD, documents, materialise, partitions, with_row_keys
 
 WEIGHTS = (3, 1, 2)
 
@@ -48,61 +53,90 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return per.withColumn("target", target).select("source", "source_size", "n_docs", "target")
 
 
-def fair_queue(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, seed: int = 7, stretch: int = 50_000) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, queue_before (words ahead of it in its queue), taken."""
-    sized = docs.select(
-        F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")).alias("key")
-    )
-    sized = materialise(sized, "mix-sizes")
-    per = materialise(targets(sized, weights, share, max_epochs), "mix-targets")
-    place = F.conv(F.substring("key", 1, 4), 16, 10).cast("long")
-    pieces = F.least(F.ceil(F.col("n_docs") / stretch), F.lit(65536))
-    queued = sized.join(per.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("piece", F.floor(place * pieces / 65536).cast("long"))
-    sums = queued.groupBy("source", "piece").agg(F.sum("size").alias("words"))
+def sizes(docs: DataFrame, id_col: str, text: str, source: str, seed: int, *keep: str) -> DataFrame:
+    """id, source, size, the shuffle key and what orders rows of one key, per row."""
+    shuffle = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    return docs.select(*keep, F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), shuffle.alias("key"), F.xxhash64(text).alias("twin"))
+
+
+def queued(sized: DataFrame, weights: tuple[int, ...], share: float, max_epochs: int) -> DataFrame:
+    """``sized`` with source_size, target, budget (the target in whole words) and queue_before (words ahead in its queue)."""
+    per = materialise(targets(sized, weights, share, max_epochs).withColumn("budget", F.floor(F.col("target") + 0.5).cast("long")), "mix-targets")
+    total = per.agg(F.sum("n_docs")).first()[0] or 0
+    stretch = max(1, total // (4 * partitions(sized.sparkSession)))
+    digits = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
+    rows = sized.join(per.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows = rows.withColumn("piece", F.shiftright(digits * F.ceil(F.col("n_docs") / stretch), 32))
+    sums = rows.groupBy("source", "piece").agg(F.sum("size").alias("words"))
     ahead = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sums.select(F.col("source").alias("s"), F.col("piece").alias("p"), ahead.alias("offset"))
-    within = W.partitionBy("source", "piece").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
-    return (
-        queued.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("piece") == F.col("p")))
-        .withColumn("queue_before", F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .withColumn("taken", sum((_served(k) for k in range(1, max_epochs)), _served(0)))
-        .select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "queue_before", "taken")
+    within = W.partitionBy("source", "piece").orderBy("key", "id", "size", "twin").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("piece") == F.col("p")))
+    return rows.withColumn("queue_before", F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))).drop("s", "p", "piece", "offset", "twin", "key", "n_docs")
+
+
+def served(queue: DataFrame, max_epochs: int, *keep: str) -> DataFrame:
+    """What the global queue serves: ``keep`` columns, epoch, words, finish and range of every document part within the total budget."""
+    budget = queue.groupBy("source").agg(F.max("budget").alias("b")).agg(F.sum("b")).first()[0] or 0
+    ranges = 4 * partitions(queue.sparkSession)
+
+    def parts(epoch: int) -> Column:
+        """A document's parts in one pass of its queue: up to its source's target, and behind it."""
+        start = F.col("queue_before") + F.col("source_size") * epoch
+        first = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("budget") - start))
+        part = lambda words, end: F.struct(F.lit(epoch + 1).alias("epoch"), words.alias("words"), (end / F.col("budget")).alias("finish"))
+        return F.array(part(first, start + first), part(F.col("size") - first, start + F.col("size")))
+
+    each = F.filter(F.concat(*map(parts, range(max_epochs))), lambda m: m["words"] > 0)
+    units = queue.filter("budget > 0").select(*keep, F.explode(each).alias("m")).select(*keep, "m.*")
+    # Behind virtual time 1 lies one range more.
+    units = units.withColumn("range", F.least(F.ceil(F.col("finish") * ranges), F.lit(ranges + 1)).cast("int"))
+    sums = units.groupBy("range").agg(F.sum("words").alias("w"))  # one row for each range
+    ahead = F.coalesce(F.sum("w").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(F.col("range").alias("r"), ahead.alias("offset")).filter(F.col("offset") < budget)
+    order = W.partitionBy("range").orderBy("finish", *keep, "epoch").rowsBetween(W.unboundedPreceding, -1)
+    running = units.join(F.broadcast(offsets), F.col("range") == F.col("r")).withColumn("before", F.col("offset") + F.coalesce(F.sum("words").over(order), F.lit(0)))
+    return running.filter(F.col("before") < budget).select(*keep, "epoch", F.least("words", F.lit(budget) - F.col("before")).alias("words"), "finish", "range")
+
+
+def fair_queue(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, seed: int = 7) -> DataFrame:
+    """One row per document: id, source, size, source_size, target, queue_before, finish (of its first pass), taken."""
+    sized = materialise(sizes(docs, id_col, text, source, seed, F.monotonically_increasing_id().alias("rid")), "mix-sizes")
+    queue = materialise(queued(sized, weights, share, max_epochs), "mix-queue")
+    taken = served(queue, max_epochs, "rid").groupBy("rid").agg(F.sum("words").alias("taken")).withColumnRenamed("rid", "trid")
+    finish = F.when(F.col("budget") > 0, (F.col("queue_before") + F.col("size")) / F.col("budget"))
+    return queue.join(taken, F.col("rid") == F.col("trid"), "left").select(
+        F.col("id").alias(id_col), "source", "size", "source_size", "target", "queue_before", finish.alias("finish"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
 
 
-def _served(epoch: int) -> Column:
-    """Words taken in one pass of the queue, served up to the rounded target."""
-    left = F.floor(F.col("target") + 0.5) - F.col("source_size") * epoch - F.col("queue_before")
-    return F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left)).cast("long")
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", max_epochs: int = 2, **options) -> DataFrame:
-    """The mixed corpus: a row for each time a document is taken, in order of virtual finish time.
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, seed: int = 7) -> DataFrame:
+    """The mixed corpus: a row for each time a document is taken, range-partitioned and sorted by virtual finish time over all sources.
 
-    Columns of ``docs`` (the text cut where the budget ends inside it), then mix_epoch, mix_words and
-    mix_finish. Rows are range-partitioned and sorted by finish time over all sources.
+    Columns of ``docs`` (the text cut where the budget ends inside it), then mix_epoch, mix_words and mix_finish.
     """
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), F.coalesce(F.col(source), F.lit("")).alias("__src"), word_count(F.col(text)).alias("__size"))
-    queue = fair_queue(docs, id_col, text, source, max_epochs=max_epochs, **options)
-    queue = materialise(queue.select(F.col(id_col).alias("q_id"), F.coalesce("source", F.lit("")).alias("q_src"), F.col("size").alias("q_size"), "source_size", "target", "queue_before", "taken"), "mix-queue")
-    on = F.col("__id").eqNullSafe(F.col("q_id")) & (F.col("__src") == F.col("q_src")) & (F.col("__size") == F.col("q_size"))
-    if queue.groupBy("q_id", "q_src", "q_size").count().filter("count > 1").limit(1).count():
-        # Rows that repeat an id in one source with one size are told apart by their order; the texts move once more for it.
-        twin = lambda *c: F.row_number().over(W.partitionBy(*c).orderBy(*c))
-        queue = queue.withColumn("q_twin", twin("q_id", "q_src", "q_size"))
-        keyed = keyed.withColumn("__twin", twin("__id", "__src", "__size"))
-        on = on & (F.col("__twin") == F.col("q_twin"))
-    served = F.array(*[F.struct(F.lit(k + 1).alias("epoch"), _served(k).alias("words"), ((F.col("queue_before") + F.col("source_size") * k + F.col("size")) / F.col("target")).alias("finish")) for k in range(max_epochs)])
-    joined = keyed.join(queue.filter("taken > 0"), on)
-    taken = joined.withColumn("size", F.col("__size")).withColumn("m", F.explode(F.filter(served, lambda m: m["words"] > 0)))
-    whole = F.col(f"__row.`{text}`")
-    cut = F.when(F.col("m.words") < F.col("__size"), F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)), F.lit(1), F.col("m.words").cast("int")), " ")).otherwise(whole)
-    out = taken.select(*[(cut if c == text else F.col(f"__row.`{c}`")).alias(c) for c in docs.columns], F.col("m.epoch").alias("mix_epoch"), F.col("m.words").alias("mix_words"), F.col("m.finish").alias("mix_finish"))
-    return out.repartitionByRange("mix_finish", id_col).sortWithinPartitions("mix_finish", id_col, "mix_epoch")
+    keyed = with_row_keys(docs, "mix-rows")
+    column = lambda c: F.col(f"row.`{c}`").alias(c)
+    sized = materialise(sizes(keyed.select("rid", column(id_col), column(text), column(source)), id_col, text, source, seed, "rid"), "mix-sizes")
+    parts = served(materialise(queued(sized, weights, share, max_epochs), "mix-queue"), max_epochs, "rid")
+    # Both parts of a document join in one pass; one row per document meets its text.
+    parts = parts.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("finish", "range", "epoch", "words"))).alias("parts")).withColumnRenamed("rid", "prid")
+    taken = keyed.join(parts, F.col("rid") == F.col("prid")).select("row", F.explode("parts").alias("m"))
+    whole = F.col(f"row.`{text}`")
+    words = F.regexp_extract_all(whole, F.lit(WORD), F.lit(0))
+    cut = F.when(F.col("m.words") < F.size(words), F.array_join(F.slice(words, F.lit(1), F.col("m.words").cast("int")), " ")).otherwise(whole)
+    own = {c.lower() for c in docs.columns}
+    if clash := own & {"mix_epoch", "mix_words", "mix_finish"}:
+        raise ValueError(f"rename these columns first: {sorted(clash)}")
+    out = taken.select(*[(cut.alias(c) if c == text else column(c)) for c in docs.columns], F.col("m.epoch").alias("mix_epoch"), F.col("m.words").alias("mix_words"), F.col("m.finish").alias("mix_finish"), F.col("m.range").alias("__range"))
+    n = partitions(docs.sparkSession)
+    # Four ranges of virtual time go to each partition, in their order: a global sort without a sampling run.
+    out = out.repartitionById(n, F.least(F.shiftright(F.col("__range") - 1, 2), F.lit(n - 1)))
+    return out.sortWithinPartitions("mix_finish", id_col, "mix_epoch").drop("__range")
 
 
 def op5_fair_queue_mix(spark, sf_dir: str) -> DataFrame:
-    return fair_queue(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return fair_queue(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "finish", "taken")
 
 
 OP5_SQL = r"""
@@ -116,6 +150,6 @@ t AS (SELECT source, source_size, CASE WHEN water IS NULL OR ratio <= water THEN
 q AS (SELECT d.doc_id, d.size, t.source_size, t.target,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
+SELECT doc_id, size, source_size, target, CASE WHEN floor(target + 0.5) > 0 THEN (ahead + size)::DOUBLE / floor(target + 0.5) END AS finish,
        (greatest(0, least(size, floor(target + 0.5)::BIGINT - ahead)) + greatest(0, least(size, floor(target + 0.5)::BIGINT - source_size - ahead)))::BIGINT AS taken FROM q
 """
