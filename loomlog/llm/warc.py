@@ -12,8 +12,9 @@ inflating its payload. A payload is inflated only if the schema asks for ``paylo
 Options: ``split_bytes`` (64 MB), ``verify`` (recompute payload digests, fail on a mismatch), ``date`` (WARC-Date of written records).
 
 Defined cases: a null payload of a response is the empty payload; a revisit has HTTP headers but no payload, its
-payload_bytes is the full payload's from those headers; a null target_uri or refers_to is left out; an empty
-table writes no record and reads back as an empty table.
+payload_bytes is the full payload's from those headers; a null target_uri or refers_to is left out; ids may be null or
+repeat (rows that share payload and smallest id are all responses); control characters in a URI are percent-encoded, all other
+URIs read back as they were; other columns are left out; an empty table writes no record and reads back as an empty table.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote
-
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import shared_dir, text_batches
+from .common import shared_path, text_batches
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, content_type string, content_length long, refers_to string, payload_digest string, payload_bytes long, payload binary"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -51,17 +50,25 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
 
 
+def header_text(value: str) -> str:
+    """A value as it stands in a header: control characters, and spaces at its ends, are percent-encoded; all else is kept."""
+    inner = value.strip(" ")
+    at = value.find(inner) if inner else 0
+    inner = "".join(f"%{ord(c):02X}" if c < " " or c == "\x7f" else c for c in inner)
+    return "%20" * at + inner + "%20" * (len(value) - at - len(value.strip(" ")))
+
+
 def encode_record(kind: str, record_id: str, uri: str | None, date: str, refers_to: str | None, digest: str, size: int, payload: bytes) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if uri is not None:
-        head.append(("WARC-Target-URI", quote(uri, safe="%/:?#[]@!$&'()*+,;=~-._")))
+        head.append(("WARC-Target-URI", header_text(uri)))
     if refers_to is not None:
         head.append(("WARC-Refers-To", f"<{refers_to}>"))
     if kind == "revisit":
         head.append(("WARC-Profile", REVISIT))
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(http) + len(payload)))]
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + http + payload + b"\r\n\r\n"
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode("utf-8", "surrogatepass") + b"\r\n" + http + payload + b"\r\n\r\n"
 
 
 def member(record: bytes, level: int = 5) -> bytes:
@@ -83,11 +90,7 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.date = options["path"].rstrip("/"), options.get("date", "1970-01-01T00:00:00Z")
-        self.split = int(options.get("split_bytes", 64 << 20))
-        if overwrite:
-            fs, at = open_fs(self.path)
-            fs.create_dir(at)
-            fs.delete_dir_contents(at)
+        self.split, self.overwrite = int(options.get("split_bytes", 64 << 20)), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, at = open_fs(self.path)
@@ -110,10 +113,14 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         fs, at = open_fs(self.path)
         fs.create_dir(at, recursive=True)
-        listed = _manifest(fs, at) or []
-        listed += [{"name": m.name, "size": m.size, "splits": m.splits} for m in messages if m is not None]
-        with fs.open_output_stream(f"{at}/{MANIFEST}", compression=None) as out:
-            out.write(json.dumps(listed).encode())
+        before = _manifest(fs, at) or []
+        listed = [{"name": m.name, "size": m.size, "splits": m.splits} for m in messages if m is not None]
+        # The manifest decides what is read: an overwrite replaces it first and deletes the old files then.
+        with fs.open_output_stream(f"{at}/{MANIFEST}.new", compression=None) as out:
+            out.write(json.dumps(listed if self.overwrite else before + listed).encode())
+        fs.move(f"{at}/{MANIFEST}.new", f"{at}/{MANIFEST}")
+        for old in before if self.overwrite else ():
+            fs.delete_file(f"{at}/{old['name']}")
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, at = open_fs(self.path)
@@ -261,7 +268,7 @@ class Record:
         found = {}
         for line in self.plain[: self.block].decode("utf-8", "replace").strip().split("\r\n")[1:]:
             k, _, v = line.partition(":")
-            found[k.strip().lower()] = v.strip()
+            found[k.strip().lower()] = v.strip(" \t")
         digest = found.get("warc-payload-digest")
         bare = lambda k: found[k].strip("<>") if k in found else None
         return {
@@ -355,9 +362,12 @@ def records(pages: DataFrame, id_col: str = "page_id", uri: str = "url", payload
 
 
 def op6_warc_round_trip(spark, sf_dir: str) -> DataFrame:
+    """Responses are read with their payloads and verified; revisits by their headers alone (the predicate is pushed down, payloads are skipped)."""
     register(spark)
-    path = f"{shared_dir(spark)}/loomlog-warc-{uuid.uuid4().hex}"
+    path = shared_path(spark, "warc")
     records(spark.read.parquet(f"{sf_dir}/pages.parquet")).write.format("warc").mode("append").save(path)
-    back = spark.read.format("warc").option("verify", "true").schema("record_type string, record_id string, refers_to string, payload_digest string, payload_bytes long").load(path)
+    columns = "record_type string, record_id string, refers_to string, payload_digest string, payload_bytes long"
+    responses = spark.read.format("warc").option("verify", "true").schema(columns).load(path).filter("record_type = 'response'")
+    revisits = spark.read.format("warc").schema(columns).load(path).filter("record_type = 'revisit'")
     page = lambda c: F.expr(f"try_cast(substring({c}, 10) AS BIGINT)")
-    return back.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+    return responses.unionByName(revisits).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
