@@ -1,25 +1,30 @@
 """Secret scanning with a linear-chain conditional random field.
 
 Tokens get a label: secret begin (B), inside (I) or outside (O). Features are the token's shape, the shapes of its
-neighbours and of the file (has it a secret's keyword, is it rich in digits), alone and in pairs; Viterbi decodes each line. Three plain
-patterns (assign, access, hex) are always reported as well; the CRF's spans are added to them.
+neighbours and of the file (has it a secret's keyword, is it rich in digits), alone and in pairs, and the two words before a token that
+may be a value; Viterbi decodes each line. Three plain patterns (assign, access, hex) are always reported as well; the CRF's
+spans are added to them.
 
-The CRF is fitted by gradient ascent on the log-likelihood of lines from a bounded sample (``train_docs`` documents of either kind:
-with and without a base finding), whose labels are the values that the base patterns find. To learn the
-surroundings rather than the patterns alone, ``blur`` of the training values are cut below the patterns' lengths.
+The CRF is fitted by gradient ascent on the log-likelihood of windows of tokens from a bounded sample: at most ``windows`` windows of each
+of ``train_docs`` documents with and as many without a base finding. Labels are the values that the base patterns find; so that it
+learns what the patterns miss, each window with a value comes ``variants`` times more with the value cut short or replaced by random characters,
+the sign between keyword and value replaced or dropped, and the keyword changed or, before long values, dropped.
 
-Only lines with a telling token can hold a secret: :meth:`Crf.quiet` proves for the fitted weights that a line made of the other
-shapes decodes to O throughout, else every line is decoded. Lines are independent, whole texts are read.
+No secret begins with a plain word or a mark (the begin label is barred there), so only lines with a telling token are
+decoded. Lines are independent, whole texts are read.
 
 Defined cases: null and empty texts have no finding; spans count code points, end exclusive; ids may be null or
-repeat; an empty table gives an empty table; without training findings the CRF adds nothing.
+repeat, other columns pass through; rows that repeat a text have the same findings; an empty table gives an empty table; without
+training findings the CRF adds nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -51,10 +56,11 @@ def base_spans(text: str) -> list[tuple[int, int, str, int, int]]:
 
 TOKEN = re.compile(r"[A-Za-z0-9_+/.-]+|[^\sA-Za-z0-9_+/.-]")
 TELLING = re.compile(r"[0-9=:_]|[A-Z]{8}|" + KEYWORD)
-PLAIN, MARK, QUOTE, SIGN, KEY, DIGITS, LONG_DIGITS, UPPER, HEX_SHORT, HEX_LONG, MIXED_SHORT, MIXED, MIXED_LONG, NAME, EDGE = range(15)
-SHAPES = 15
+PLAIN, MARK, QUOTE, SIGN, KEY, DIGITS, LONG_DIGITS, UPPER, HEX_SHORT, HEX_LONG, MIXED_SHORT, MIXED, MIXED_LONG, RUN, NAME, EDGE = range(16)
+SHAPES = 16
 QUIET = (PLAIN, MARK, QUOTE, EDGE)  #: shapes of tokens in which TELLING finds nothing
 KEY_END = re.compile(KEYWORD + r"\Z")
+TURN = re.compile(r"(?<=[0-9])(?![0-9])(?!\Z)|(?<=[^0-9])(?=[0-9])")  #: where digits begin or end
 IS_HEX = re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z")
 
 
@@ -70,7 +76,9 @@ def shape(token: str) -> int:
         return LONG_DIGITS if digits > 8 else DIGITS
     if len(token) >= 8 and IS_HEX.match(token):
         return HEX_LONG if len(token) >= 16 else HEX_SHORT
-    return MIXED_LONG if len(token) >= 16 else MIXED if len(token) >= 8 else MIXED_SHORT
+    if len(TURN.findall(token)) < 3:  # a word with a number, an address, a version
+        return RUN
+    return MIXED_LONG if len(token) >= 20 else MIXED if len(token) >= 8 else MIXED_SHORT
 
 
 O, B, I = range(3)  # noqa: E741
@@ -84,8 +92,15 @@ def file_class(text: str) -> int:
     return 2 * any(h in low for h in HINTS) + (digits * 100 > len(low))
 
 
-def features(shapes: np.ndarray, file: int) -> np.ndarray:
-    """Active features of each token, one column per template."""
+WORDS_BEFORE = 256  #: word features: hash values of a word
+
+
+def word_number(token: str) -> int:
+    return zlib.crc32(token.lower().encode("utf-8", "surrogatepass")) % WORDS_BEFORE
+
+
+def features(shapes: np.ndarray, file: int, tokens: list[str]) -> np.ndarray:
+    """Active features of each token, one column per template; the last feature of all is that of no word."""
     s = SHAPES
     pad = np.concatenate(([EDGE, EDGE, EDGE], shapes, [EDGE]))
     now, p1, p2, p3, nx = pad[3:-1], pad[2:-2], pad[1:-3], pad[:-4], pad[4:]
@@ -94,10 +109,39 @@ def features(shapes: np.ndarray, file: int) -> np.ndarray:
     for k, x in enumerate(parts):
         out.append(x + at)
         at += s if k == 0 else s * (FILES if k == 5 else s)
-    return np.stack(out, axis=1)
-
+    # Words before a token that may be a value: marks are passed over.
+    one, two = np.full(len(shapes), N_FEATURES - 1), np.full(len(shapes), N_FEATURES - 1)
+    for k in np.flatnonzero(~IS_QUIET[shapes]).tolist():
+        before = [j for j in range(max(0, k - 5), k) if tokens[j][0].isalnum()][-2:]
+        if before:
+            one[k] = at + word_number(tokens[before[-1]])
+        if len(before) > 1:
+            two[k] = at + WORDS_BEFORE + word_number(tokens[before[0]])
+    return np.stack([*out, one, two], axis=1)
+
+
+N_FEATURES = SHAPES * (1 + 4 * SHAPES + FILES) + 2 * WORDS_BEFORE + 1
+IS_QUIET = np.isin(np.arange(SHAPES), QUIET)
+
+
+@dataclass
+class Window:
+    """Tokens of one line with their labels, and the class of the file that they stand in."""
+
+    tokens: list[str]
+    labels: list[int]
+    file: int
+
+    def allowed(self) -> list[int]:
+        """The labels, with plain words at the begin of a value left out: only patterns can tell those."""
+        out: list[int] = []
+        for token, label in zip(self.tokens, self.labels, strict=True):
+            begins = label == B or (label == I and out[-1:] in ([], [O]))
+            out.append(label if not begins else O if IS_QUIET[shape(token)] else B)
+        return out
 
-N_FEATURES = SHAPES * (1 + 4 * SHAPES + FILES)
+    def features(self) -> np.ndarray:
+        return features(np.array([shape(t) for t in self.tokens]), self.file, self.tokens)
 
 
 class Crf:
@@ -107,56 +151,48 @@ class Crf:
         self.w, self.t = np.zeros((N_FEATURES, 3)), np.zeros((3, 3))
         self.banned = np.zeros((3, 3))
         self.banned[O, I] = -1e9  # inside needs a begin
-        self.all_lines = True
-
-    def fit(self, lines: list[tuple[np.ndarray, int, np.ndarray]], epochs: int = 12, rate: float = 0.3, decay: float = 1e-4, seed: int = 5) -> Crf:
-        """``lines``: shapes, file class, labels. Stochastic gradient (Adagrad) on log-likelihood by forward-backward."""
-        gw, gt = np.full_like(self.w, 1e-6), np.full_like(self.t, 1e-6)
-        order, data = np.random.default_rng(seed), [(features(s, f), y) for s, f, y in lines]
-        for _ in range(epochs):
-            for k in order.permutation(len(data)):
-                x, y = data[k]
-                e, t = self.w[x].sum(axis=1), self.t + self.banned
-                n = len(y)
-                a, b = np.zeros((n, 3)), np.zeros((n, 3))
-                a[0] = t[O] + e[0]
-                for i in range(1, n):
-                    a[i] = np.logaddexp.reduce(a[i - 1][:, None] + t, axis=0) + e[i]
-                for i in range(n - 2, -1, -1):
-                    b[i] = np.logaddexp.reduce(t + (e[i + 1] + b[i + 1])[None, :], axis=1)
-                z = np.logaddexp.reduce(a[-1])
-                p = np.exp(a + b - z)
-                dt = -np.exp(a[:-1, :, None] + t[None] + (e[1:] + b[1:])[:, None, :] - z).sum(axis=0) if n > 1 else np.zeros((3, 3))
-                dt[O] -= p[0]
-                np.add.at(dt, (np.concatenate(([O], y[:-1])), y), 1)
-                de = -p
-                de[np.arange(n), y] += 1
-                dw = np.zeros_like(self.w)
-                for col in x.T:
-                    np.add.at(dw, col, de)
-                dw -= decay * self.w
-                gw += dw * dw
-                gt += dt * dt
-                self.w += rate * dw / np.sqrt(gw)
-                self.t += rate * dt / np.sqrt(gt)
-        self.all_lines = not self.quiet()
+        self.w[list(QUIET), B] = -1e9  # no secret begins with a quiet shape: a line of quiet shapes decodes to O throughout
+
+    def fit(self, windows: list[Window], steps: int = 150, rate: float = 0.15, decay: float = 2e-3) -> Crf:
+        """Full-batch gradient ascent (Adam) on the penalised log-likelihood, by forward-backward over all windows at once."""
+        n, most = len(windows), max(len(x.tokens) for x in windows)
+        x = np.full((n, most, 8), N_FEATURES - 1)
+        y, on = np.zeros((n, most), np.int64), np.zeros((n, most), bool)
+        for k, window in enumerate(windows):
+            m = len(window.tokens)
+            x[k, :m], y[k, :m], on[k, :m] = window.features(), window.allowed(), True
+        gold = np.zeros((n, most, 3))
+        np.put_along_axis(gold, y[:, :, None], 1.0, axis=2)
+        before = np.concatenate((np.zeros((n, 1), np.int64), y[:, :-1]), axis=1)
+        pairs = np.bincount((before * 3 + y)[on], minlength=9).reshape(3, 3)
+        flat = x[on].T
+        moments = [np.zeros_like(self.w), np.zeros_like(self.w), np.zeros_like(self.t), np.zeros_like(self.t)]
+        for step in range(1, steps + 1):
+            e, t = self.w[x].sum(axis=2), self.t + self.banned
+            a, b = np.empty((n, most, 3)), np.zeros((n, most, 3))
+            a[:, 0] = t[O] + e[:, 0]
+            for i in range(1, most):
+                a[:, i] = np.where(on[:, i, None], np.logaddexp.reduce(a[:, i - 1, :, None] + t, axis=1) + e[:, i], a[:, i - 1])
+            for i in range(most - 2, -1, -1):
+                b[:, i] = np.where(on[:, i + 1, None], np.logaddexp.reduce(t + (e[:, i + 1] + b[:, i + 1])[:, None, :], axis=2), 0)
+            z = np.logaddexp.reduce(a[:, -1], axis=1)
+            p = np.exp(a + b - z[:, None, None])
+            both = np.exp(np.minimum(a[:, :-1, :, None] + t + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None], 0))
+            dt = (pairs - (both * on[:, 1:, None, None]).sum(axis=(0, 1))) / n
+            dt[O] -= p[:, 0].sum(axis=0) / n
+            de = (gold - p)[on]
+            dw = np.stack([sum(np.bincount(col, de[:, label], N_FEATURES) for col in flat) for label in range(3)], axis=1) / n
+            for value, grad, (m1, m2) in ((self.w, dw - decay * self.w, moments[:2]), (self.t, dt - decay * self.t, moments[2:])):
+                m1 += 0.1 * (grad - m1)
+                m2 += 0.01 * (grad * grad - m2)
+                value += rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
+            self.w[-1], self.w[list(QUIET), B] = 0, -1e9  # no word says nothing; begins stay as they are
         return self
 
-    def quiet(self) -> bool:
-        """Whether a line of quiet shapes always decodes to O: no label but O gains at any token, whatever its neighbours."""
-        worst = -np.inf
-        s = SHAPES
-        base = np.cumsum([0, s, s * s, s * s, s * s, s * s])
-        gain = (self.w[:, 1:] - self.w[:, :1]).max(axis=1)
-        for q in QUIET[:-1]:
-            for f in range(FILES):
-                worst = max(worst, gain[q] + sum(max(gain[base[k] + o * s + q] for o in QUIET) for k in range(1, 5)) + gain[base[5] + f * s + q])
-        moves = self.t + self.banned
-        return bool(worst + max(0.0, (moves.max() - moves[O, O])) < 0)
-
-    def decode(self, shapes: np.ndarray, file: int) -> np.ndarray:
+    def decode(self, tokens: list[str], file: int) -> np.ndarray:
         """The best labels (Viterbi)."""
-        e, t = self.w[features(shapes, file)].sum(axis=1), self.t + self.banned
+        shapes = np.array([shape(x) for x in tokens])
+        e, t = self.w[features(shapes, file, tokens)].sum(axis=1), self.t + self.banned
         n = len(shapes)
         back = np.zeros((n, 3), np.int8)
         (o, b, i), rows, m = (t[O] + e[0]).tolist(), e.tolist(), t.tolist()
@@ -179,11 +215,11 @@ class Crf:
         """(start, end) of the decoded secrets."""
         out, at, file = [], 0, None
         for line in text.split("\n"):
-            if self.all_lines or TELLING.search(line):
+            if TELLING.search(line):
                 file = file_class(text) if file is None else file
                 where = [m.span() for m in TOKEN.finditer(line)]
                 if where:
-                    labels = self.decode(np.array([shape(line[a:b]) for a, b in where]), file)
+                    labels = self.decode([line[a:b] for a, b in where], file)
                     for k in np.flatnonzero(labels == B).tolist():
                         end = k + 1
                         while end < len(where) and labels[end] == I:
@@ -193,46 +229,87 @@ class Crf:
         return out
 
 
-def training_lines(text: str, blur: float, draw: np.random.Generator) -> list[tuple[np.ndarray, int, np.ndarray]]:
-    """Lines with telling tokens and their labels: the values of base findings, some of them cut short."""
+def training_windows(text: str, most: int) -> list[tuple[list[str], list[int], int]]:
+    """(tokens, labels, file class) about telling tokens, labelled by the base findings' values; at most ``most``, those with values first."""
     values = [(v, e) for _, _, _, e, v in base_spans(text)]
-    cuts = {}
-    for v, e in values:
-        if draw.random() < blur and e - v > 10:
-            cuts[e] = int(draw.integers(4, e - v - 4))
     out, at, file = [], 0, file_class(text)
     for line in text.split("\n"):
         if TELLING.search(line):
-            shapes, labels = [], []
-            for m in TOKEN.finditer(line):
-                a, b = at + m.start(), at + m.end()
-                inside = [(v, e) for v, e in values if v < b and a < e]
-                token = m[0]
-                if inside and (e := inside[0][1]) in cuts and len(token) - cuts[e] >= 4:
-                    token = token[: len(token) - cuts[e]]
-                labels.append(O if not inside else B if a <= inside[0][0] or not labels or labels[-1] == O else I)
-                shapes.append(shape(token))
+            where = [m.span() for m in TOKEN.finditer(line)]
+            labels = []
+            for a, b in where:
+                inside = [v for v, e in values if v < at + b and at + a < e]
+                labels.append(O if not inside else B if at + a <= inside[0] or not labels or labels[-1] == O else I)
             # Plain stretches far from anything telling add no information.
-            near = np.zeros(len(shapes), bool)
-            for k in [k for k, s in enumerate(shapes) if s not in QUIET or labels[k]]:
-                near[max(0, k - 6) : k + 7] = True
-            if near.any():
-                out.append((np.array(shapes)[near], file, np.array(labels)[near]))
+            tell = [k for k, (a, b) in enumerate(where) if labels[k] or shape(line[a:b]) not in QUIET]
+            last = -1
+            for k in tell:
+                if k > last:
+                    lo, hi = max(0, k - 6), min(len(where), k + 12)
+                    while hi < len(where) and labels[hi] == I:
+                        hi += 1
+                    out.append(([line[a:b] for a, b in where[lo:hi]], labels[lo:hi], file))
+                    last = hi - 1
         at += len(line) + 1
-    return out
-
-
-def train(docs: DataFrame, text: str = "text", train_docs: int = 300, max_chars: int = 20_000, blur: float = 0.3) -> Crf:
-    """A CRF from at most ``train_docs`` documents with a base finding and as many others, chosen by a hash of the text."""
+    return sorted(out, key=lambda x: not any(x[1]))[:most]
+
+
+SIGNS = ("=", ":", "is", "was", "")
+KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+ALPHABETS = ("0123456789abcdef", LETTERS + "0123456789", LETTERS + LETTERS.upper() + "0123456789", LETTERS.upper() + "0123456789")
+
+
+def variant(window: Window, draw: np.random.Generator) -> Window:
+    """The window with its first value, keyword and sign changed at random."""
+    tokens, labels = list(window.tokens), list(window.labels)
+    at = labels.index(B)
+    end = at + 1
+    while end < len(labels) and labels[end] == I:
+        end += 1
+    value = "".join(tokens[at:end])
+    if draw.random() < 0.3 and len(value) > 12:
+        value = value[: int(draw.integers(8, len(value)))]
+    else:
+        letters = ALPHABETS[int(draw.integers(len(ALPHABETS)))]
+        value = "".join(letters[i] for i in draw.integers(0, len(letters), int(draw.integers(8, 48))))
+    head = tokens[:at]
+    while head and len(head[-1]) == 1 and not head[-1].isalnum():  # quotes and the sign
+        head.pop()
+    if head and KEY_END.search(head[-1]):
+        head.pop()
+    if not re.search("[0-9]", value):
+        value = f"{value[:3]}{int(draw.integers(10))}{value[4:]}"
+    keep = labels[: len(head)]
+    key = "" if len(value) >= 24 and draw.random() < 0.3 else KEYWORDS[int(draw.integers(len(KEYWORDS)))]
+    middle = [x for x in (key, SIGNS[int(draw.integers(len(SIGNS)))] if key else "") if x]
+    if draw.random() < 0.3:
+        middle.append('"')
+    made = TOKEN.findall(value)
+    return Window(head + middle + made + tokens[end:], keep + [O] * len(middle) + [B] + [I] * (len(made) - 1) + labels[end:], window.file if not key else window.file | 2)
+
+
+def train(docs: DataFrame, text: str = "text", train_docs: int = 300, windows: int = 4, variants: int = 3) -> Crf:
+    """A CRF from at most ``windows`` windows of at most ``train_docs`` documents with a base finding and as many others, chosen by a hash of the text."""
     words = r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"
-    pool = docs.filter(F.char_length(text) <= max_chars).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"), F.col(text).rlike(words).alias("found"))
+    pool = docs.select(F.col(text).alias("t"), F.xxhash64(text).alias("h"), F.col(text).rlike(words).alias("found")).filter("t IS NOT NULL")
     hashes = materialise(pool.select("found", "h").distinct(), "crf-sample")
     chosen = [r["h"] for found in (True, False) for r in hashes.filter(F.col("found") == found).orderBy("h").limit(train_docs).collect()]
-    texts = pool.filter(F.col("h").isin(chosen)).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect() if chosen else []
-    draw, lines = np.random.default_rng(7), []
-    for r in texts:
-        lines += training_lines(r["t"], blur, draw)
-    return Crf().fit(lines) if any(y.any() for _, _, y in lines) else Crf()
+    if not chosen:
+        return Crf()
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for h, t in zip(batch["h"], batch["t"], strict=True):
+                yield pd.DataFrame([(h, k, *w) for k, w in enumerate(training_windows(t, windows))], columns=["h", "k", "tokens", "labels", "file"])
+
+    # Copies of a text give the same windows.
+    sample = pool.filter(F.col("h").isin(chosen)).select("h", "t").mapInPandas(cut, "h long, k int, tokens array<string>, labels array<int>, file int").distinct().orderBy("h", "k").collect()
+    draw, every = np.random.default_rng(7), []
+    for r in sample:
+        own = Window(list(r["tokens"]), list(r["labels"]), r["file"])
+        every += [own, *(variant(own, draw) for _ in range(variants if B in own.labels else 0))]
+    return Crf().fit(every) if any(B in x.labels for x in every) else Crf()
 
 
 def scan_text(text: str | None, crf: Crf) -> tuple[int, int, int, str, str]:
