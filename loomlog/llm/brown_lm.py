@@ -1,30 +1,36 @@
 """Brown class-based n-gram language model.
 
-P(w | previous) = P(class(w) | class(previous)) * P(w | class(w)), both smoothed; a text's score is the sum
+P(w | previous) = P(class(w) | context class(previous)) * P(w | class(w)), smoothed; a text's score is the sum
 of log10 over its words and one end token.
 
-Training counts cover every training text. Word counts are summed in Spark over the whole vocabulary. The
-``exchange_words`` most frequent words are put into ``classes`` classes by the exchange algorithm (each word in turn moves to
-the class that raises the class-bigram likelihood most, until nothing moves or ``rounds`` are over); every
-other word belongs to a class by its shape (:func:`shape_class`), so that its class needs no table. Bigrams are counted over
-exchange words, shape classes and the end token: at most (exchange_words + shapes + 1) ** 2 cells, which bounds what a task
-holds and the driver collects.
+Training counts cover every training text, and every word with at least ``min_count`` training occurrences takes part in the exchange,
+however many there are. The exchange is the distributed one for predictive class bigrams (Uszkoreit and Brants, 2008):
 
-Scoring broadcasts the counts of at most ``table_words`` frequent words; the counts of all other words are joined in Spark, so the
-vocabulary may grow with the corpus.
+1. A scan counts, for each word, the context classes of the words before it: L(w, k). At first the ``classes`` most frequent words are context
+   classes of their own and all other words have the class of their shape (:func:`shape_class`).
+2. Rounds over L alone: each word goes to the class c that raises the sum of N(k, c) log N(k, c) - N(c) log N(c) most, all words in
+   parallel against the class table N of the round before, half of them in each round, so that two words don't swap for ever.
+3. The words of the table (below) take their classes as context classes, and 1 and 2 are repeated.
 
-Defined cases: a null text is empty and scores its end token; ids may be null or repeat; without training texts all
-words are unknown; an empty table gives an empty table.
+L has a row for each word and context class that meet; nothing of it but the table N, of fixed size, is collected. Words below ``min_count``
+and unknown words have the class of their shape, so that their class needs no table.
+
+Both scans and scoring broadcast at most ``table_words`` frequent words with counts and classes; what all other words need is joined in
+Spark, so the vocabulary may grow with the corpus. A word outside the table has, as the word before another, the class of its shape.
+
+Defined cases: a null text is empty and scores its end token; ids may be null or repeat, other columns are left out; rows that repeat
+a text have equal scores; without training texts all words are unknown; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,15 +58,20 @@ def shape_class(word: bytes) -> int:
     return 4 * kind + min(3, len(word) // 4)
 
 
+def word_hash(word: bytes) -> int:
+    """The word's number where its classes are learned, as a signed long."""
+    h = xxhash.xxh64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def count_words(docs: DataFrame, text: str, flush: int = 300_000) -> DataFrame:
-    """(w, shape, n) over all rows; tasks hand on partial counts when they hold ``flush`` words."""
+    """(w, h, shape, n) over all rows; tasks hand on partial counts when they hold ``flush`` words."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter[bytes] = Counter()
 
         def out() -> pd.DataFrame:
-            words = list(held)
-            return pd.DataFrame({"w": words, "shape": [shape_class(w) if w else -1 for w in words], "n": list(held.values())})
+            return pd.DataFrame({"w": list(held), "n": list(held.values())})
 
         for batch in batches:
             for t in batch[text]:
@@ -72,227 +83,289 @@ def count_words(docs: DataFrame, text: str, flush: int = 300_000) -> DataFrame:
         if held:
             yield out()
 
-    return docs.select(text).mapInPandas(count, "w binary, shape int, n long").groupBy("w", "shape").agg(F.sum("n").alias("n"))
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words = [bytes(w) for w in batch["w"]]
+            yield pd.DataFrame({"w": words, "h": [word_hash(w) for w in words], "shape": [shape_class(w) if w else SHAPES for w in words], "n": batch["n"]})
+
+    counts = docs.select(text).mapInPandas(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return counts.mapInPandas(describe, "w binary, h long, shape int, n long")
 
 
 @dataclass
 class Vocabulary:
-    """Frequent words: their place in ``words`` is their number; the first ``exchange`` of them take part in the exchange."""
+    """Frequent words: their place in ``words`` is their number."""
 
     words: list[bytes]
     counts: np.ndarray
-    exchange: int
     total: int  #: training tokens
     distinct: int
-    shape_words: np.ndarray  #: distinct words of each shape, exchange words left out
     least: int  #: all words with this count or more are in ``words``
-
-    def units(self) -> dict[bytes, int]:
-        """Word -> unit: an exchange word's number, or ``exchange`` + shape; the end token is the last unit."""
-        out = {w: i if i < self.exchange else self.exchange + shape_class(w) for i, w in enumerate(self.words) if w}
-        return out | {END: self.exchange + SHAPES}
+    ends: int  #: end tokens
 
 
-def vocabulary(counts: DataFrame, table_words: int, exchange_words: int) -> Vocabulary:
+def vocabulary(counts: DataFrame, table_words: int) -> Vocabulary:
     step = F.floor(F.ln("n") / np.log(1.05)).cast("int")
     levels = counts.groupBy(step.alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("least"), F.sum("n").alias("n")).orderBy(F.desc("level")).collect()  # counts grow by 5 % a level: few rows
-    total, distinct = sum(r["n"] for r in levels), sum(r["words"] for r in levels)
-    shapes = {r["shape"]: r["words"] for r in counts.groupBy("shape").agg(F.count("*").alias("words")).collect()}
     least, have = 1 << 62, 0
     for r in levels:
         have += r["words"]
         if have > table_words:
             break
         least = r["least"]
-    top = counts.filter(F.col("n") >= least).select("w", "n").toPandas()  # table_words rows at most
+    top = counts.filter((F.col("n") >= least) & (F.octet_length("w") > 0)).select("w", "n").toPandas()  # table_words rows at most
     top["w"] = [bytes(w) for w in top["w"]]
     top = top.sort_values(["n", "w"], ascending=[False, True])
-    top = top[top["w"] != END]
-    words = top["w"].tolist()
-    exchange = min(exchange_words, len(words))
-    rest = np.array([shapes.get(s, 0) for s in range(SHAPES)], float)
-    for w in words[:exchange]:
-        rest[shape_class(w)] -= 1
-    return Vocabulary(words, top["n"].to_numpy(np.int64), exchange, total, distinct, rest, least)
+    ends = counts.filter(F.octet_length("w") == 0).select("n").first()
+    return Vocabulary(top["w"].tolist(), top["n"].to_numpy(np.int64), sum(r["n"] for r in levels), sum(r["words"] for r in levels), least, 0 if ends is None else ends["n"])
 
 
-def _units(text: str | None, get, base: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """Units of the text's words and the end token, piece by piece, with the words."""
-    words = tokens(text)
-    words.append(END)
-    for at in range(0, len(words), PIECE):
-        part = words[at : at + PIECE]
-        yield np.array([u if (u := get(w)) is not None else base + shape_class(w) for w in part], np.int64), part
+@dataclass
+class Contexts:
+    """Context classes: 0 to ``classes`` for words of the table, then one a shape, then that of the end token."""
 
+    classes: int
+    of: dict[bytes, int]  #: words that have another context class than that of their shape
+    end: int = field(init=False)
 
-def count_bigrams(docs: DataFrame, text: str, vocab: Vocabulary) -> np.ndarray:
-    """Counts of unit pairs; a text begins after an end token."""
-    n = vocab.exchange + SHAPES + 1
-    shared = docs.sparkSession.sparkContext.broadcast((vocab.units(), vocab.exchange))
+    def __post_init__(self):
+        self.end = self.classes + SHAPES
+
+    def number(self, words: list[bytes]) -> np.ndarray:
+        get, base = self.of.get, self.classes
+        return np.fromiter((k if (k := get(w)) is not None else base + shape_class(w) for w in words), np.int64, len(words))
+
+
+def left_contexts(docs: DataFrame, text: str, contexts: Contexts, flush: int = 1 << 21) -> DataFrame:
+    """L: (h, k, n) of each word and the context classes before it, the end token (hash of no bytes) included; a text begins after an end token."""
+    shared = docs.sparkSession.sparkContext.broadcast(contexts)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        units, base = shared.value
-        cells = np.zeros(n * n, np.int64)
+        contexts, digest = shared.value, xxhash.xxh64_intdigest
+        number: dict[bytes, int] = {}  # words of the pairs that are held
+        held: list[np.ndarray] = []
+        size, width = 0, contexts.end + 1
+
+        def out() -> pd.DataFrame:
+            pair, n = np.unique(np.concatenate(held), return_counts=True)
+            hashes = np.fromiter((digest(w) for w in number), np.uint64, len(number)).view(np.int64)
+            return pd.DataFrame({"h": hashes[pair // width], "k": (pair % width).astype(np.int32), "n": n})
+
         for batch in batches:
-            pairs, before = [], n - 1
             for t in batch[text]:
-                for u, _ in _units(t, units.get, base):
-                    pairs.append(np.concatenate(([before], u[:-1])) * n + u)
-                    before = u[-1]
-                if len(pairs) > 500:
-                    cells += np.bincount(np.concatenate(pairs), minlength=n * n)
-                    pairs = []
-            if pairs:
-                cells += np.bincount(np.concatenate(pairs), minlength=n * n)
-        found = np.flatnonzero(cells)
-        for at in range(0, len(found), 1 << 17):
-            yield pd.DataFrame({"pair": found[at : at + (1 << 17)], "n": cells[found[at : at + (1 << 17)]]})
-
-    got = docs.select(text).mapInPandas(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    cells = np.zeros(n * n, np.int64)
-    cells[got["pair"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return cells.reshape(n, n)
-
-
-def _h(x: np.ndarray) -> np.ndarray:
+                words = tokens(t)
+                words.append(END)
+                before = contexts.end
+                for at in range(0, len(words), PIECE):
+                    part = words[at : at + PIECE]
+                    k = contexts.number(part[:-1] if at + PIECE >= len(words) else part)
+                    ids = np.fromiter((number.setdefault(w, len(number)) for w in part), np.int64, len(part))
+                    held.append(ids * width + np.concatenate(([before], k))[: len(part)])
+                    before = k[-1] if len(k) else before
+                    size += len(part)
+                if size > flush:
+                    yield out()
+                    held, size = [], 0
+                    number.clear()
+        if held:
+            yield out()
+
+    return docs.select(text).mapInPandas(count, "h long, k int, n long").groupBy("h", "k").agg(F.sum("n").alias("n"))
+
+
+def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(bigrams: np.ndarray, words: int, classes: int, rounds: int) -> np.ndarray:
-    """Class of every unit: the first ``words`` units are clustered, each of the others is a class of its own."""
-    n = len(bigrams)
-    c = min(classes, max(1, words))
-    cls = np.concatenate((np.arange(words) % c, c + np.arange(n - words)))
-    t = c + n - words
-    big = bigrams.astype(float)
-    onto = np.zeros((n, t))
-    onto[np.arange(n), cls] = 1
-    pair = onto.T @ big @ onto
-    uni = big.sum(axis=0)
-    size = onto.T @ uni
-    right, left = big @ onto, (onto.T @ big).T  # unit -> class, class -> unit
-    for _ in range(rounds):
-        moved = 0
-        for w in range(words):
-            a, self_ = cls[w], big[w, w]
-            r, l = right[w].copy(), left[w].copy()  # noqa: E741
-            r[a] -= self_
-            l[a] -= self_
-            pair[a] -= r
-            pair[:, a] -= l
-            pair[a, a] -= self_
-            size[a] -= uni[w]
-            # Likelihood gained by adding w to each class.
-            row, col, k = pair[:c], pair[:, :c].T, np.arange(c)
-            gain = (_h(row + r) - _h(row)).sum(axis=1) + (_h(col + l) - _h(col)).sum(axis=1)
-            d = pair[k, k]
-            gain += _h(d + r[k] + l[k] + self_) - _h(d) - (_h(d + r[k]) - _h(d)) - (_h(d + l[k]) - _h(d))
-            gain -= 2 * (_h(size[:c] + uni[w]) - _h(size[:c]))
-            b = int(np.argmax(gain))
-            if gain[b] <= gain[a] + 1e-9:
-                b = a
-            pair[b] += r
-            pair[:, b] += l
-            pair[b, b] += self_
-            size[b] += uni[w]
-            if b != a:
-                moved += 1
-                cls[w] = b
-                right[:, a] -= big[:, w]
-                right[:, b] += big[:, w]
-                left[:, a] -= big[w]
-                left[:, b] += big[w]
-        if not moved:
-            break
-    return cls
+def best_classes(table: np.ndarray, size: np.ndarray, at: np.ndarray, k: np.ndarray, n: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """The class that each word adds most likelihood to.
+
+    ``table`` is N(k, c) and ``size`` N(c) over the exchange classes; rows (``at``, ``k``, ``n``) are the words' contexts, ``at`` in
+    rising order; ``now`` is each word's present class, -1 for none, which the word is taken out of first.
+    """
+    words = len(now)
+    count = np.bincount(at, n, words)
+    own = np.zeros((words, len(size)))
+    own[np.flatnonzero(now >= 0), now[now >= 0]] = 1
+    own_n = own[at] * n[:, None]
+    base = np.maximum(table[k] - own_n, 0)
+    gain = _xlogx(base + n[:, None]) - _xlogx(base)
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+    total = np.zeros((words, len(size)))
+    if len(at):
+        total[at[first]] = np.add.reduceat(gain, first, axis=0)
+    rest = np.maximum(size[None, :] - own * count[:, None], 0)
+    total -= _xlogx(rest + count[:, None]) - _xlogx(rest)
+    best = total.argmax(axis=1)
+    # A tie with the present class stays.
+    stay = (now >= 0) & (total[np.arange(words), np.maximum(now, 0)] >= total[np.arange(words), best] - 1e-9)
+    return np.where(stay, now, best)
+
+
+def _by_word(left: DataFrame, words: DataFrame) -> DataFrame:
+    """(h, cls, k, n): a word's contexts as two lists; at most as many as there are context classes."""
+    lists = left.groupBy("h").agg(F.collect_list("k").alias("k"), F.collect_list("n").alias("n"))
+    return lists.join(words, "h")
+
+
+def exchange(left: DataFrame, words: DataFrame, classes: int, context_classes: int, rounds: int) -> tuple[DataFrame, np.ndarray]:
+    """Words (h, cls) after ``rounds`` of the exchange, from ``words`` (h, cls; -1: none yet), and the table N(k, c) of those that have a class."""
+    spark = left.sparkSession
+    state = materialise(_by_word(left, words), "exchange")
+
+    def table_of(state: DataFrame) -> np.ndarray:
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            cells = np.zeros(context_classes * classes)
+            for b in batches:
+                lengths = b["k"].str.len().to_numpy(np.int64)
+                if len(b) and lengths.sum():
+                    cells += np.bincount(np.concatenate(b["k"].tolist()).astype(np.int64) * classes + np.repeat(b["cls"].to_numpy(np.int64), lengths), np.concatenate(b["n"].tolist()), len(cells))
+            found = np.flatnonzero(cells)
+            yield pd.DataFrame({"cell": found, "n": cells[found].astype(np.int64)})
+
+        got = state.filter("cls >= 0").select("cls", "k", "n").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        table = np.zeros(context_classes * classes)
+        table[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(float)
+        return table.reshape(context_classes, classes)
+
+    table = table_of(state)
+    for number in range(rounds):
+        shared = spark.sparkContext.broadcast(table)
+
+        def move(batches: Iterator[pd.DataFrame], shared=shared, number=number) -> Iterator[pd.DataFrame]:
+            table = shared.value
+            size = table.sum(axis=0)
+            for whole in batches:
+                for a in range(0, len(whole), 1000):
+                    b = whole.iloc[a : a + 1000]
+                    now = b["cls"].to_numpy(np.int64)
+                    lengths = b["k"].str.len().to_numpy(np.int64)
+                    at = np.repeat(np.arange(len(b)), lengths)
+                    best = best_classes(table, size, at, np.concatenate(b["k"].tolist()).astype(np.int64), np.concatenate(b["n"].tolist()).astype(float), now)
+                    turn = (b["h"].to_numpy() >> 7) % 2 == number % 2
+                    yield b.assign(cls=np.where(turn | (now < 0), best, now).astype(np.int32))
+
+        state = materialise(state.mapInPandas(move, state.schema), "exchange")
+        table = table_of(state)
+    return state.select("h", "cls"), table
 
 
 @dataclass
 class Model:
     vocab: Vocabulary
-    cls: np.ndarray  #: unit -> class
-    step: np.ndarray  #: log10 P(class | class before)
+    contexts: Contexts
+    cls: np.ndarray  #: class of each word of the table
+    step: np.ndarray  #: log10 P(class | context class before)
     mass: np.ndarray  #: class -> tokens + 0.5 (words + 1), what emission counts are divided by
+    min_count: int
 
-    @classmethod
-    def fit(cls, vocab: Vocabulary, bigrams: np.ndarray, classes: int, rounds: int, prior: float = 10.0) -> Model:
-        of = exchange(bigrams, vocab.exchange, classes, rounds)
-        t = int(of.max()) + 1
-        onto = np.zeros((len(of), t))
-        onto[np.arange(len(of)), of] = 1
-        pair, size = onto.T @ bigrams @ onto, onto.T @ bigrams.sum(axis=0)
-        back = (size + 0.5) / (size.sum() + 0.5 * t)
-        step = np.log10((pair + prior * back) / (pair.sum(axis=1, keepdims=True) + prior))
-        kinds = np.bincount(of[: vocab.exchange], minlength=t).astype(float)
-        kinds[of[vocab.exchange : -1]] = vocab.shape_words
-        kinds[of[-1]] = 1
-        return cls(vocab, of, step, size + 0.5 * (kinds + 1))
-
-
-def train(docs: DataFrame, text: str = "text", table_words: int = 100_000, exchange_words: int = 1000, classes: int = 48, rounds: int = 5) -> tuple[Model, DataFrame]:
-    """The model and the counts (w, shape, n) of all training words."""
-    text_batches(docs.sparkSession)
-    counts = materialise(count_words(docs, text), "word-counts")
-    vocab = vocabulary(counts, table_words, exchange_words)
-    return Model.fit(vocab, count_bigrams(docs, text, vocab), classes, rounds), counts
+    @property
+    def end(self) -> int:
+        return self.contexts.end
+
+
+def smoothed(pair: np.ndarray, prior: float = 10.0) -> np.ndarray:
+    """log10 P(class | context class): counts with ``prior`` tokens of the classes' own shares."""
+    size = pair.sum(axis=0)
+    back = (size + 0.5) / (size.sum() + 0.5 * len(size))
+    return np.log10((pair + prior * back) / (pair.sum(axis=1, keepdims=True) + prior))
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text: str = "text", flag: Column | None = None) -> DataFrame:
+def train(docs: DataFrame, text: str = "text", table_words: int = 100_000, classes: int = 48, rounds: int = 4, min_count: int = 5) -> tuple[Model, DataFrame]:
+    """The model and (w, n, cls) of all training words; the classes of words are followed by one a shape and that of the end token."""
+    text_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    counts = materialise(count_words(docs, text), "word-counts")
+    vocab = vocabulary(counts, table_words)
+    n_contexts = classes + SHAPES + 1
+    # The most frequent words begin as classes of their own.
+    seeds = spark.createDataFrame([(word_hash(w), k) for k, w in enumerate(vocab.words[:classes])], "h long, seed int")
+    taking_part = counts.filter((F.col("n") >= min_count) & (F.octet_length("w") > 0)).select("h")
+    words = taking_part.join(F.broadcast(seeds), "h", "left").select("h", F.coalesce("seed", F.lit(-1)).alias("cls"))
+    contexts = Contexts(classes, {w: k for k, w in enumerate(vocab.words[:classes])})
+    for last in (False, True):
+        left = materialise(left_contexts(docs, text, contexts), "left-contexts")
+        words, pair = exchange(left, words, classes, n_contexts, rounds)
+        if not last:
+            contexts = Contexts(classes, _table_classes(vocab, words))
+    # Classes of words, of shapes and of the end token; a word's own row tells its class.
+    placed = materialise(counts.join(words, "h", "left").select("w", "h", "n", F.coalesce("cls", F.col("shape") + classes).alias("cls")), "word-classes")
+    kinds = np.zeros(n_contexts)
+    for r in placed.groupBy("cls").agg(F.count("*").alias("words")).collect():  # a row for each class
+        kinds[r["cls"]] = r["words"]
+    rest = left.join(placed.filter(F.col("cls") >= classes).select("h", "cls"), "h").groupBy("k", "cls").agg(F.sum("n").alias("n")).collect()  # context classes by shapes
+    whole = np.zeros((n_contexts, n_contexts))
+    whole[:, :classes] = pair
+    for r in rest:
+        whole[r["k"], r["cls"]] = r["n"]
+    own = _table_classes(vocab, placed)
+    cls = np.array([own[w] for w in vocab.words] or [0], np.int64)
+    return Model(vocab, contexts, cls, smoothed(whole), whole.sum(axis=0) + 0.5 * (kinds + 1), min_count), placed.select("w", "n", "cls")
+
+
+def _table_classes(vocab: Vocabulary, words: DataFrame) -> dict[bytes, int]:
+    """Classes of the words of the table, as far as they have one."""
+    by_hash = {word_hash(w): w for w in vocab.words}
+    table = words.sparkSession.createDataFrame(pd.DataFrame({"th": np.array(list(by_hash), np.int64)}), "th long")
+    got = words.join(F.broadcast(table), F.col("h") == F.col("th")).select("h", "cls").toPandas()  # table_words rows at most
+    return {by_hash[h]: c for h, c in zip(got["h"].tolist(), got["cls"].tolist(), strict=True)}
+
+
+def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id", text: str = "text", flag: Column | None = None) -> DataFrame:
     """Per row: id, flag, n_tokens, n_known, train_tokens, base_score (unigram), score and perplexity (class model)."""
     vocab = model.vocab
-    table = {w: i for i, w in enumerate(vocab.words)}
     floor = vocab.total + 0.5 * (vocab.distinct + 1)
-    ends = counts.filter(F.octet_length("w") == 0).select("n").first()
-    shared = docs.sparkSession.sparkContext.broadcast((table, vocab.units(), model, 0 if ends is None else ends["n"]))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((model, {w: i for i, w in enumerate(vocab.words)}))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, units, model, end_count = shared.value
-        vocab, get = model.vocab, table.get
-        unit = np.array([units[w] for w in vocab.words] or [0], np.int64)
+        model, table = shared.value
+        vocab, get, classes = model.vocab, table.get, model.contexts.classes
         counts = vocab.counts if len(vocab.counts) else np.zeros(1, np.int64)
         base = np.log10((counts + 0.5) / floor)
-        emit = np.log10((counts + 0.5) / model.mass[model.cls[unit]])
-        end_unit = vocab.exchange + SHAPES
-        end_base, end_emit = np.log10((end_count + 0.5) / floor), np.log10((end_count + 0.5) / model.mass[model.cls[end_unit]])
+        emit = np.log10((counts + 0.5) / model.mass[model.cls])
+        before_of = model.contexts.number(vocab.words) if vocab.words else np.zeros(1, np.int64)
+        end = model.end
+        end_base, end_emit = np.log10((vocab.ends + 0.5) / floor), np.log10((vocab.ends + 0.5) / model.mass[end])
         for batch in batches:
             out = []
             for t in batch["text"]:
                 words = tokens(t)
-                before, n, known, b, s = model.cls[end_unit], len(words) + 1, int(end_count > 0), end_base, end_emit
-                tail: Counter[bytes] = Counter()
+                before, n, known, b, s = end, len(words) + 1, int(vocab.ends > 0), end_base, end_emit
+                tail: Counter[tuple[bytes, int]] = Counter()
                 for at in range(0, len(words), PIECE):
                     part = words[at : at + PIECE]
-                    ids = np.array([get(w, -1) for w in part], np.int64)
-                    u = unit[ids]
+                    ids = np.fromiter((get(w, -1) for w in part), np.int64, len(part))
+                    k = before_of[ids]
                     rare = np.flatnonzero(ids < 0)
                     if len(rare):
-                        missing = [part[k] for k in rare.tolist()]
-                        tail.update(missing)
-                        u[rare] = [vocab.exchange + shape_class(w) for w in missing]
-                    c = model.cls[u]
-                    s += model.step[np.concatenate(([before], c[:-1])), c].sum()
-                    before = c[-1]
+                        k[rare] = [classes + shape_class(part[i]) for i in rare.tolist()]
+                    ahead = np.concatenate(([before], k[:-1]))
+                    before = k[-1]
+                    if len(rare):
+                        tail.update((part[i], int(ahead[i])) for i in rare.tolist())
                     hit = ids[ids >= 0]
                     known += len(hit)
                     b += base[hit].sum()
-                    s += emit[hit].sum()
-                s += model.step[before, model.cls[end_unit]]
-                out.append((n, known, float(b), float(s), [{"w": w, "m": m, "c": int(model.cls[vocab.exchange + shape_class(w)])} for w, m in tail.items()]))
+                    s += emit[hit].sum() + model.step[ahead[ids >= 0], model.cls[hit]].sum()
+                s += model.step[before, end]
+                out.append((n, known, float(b), float(s), [{"w": w, "k": k, "m": m, "shape": classes + shape_class(w)} for (w, k), m in tail.items()]))
             made = pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "model", "tail"])
             yield pd.concat([batch[["rid", "id", "flag"]].reset_index(drop=True), made], axis=1)
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), (F.lit(False) if flag is None else flag).alias("flag"), F.col(text).alias("text"))
-    parts = materialise(rows.mapInPandas(measure, f"rid long, id {kind}, flag boolean, n_tokens long, n_known long, base double, model double, tail array<struct<w: binary, m: long, c: int>>"), "lm-parts")
-    tail = parts.select("rid", F.explode("tail").alias("t")).select("rid", "t.w", "t.m", "t.c")
-    rare = counts.filter((F.col("n") < vocab.least) & (F.octet_length("w") > 0)).select(F.col("w").alias("cw"), "n")
+    parts = materialise(rows.mapInPandas(measure, f"rid long, id {kind}, flag boolean, n_tokens long, n_known long, base double, model double, tail array<struct<w: binary, k: int, m: long, shape: int>>"), "lm-parts")
+    tail = parts.select("rid", F.explode("tail").alias("t")).select("rid", "t.*")
+    rare = words.filter((F.col("n") < vocab.least) & (F.octet_length("w") > 0)).select(F.col("w").alias("cw"), "n", "cls")
+    # The class tables, one row for each pair of classes.
+    steps = spark.createDataFrame(pd.DataFrame([(k, c, float(x), float(model.mass[c])) for k, row in enumerate(model.step) for c, x in enumerate(row)], columns=["sk", "sc", "step", "mass"]))
     seen = F.coalesce("n", F.lit(0)) + 0.5
-    mass = F.element_at(F.array(*[F.lit(float(x)) for x in model.mass]), F.col("c") + 1)
-    sums = (
-        tail.join(rare, F.col("w") == F.col("cw"), "left")
-        .groupBy("rid")
-        .agg(F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("t_known"), F.sum(F.col("m") * F.log10(seen / floor)).alias("t_base"), F.sum(F.col("m") * F.log10(seen / mass)).alias("t_model"))
-    )
+    joined = tail.join(rare, F.col("w") == F.col("cw"), "left").withColumn("c", F.coalesce("cls", "shape"))
+    joined = joined.join(F.broadcast(steps), (F.col("k") == F.col("sk")) & (F.col("c") == F.col("sc")))
+    sums = joined.groupBy("rid").agg(
+        F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("t_known"), F.sum(F.col("m") * F.log10(seen / floor)).alias("t_base"), F.sum(F.col("m") * (F.log10(seen / F.col("mass")) + F.col("step"))).alias("t_model")
+    )
     whole = parts.drop("tail").join(sums.withColumnRenamed("rid", "srid"), F.col("rid") == F.col("srid"), "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return whole.select(
@@ -304,5 +377,5 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
 def op9_brown_lm(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = held_out(F.col("doc_id"), 5, 1)
-    model, counts = train(docs.filter(~out))
-    return score(docs, model, counts, flag=out).withColumnRenamed("flag", "held_out")
+    model, words = train(docs.filter(~out))
+    return score(docs, model, words, flag=out).withColumnRenamed("flag", "held_out")
