@@ -24,12 +24,14 @@ a text have equal scores; without training texts all words are unknown; an empty
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +48,13 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+DIGIT = re.compile(rb"[0-9]").search
+
+
 def shape_class(word: bytes) -> int:
     """Length (4 steps) by kind: with a digit, with a final mark, of letters, other."""
     last = word[-1]
-    if any(48 <= c < 58 for c in word):
+    if DIGIT(word):
         kind = 0
     elif 97 <= last < 123 or last >= 128:
         kind = 2
@@ -131,42 +136,52 @@ class Contexts:
     def __post_init__(self):
         self.end = self.classes + SHAPES
 
-    def number(self, words: list[bytes]) -> np.ndarray:
-        get, base = self.of.get, self.classes
-        return np.fromiter((k if (k := get(w)) is not None else base + shape_class(w) for w in words), np.int64, len(words))
+    def number(self, word: bytes) -> int:
+        if not word:
+            return self.end
+        return k if (k := self.of.get(word)) is not None else self.classes + shape_class(word)
+
+
+class Numbers(dict):
+    """Word -> place in ``made``, which holds ``make(word)``; made once for each word."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.made = make, []
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self.made)
+        self.made.append(self.make(word))
+        return n
 
-def left_contexts(docs: DataFrame, text: str, contexts: Contexts, flush: int = 1 << 21) -> DataFrame:
+
+def left_contexts(docs: DataFrame, text: str, contexts: Contexts, flush: int = 6 << 20) -> DataFrame:
     """L: (h, k, n) of each word and the context classes before it, the end token (hash of no bytes) included; a text begins after an end token."""
     shared = docs.sparkSession.sparkContext.broadcast(contexts)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         contexts, digest = shared.value, xxhash.xxh64_intdigest
-        number: dict[bytes, int] = {}  # words of the pairs that are held
+        number = Numbers(contexts.number)  # words of the texts that are held
         held: list[np.ndarray] = []
         size, width = 0, contexts.end + 1
 
         def out() -> pd.DataFrame:
-            pair, n = np.unique(np.concatenate(held), return_counts=True)
-            hashes = np.fromiter((digest(w) for w in number), np.uint64, len(number)).view(np.int64)
+            """Texts stand behind each other, each ended by an end token, so that every word's neighbour is the one before it."""
+            ids = np.concatenate(held)
+            classes = np.array(number.made, np.int64)
+            pair, n = np.unique(ids * width + np.concatenate(([contexts.end], classes[ids[:-1]])), return_counts=True)
+            hashes = np.fromiter(map(digest, number), np.uint64, len(number)).view(np.int64)
             return pd.DataFrame({"h": hashes[pair // width], "k": (pair % width).astype(np.int32), "n": n})
 
         for batch in batches:
             for t in batch[text]:
                 words = tokens(t)
                 words.append(END)
-                before = contexts.end
-                for at in range(0, len(words), PIECE):
-                    part = words[at : at + PIECE]
-                    k = contexts.number(part[:-1] if at + PIECE >= len(words) else part)
-                    ids = np.fromiter((number.setdefault(w, len(number)) for w in part), np.int64, len(part))
-                    held.append(ids * width + np.concatenate(([before], k))[: len(part)])
-                    before = k[-1] if len(k) else before
-                    size += len(part)
+                held.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+                size += len(words)
                 if size > flush:
                     yield out()
-                    held, size = [], 0
-                    number.clear()
+                    number, held, size = Numbers(contexts.number), [], 0
         if held:
             yield out()
 
@@ -208,22 +223,28 @@ def _by_word(left: DataFrame, words: DataFrame) -> DataFrame:
     return lists.join(words, "h")
 
 
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of (cls, k, n): the word's place, context class and count of each entry of the lists, and the words' classes."""
+    k, n = batch.column("k"), batch.column("n")
+    at = np.repeat(np.arange(batch.num_rows), k.value_lengths().to_numpy(zero_copy_only=False))
+    return at, k.flatten().to_numpy().astype(np.int64), n.flatten().to_numpy().astype(float), batch.column("cls").to_numpy().astype(np.int64)
+
+
 def exchange(left: DataFrame, words: DataFrame, classes: int, context_classes: int, rounds: int) -> tuple[DataFrame, np.ndarray]:
     """Words (h, cls) after ``rounds`` of the exchange, from ``words`` (h, cls; -1: none yet), and the table N(k, c) of those that have a class."""
     spark = left.sparkSession
     state = materialise(_by_word(left, words), "exchange")
 
     def table_of(state: DataFrame) -> np.ndarray:
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cells = np.zeros(context_classes * classes)
             for b in batches:
-                lengths = b["k"].str.len().to_numpy(np.int64)
-                if len(b) and lengths.sum():
-                    cells += np.bincount(np.concatenate(b["k"].tolist()).astype(np.int64) * classes + np.repeat(b["cls"].to_numpy(np.int64), lengths), np.concatenate(b["n"].tolist()), len(cells))
+                at, k, n, cls = _flat(b)
+                cells += np.bincount(k * classes + cls[at], n, len(cells))
             found = np.flatnonzero(cells)
-            yield pd.DataFrame({"cell": found, "n": cells[found].astype(np.int64)})
+            yield pa.RecordBatch.from_pydict({"cell": found, "n": cells[found].astype(np.int64)})
 
-        got = state.filter("cls >= 0").select("cls", "k", "n").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        got = state.filter("cls >= 0").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
         table = np.zeros(context_classes * classes)
         table[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(float)
         return table.reshape(context_classes, classes)
@@ -232,20 +253,19 @@ def exchange(left: DataFrame, words: DataFrame, classes: int, context_classes: i
     for number in range(rounds):
         shared = spark.sparkContext.broadcast(table)
 
-        def move(batches: Iterator[pd.DataFrame], shared=shared, number=number) -> Iterator[pd.DataFrame]:
+        def move(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
             table = shared.value
             size = table.sum(axis=0)
             for whole in batches:
-                for a in range(0, len(whole), 1000):
-                    b = whole.iloc[a : a + 1000]
-                    now = b["cls"].to_numpy(np.int64)
-                    lengths = b["k"].str.len().to_numpy(np.int64)
-                    at = np.repeat(np.arange(len(b)), lengths)
-                    best = best_classes(table, size, at, np.concatenate(b["k"].tolist()).astype(np.int64), np.concatenate(b["n"].tolist()).astype(float), now)
-                    turn = (b["h"].to_numpy() >> 7) % 2 == number % 2
-                    yield b.assign(cls=np.where(turn | (now < 0), best, now).astype(np.int32))
-
-        state = materialise(state.mapInPandas(move, state.schema), "exchange")
+                for a in range(0, whole.num_rows, 1000):
+                    b = whole.slice(a, 1000)
+                    at, k, n, now = _flat(b)
+                    best = best_classes(table, size, at, k, n, now)
+                    turn = (b.column("h").to_numpy() >> 7) % 2 == number % 2
+                    cls = np.where(turn | (now < 0), best, now).astype(np.int32)
+                    yield b.set_column(b.schema.get_field_index("cls"), "cls", pa.array(cls))
+
+        state = materialise(state.mapInArrow(move, state.schema), "exchange")
         table = table_of(state)
     return state.select("h", "cls"), table
 
@@ -271,7 +291,7 @@ def smoothed(pair: np.ndarray, prior: float = 10.0) -> np.ndarray:
     return np.log10((pair + prior * back) / (pair.sum(axis=1, keepdims=True) + prior))
 
 
-def train(docs: DataFrame, text: str = "text", table_words: int = 100_000, classes: int = 48, rounds: int = 4, min_count: int = 5) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, text: str = "text", table_words: int = 100_000, classes: int = 48, rounds: tuple[int, int] = (3, 2), min_count: int = 5) -> tuple[Model, DataFrame]:
     """The model and (w, n, cls) of all training words; the classes of words are followed by one a shape and that of the end token."""
     text_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -283,9 +303,9 @@ def train(docs: DataFrame, text: str = "text", table_words: int = 100_000, class
     taking_part = counts.filter((F.col("n") >= min_count) & (F.octet_length("w") > 0)).select("h")
     words = taking_part.join(F.broadcast(seeds), "h", "left").select("h", F.coalesce("seed", F.lit(-1)).alias("cls"))
     contexts = Contexts(classes, {w: k for k, w in enumerate(vocab.words[:classes])})
-    for last in (False, True):
+    for last, times in enumerate(rounds):
         left = materialise(left_contexts(docs, text, contexts), "left-contexts")
-        words, pair = exchange(left, words, classes, n_contexts, rounds)
+        words, pair = exchange(left, words, classes, n_contexts, times)
         if not last:
             contexts = Contexts(classes, _table_classes(vocab, words))
     # Classes of words, of shapes and of the end token; a word's own row tells its class.
@@ -318,44 +338,59 @@ def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model, {w: i for i, w in enumerate(vocab.words)}))
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table = shared.value
-        vocab, get, classes = model.vocab, table.get, model.contexts.classes
+        vocab, get, end = model.vocab, table.get, model.end
         counts = vocab.counts if len(vocab.counts) else np.zeros(1, np.int64)
         base = np.log10((counts + 0.5) / floor)
         emit = np.log10((counts + 0.5) / model.mass[model.cls])
-        before_of = model.contexts.number(vocab.words) if vocab.words else np.zeros(1, np.int64)
-        end = model.end
+        before_of = np.array([model.contexts.number(w) for w in vocab.words] or [0], np.int64)
         end_base, end_emit = np.log10((vocab.ends + 0.5) / floor), np.log10((vocab.ends + 0.5) / model.mass[end])
+        shapes = Numbers(lambda w: model.contexts.classes + shape_class(w))
         for batch in batches:
-            out = []
-            for t in batch["text"]:
+            n_tokens, n_known, bases, scores, ends = [], [], [], [], [0]
+            tail: list[tuple[bytes, int]] = []
+            times: list[int] = []
+            for t in batch.column("text").to_pylist():
                 words = tokens(t)
-                before, n, known, b, s = end, len(words) + 1, int(vocab.ends > 0), end_base, end_emit
-                tail: Counter[tuple[bytes, int]] = Counter()
+                before, known, b, s = end, int(vocab.ends > 0), end_base, end_emit
+                own: Counter[tuple[bytes, int]] = Counter()
                 for at in range(0, len(words), PIECE):
                     part = words[at : at + PIECE]
-                    ids = np.fromiter((get(w, -1) for w in part), np.int64, len(part))
+                    ids = np.fromiter([get(w, -1) for w in part], np.int64, len(part))
                     k = before_of[ids]
                     rare = np.flatnonzero(ids < 0)
-                    if len(rare):
-                        k[rare] = [classes + shape_class(part[i]) for i in rare.tolist()]
+                    unknown = [part[i] for i in rare.tolist()]
+                    if unknown:
+                        place = np.fromiter(map(shapes.__getitem__, unknown), np.int64, len(unknown))
+                        k[rare] = np.array(shapes.made, np.int64)[place] if len(place) > 4096 else [shapes.made[i] for i in place.tolist()]
                     ahead = np.concatenate(([before], k[:-1]))
                     before = k[-1]
-                    if len(rare):
-                        tail.update((part[i], int(ahead[i])) for i in rare.tolist())
-                    hit = ids[ids >= 0]
+                    if unknown:
+                        own.update(zip(unknown, ahead[rare].tolist(), strict=True))
+                    at_table = ids >= 0
+                    hit = ids[at_table]
                     known += len(hit)
                     b += base[hit].sum()
-                    s += emit[hit].sum() + model.step[ahead[ids >= 0], model.cls[hit]].sum()
-                s += model.step[before, end]
-                out.append((n, known, float(b), float(s), [{"w": w, "k": k, "m": m, "shape": classes + shape_class(w)} for (w, k), m in tail.items()]))
-            made = pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "model", "tail"])
-            yield pd.concat([batch[["rid", "id", "flag"]].reset_index(drop=True), made], axis=1)
+                    s += emit[hit].sum() + model.step[ahead[at_table], model.cls[hit]].sum()
+                n_tokens.append(len(words) + 1)
+                n_known.append(known)
+                bases.append(float(b))
+                scores.append(float(s + model.step[before, end]))
+                tail += own
+                times += own.values()
+                ends.append(len(tail))
+                if len(shapes) > 500_000:
+                    shapes = Numbers(shapes.make)
+            w = [x for x, _ in tail]
+            fields = {"w": pa.array(w, pa.binary()), "k": pa.array([k for _, k in tail], pa.int32()), "m": pa.array(times, pa.int64()), "shape": pa.array([shapes.make(x) for x in w], pa.int32())}
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+            kept = {c: batch.column(c) for c in ("rid", "id", "flag")}
+            yield pa.RecordBatch.from_pydict(kept | {"n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base": pa.array(bases, pa.float64()), "model": pa.array(scores, pa.float64()), "tail": lists})
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), (F.lit(False) if flag is None else flag).alias("flag"), F.col(text).alias("text"))
-    parts = materialise(rows.mapInPandas(measure, f"rid long, id {kind}, flag boolean, n_tokens long, n_known long, base double, model double, tail array<struct<w: binary, k: int, m: long, shape: int>>"), "lm-parts")
+    parts = materialise(rows.mapInArrow(measure, f"rid long, id {kind}, flag boolean, n_tokens long, n_known long, base double, model double, tail array<struct<w: binary, k: int, m: long, shape: int>>"), "lm-parts")
     tail = parts.select("rid", F.explode("tail").alias("t")).select("rid", "t.*")
     rare = words.filter((F.col("n") < vocab.least) & (F.octet_length("w") > 0)).select(F.col("w").alias("cw"), "n", "cls")
     # The class tables, one row for each pair of classes.
