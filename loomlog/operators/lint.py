@@ -97,8 +97,15 @@ def rules(docs: DataFrame, files: DataFrame) -> DataFrame:
     bad = found(globs.filter(~balanced_glob(F.col("glob"))), [("RUL002", "error", F.lit(True), "invalid glob")])
     like = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("glob", r"([.+()^$|\\])", r"\\$1"), r"\*\*/?", "\u0001"), r"\*", "[^/]*"), "\u0001", ".*")
     ok = globs.filter(balanced_glob(F.col("glob")) & ~F.col("glob").rlike(r"[\[{]")).withColumn("like", F.concat(F.lit("(^|/)"), like, F.lit("$")))
-    # Globs are few; files meet them by a regular expression, which no equi-join can express.
-    used = ok.join(files.select(F.col("path").alias("file")), F.expr("file RLIKE like"), "left_semi").select("path", "glob")
+    # Files meet only the globs that end like them (up to 8 characters behind the last wildcard) or, failing that, that name one of their
+    # folders; a glob of wildcards alone needs any file.
+    tail, folder = F.regexp_extract("glob", r"([^*]{1,8})$", 1), F.regexp_extract("glob", r"([^*/]+)/", 1)
+    keyed = ok.withColumn("key", F.when(tail != "", F.concat(F.lit("t"), tail)).when(folder != "", F.concat(F.lit("f"), folder)).otherwise("any"))
+    ends = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda n: F.concat(F.lit("t"), F.right(F.col("path"), n)))
+    folders = F.transform(F.split("path", "/"), lambda x: F.concat(F.lit("f"), x))
+    candidates = files.select(F.col("path").alias("file"), F.explode(F.array_distinct(F.concat(ends, folders))).alias("key"))
+    candidates = candidates.unionByName(files.limit(1).select(F.col("path").alias("file"), F.lit("any").alias("key")))
+    used = keyed.join(candidates, "key").filter("key = 'any' OR file RLIKE like").select("path", "glob").distinct()
     none = found(ok.join(used, ["path", "glob"], "left_anti"), [("RUL003", "warning", F.lit(True), "glob matches no file")])
     return base.unionByName(bad).unionByName(none)
 

@@ -47,6 +47,20 @@ def with_results(blocks: DataFrame) -> DataFrame:
     return blocks.join(r, (F.col("session_id") == F.col("__s")) & (F.col("id") == F.col("__t")) & (F.col("type") == "tool_use"), "left").drop("__s", "__t")
 
 
+def tool_calls(blocks: DataFrame) -> DataFrame:
+    """(session_id, line_no, tool, category, failed, file) of each tool call among content blocks and their results."""
+    from ..functions.scalars import tool_category
+
+    file = F.coalesce(F.get_json_object("input", "$.file_path"), F.get_json_object("input", "$.path"), F.get_json_object("input", "$.notebook_path"))
+    calls = with_results(blocks).filter("kind = 'assistant' AND type = 'tool_use'")
+    return calls.select("session_id", "line_no", F.col("name").alias("tool"), tool_category(F.col("name")).alias("category"), F.coalesce("result_error", F.lit(False)).alias("failed"), file.alias("file"))
+
+
+def tool_report(calls: DataFrame, *by: str) -> DataFrame:
+    """Calls, failures, failure rate and distinct files of :func:`tool_calls`, by tool or category."""
+    return calls.groupBy(*by).agg(F.count("*").alias("calls"), F.count_if("failed").alias("errors"), F.countDistinct("file").alias("files")).withColumn("error_rate", F.col("errors") / F.col("calls"))
+
+
 def allow_deny_conflicts(allow: DataFrame, deny: DataFrame) -> DataFrame:
     """The first deny entry of each allow entry of which one is a prefix of the other.
 

@@ -12,15 +12,15 @@ SETTINGS = "hooks map<string,array<variant>>, mcpServers map<string,variant>, pe
 
 
 def documents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, content, size) of whole text files; paths that match nothing are left out."""
+    """(path, content, size, created) of whole text files; paths that match nothing are left out."""
     found = []
     for p in paths:
         try:
-            found.append(spark.read.format("binaryFile").load(p).select("path", F.col("content").cast("string").alias("content"), F.col("length").alias("size")))
+            found.append(spark.read.format("binaryFile").load(p).select("path", F.col("content").cast("string").alias("content"), F.col("length").alias("size"), F.col("modificationTime").alias("created")))
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-    out = spark.createDataFrame([], "path string, content string, size long")
+    out = spark.createDataFrame([], "path string, content string, size long, created timestamp")
     for f in found:
         out = out.unionByName(f)
     return out
@@ -64,11 +64,21 @@ def servers(sources: DataFrame, status: DataFrame | None = None) -> DataFrame:
     return one.join(status.select("name", "status"), "name", "left").fillna({"status": "unknown"})
 
 
-def server_status(log: DataFrame) -> DataFrame:
-    """(name, status) from log lines (line_no, value): the last of connected and failed counts."""
+def server_log(log: DataFrame) -> DataFrame:
+    """(name, status, capabilities, error) from log lines (line_no, value): the last state and capabilities count, the first error output."""
     name = F.regexp_extract("value", r'server "([^"]+)"', 1)
-    state = F.when(F.lower("value").contains("connected"), "connected").when(F.lower("value").rlike("failed|error"), "failed")
-    return log.select("line_no", name.alias("name"), state.alias("status")).filter("name <> '' AND status IS NOT NULL").groupBy("name").agg(F.max_by("status", "line_no").alias("status"))
+    rest = F.regexp_extract("value", r'server "[^"]+"\s*(.*)$', 1)
+    state = F.when(F.lower(rest).contains("connected"), "connected").when(F.lower(rest).rlike("failed|error"), "failed")
+    capabilities = F.nullif(F.regexp_extract(rest, r"^capabilities:\s*(\{.*\})$", 1), F.lit(""))
+    error = F.nullif(F.regexp_extract(rest, r"^stderr:\s*(.*)$", 1), F.lit(""))
+    told = log.select("line_no", name.alias("name"), error.alias("error"), capabilities.alias("capabilities"), F.when(error.isNull() & capabilities.isNull(), state).alias("status")).filter("name <> ''")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
+    return told.groupBy("name").agg(last("status"), last("capabilities"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("line_no"))).alias("error"))
+
+
+def server_status(log: DataFrame) -> DataFrame:
+    """(name, status) of the servers that the log says have connected or failed."""
+    return server_log(log).filter("status IS NOT NULL").select("name", "status")
 
 
 def server_counts(s: DataFrame) -> DataFrame:
@@ -93,8 +103,17 @@ def memory(spark: SparkSession, general: list[str], project: list[str]) -> DataF
     return documents(spark, general).withColumn("scope", F.lit("global")).unionByName(documents(spark, project).withColumn("scope", F.lit("project")))
 
 
+def extended_config(settings: DataFrame) -> DataFrame:
+    """(path, sandbox, plugins, model, shell, bare, env) with a value for everything that the file leaves out."""
+    flag = lambda k: F.coalesce(f"s.{k}", F.lit(False)).alias(k)
+    text = lambda k: F.coalesce(f"s.{k}", F.lit("")).alias(k)
+    return settings.select("path", flag("sandbox"), F.coalesce("s.plugins", F.array().cast("array<string>")).alias("plugins"), text("model"), text("shell"), flag("bare"), F.coalesce("s.env", F.create_map().cast("map<string,string>")).alias("env"))
+
+
 def plans(docs: DataFrame) -> DataFrame:
-    return docs.select("path", stem().alias("slug"), plan_title(F.col("content"), stem()).alias("title"), "size")
+    """(path, slug, title, size) of plan files, the newest first where ``docs`` says when they were made (created)."""
+    out = docs.select("path", stem().alias("slug"), plan_title(F.col("content"), stem()).alias("title"), "size", *[c for c in docs.columns if c == "created"])
+    return out.orderBy(F.desc("created"), "path") if "created" in docs.columns else out
 
 
 def plan_projects(lines: DataFrame, slugs: DataFrame) -> DataFrame:
@@ -103,6 +122,22 @@ def plan_projects(lines: DataFrame, slugs: DataFrame) -> DataFrame:
     return slugs.select("slug").join(named, "slug").distinct().orderBy("slug", "project_id")
 
 
+def valid_preferences(store: DataFrame, allowed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The entries (key, value) of a store that ``allowed`` (key, pattern) accepts, and the others, to be put aside."""
+    judged = store.join(F.broadcast(allowed), "key", "left").withColumn("__ok", F.coalesce(F.expr("value RLIKE pattern"), F.lit(False)))
+    return judged.filter("__ok").select("key", "value"), judged.filter("NOT __ok").select("key", "value")
+
+
+def put_preferences(store: DataFrame, patch: DataFrame) -> DataFrame:
+    """A (key, value) table with the entries of ``patch`` replaced or added."""
+    return store.join(patch.select("key"), "key", "left_anti").unionByName(patch.select("key", "value"))
+
+
 def put_preference(store: DataFrame, key: str, value: str) -> DataFrame:
-    """A (key, value) table with one entry replaced."""
-    return store.filter(F.col("key") != key).unionByName(store.sparkSession.createDataFrame([(key, value)], "key string, value string"))
+    return put_preferences(store, store.sparkSession.createDataFrame([(key, value)], "key string, value string"))
+
+
+def put_tags(stored: DataFrame, patch: DataFrame) -> DataFrame:
+    """(session_id, tags) with the tags of ``patch``'s sessions replaced; sessions without a tag left go."""
+    kept = stored.select("session_id", "tags").join(patch.select("session_id"), "session_id", "left_anti")
+    return kept.unionByName(patch.select("session_id", F.array_sort(F.array_distinct("tags")).alias("tags"))).filter(F.size("tags") > 0)

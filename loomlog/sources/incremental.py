@@ -39,26 +39,63 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("__n", rank).filter("__n = 1").drop("__n", "__v")
 
 
-def refresh(spark: SparkSession, root: str, store: str, build) -> DataFrame:
-    """Sessions of ``root``, kept as Parquet in ``store`` with a manifest; only sessions of changed files go through ``build(root, keys)``.
+def _versions(spark: SparkSession, store: str) -> list[int]:
+    """Finished versions in order: those whose manifest, which is written last, has its success mark."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{store}/manifest-*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return sorted(int(x.getPath().getParent().getName().rpartition("-")[2]) for x in found)
+
+
+def stored(spark: SparkSession, store: str, versions: list[int]) -> DataFrame:
+    """The sessions as of the last of ``versions``: a row counts unless a later version touched its session."""
+    with_version = lambda name: [spark.read.parquet(f"{store}/{name}-{v}").withColumn("__v", F.lit(v)) for v in versions]
+    rows, *more = with_version("sessions")
+    for m in more:
+        rows = rows.unionByName(m, allowMissingColumns=True)
+    touched, *more = with_version("touched")
+    for m in more:
+        touched = touched.unionByName(m)
+    last = touched.groupBy("project_id", "session_id").agg(F.max("__v").alias("__last"))
+    return rows.join(last, ["project_id", "session_id"], "left").filter(F.col("__v") >= F.coalesce("__last", F.lit(0))).drop("__v", "__last")
+
+
+def refresh(spark: SparkSession, root: str, store: str, build, merge_every: int = 16) -> DataFrame:
+    """Sessions of ``root``, kept as Parquet in ``store``; only sessions of changed files go through ``build(root, keys)``.
 
-    New versions are written beside the old ones and named in a pointer file last, so a failed run leaves the old state.
+    A run writes what changed: the sessions built anew, the keys it touched and, last, the manifest, whose success mark makes the
+    version valid; a failed run leaves the old state. Every ``merge_every`` versions the whole is written as one and what it replaces is deleted.
     """
+    versions = _versions(spark, store)
+    now = listing(spark, root).persist()
+    try:
+        version = versions[-1] + 1 if versions else 1
+        if versions:
+            base = max(v for v in versions if (v - 1) % merge_every == 0)
+            own = [v for v in versions if v >= base]
+            manifest = spark.read.parquet(f"{store}/manifest-{versions[-1]}")
+            keys = touched_sessions(changed(now, manifest).unionByName(manifest.select(*KEY).join(now.select("path"), "path", "left_anti")))
+            keys.write.mode("overwrite").parquet(f"{store}/touched-{version}")
+            keys = spark.read.parquet(f"{store}/touched-{version}")
+            fresh = build(root, keys)
+            if (version - 1) % merge_every == 0:
+                fresh = stored(spark, store, own).join(keys, ["project_id", "session_id"], "left_anti").unionByName(fresh, allowMissingColumns=True)
+                own = []
+        else:
+            own, fresh = [], build(root, None)
+            touched_sessions(now).limit(0).write.mode("overwrite").parquet(f"{store}/touched-{version}")
+        fresh.write.mode("overwrite").parquet(f"{store}/sessions-{version}")
+        now.write.mode("overwrite").parquet(f"{store}/manifest-{version}")
+    finally:
+        now.unpersist()
+    if not own:
+        _drop(spark, store, [v for v in versions if v < version])
+    return stored(spark, store, [*own, version])
+
+
+def _drop(spark: SparkSession, store: str, versions: list[int]) -> None:
     jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(store).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    exists = lambda p: fs.exists(jvm.org.apache.hadoop.fs.Path(p))
-    now, pointer = listing(spark, root).persist(), f"{store}/current"
-    version = int(spark.read.text(pointer).first()[0]) if exists(pointer) else 0
-    if version:
-        manifest, old = spark.read.parquet(f"{store}/manifest-{version}"), spark.read.parquet(f"{store}/sessions-{version}")
-        keys = touched_sessions(changed(now, manifest).unionByName(manifest.select(*KEY).join(now.select("path"), "path", "left_anti"))).persist()
-        fresh = build(root, keys)
-        sessions = old.join(keys, ["project_id", "session_id"], "left_anti").unionByName(fresh, allowMissingColumns=True)
-    else:
-        sessions = build(root, None)
-    version += 1
-    sessions.write.mode("overwrite").parquet(f"{store}/sessions-{version}")
-    now.write.mode("overwrite").parquet(f"{store}/manifest-{version}")
-    spark.createDataFrame([(str(version),)], "v string").coalesce(1).write.mode("overwrite").text(pointer)
-    now.unpersist()
-    return spark.read.parquet(f"{store}/sessions-{version}")
+    for v in versions:
+        for name in ("manifest", "sessions", "touched"):
+            path = jvm.org.apache.hadoop.fs.Path(f"{store}/{name}-{v}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -98,3 +98,20 @@ def projects(sessions: DataFrame) -> DataFrame:
     live = sessions.filter("last_ts IS NOT NULL")
     p = live.groupBy("project_id").agg(F.count("*").alias("session_count"), F.max("last_ts").alias("last_ts"), F.min_by("project_path", F.col("first_ts")).alias("path"))
     return p.select(F.col("project_id").alias("id"), last_segment(F.col("path")).alias("name"), "path", "session_count", "last_ts").orderBy(F.desc("last_ts"), "id")
+
+
+def project_cwds(records: DataFrame) -> DataFrame:
+    """(project_id, cwd): the first working directory that a project's files name, in order of file and line."""
+    named = records.filter("agent_id IS NULL AND cwd <> ''")
+    return named.groupBy("project_id").agg(F.min_by("cwd", F.struct("session_id", "line_no")).alias("cwd"))
+
+
+def project_details(sessions: DataFrame, cwds: DataFrame) -> DataFrame:
+    """id, path, name and has_cwd of each project: its working directory, else a session's path that isn't the decoded id, else that."""
+    from ..functions.scalars import decode_project_id, last_segment
+
+    decoded = decode_project_id(F.col("project_id"))
+    other = F.when(F.col("project_path") != decoded, F.struct(F.col("first_ts"), F.col("session_id"), F.col("project_path").alias("p")))
+    p = sessions.groupBy("project_id").agg(F.min(other).alias("o")).join(cwds, "project_id", "left")
+    path = F.coalesce("cwd", "o.p", decoded)
+    return p.select(F.col("project_id").alias("id"), path.alias("path"), last_segment(path).alias("name"), F.col("cwd").isNotNull().alias("has_cwd"))

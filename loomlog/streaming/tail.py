@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.lint import secret_lines
+from ..sources.catalog import settings
 from ..sources.incremental import touched_sessions
 
 
@@ -22,18 +23,24 @@ def stream_lines(spark: SparkSession, root: str, files_per_trigger: int = 1000)
     return raw.select("value", F.col("_metadata.file_path").alias("path")).filter(F.col("path").rlike(r"/projects/[^/]+/[^/]+\.jsonl$"))
 
 
-def refold(lines: DataFrame, build: Callable[[DataFrame], DataFrame], put: Callable[[DataFrame], None], checkpoint: str, interval: str = "300 milliseconds") -> StreamingQuery:
-    """For each batch: the sessions it touches are folded again as a whole by ``build(keys)`` and upserted by ``put``."""
+def stream_settings(spark: SparkSession, root: str) -> DataFrame:
+    """(path, s, seen_at) of each settings file that is new under ``root``, parsed whole; writers replace a file by a new one."""
+    raw = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "settings*.json").option("wholetext", "true").schema("value string").format("text").load(root)
+    return settings(raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))).withColumn("seen_at", F.current_timestamp())
+
+
+def refold(lines: DataFrame, build: Callable[[DataFrame], DataFrame], put: Callable[[DataFrame], None], checkpoint: str, interval: str = "300 milliseconds", once: bool = False) -> StreamingQuery:
+    """With ``once``, what is there now is taken up and the query ends. For each batch: the sessions it touches are folded again as a whole by ``build(keys)`` and upserted by ``put``."""
 
     def each(batch: DataFrame, _: int) -> None:
         put(build(touched_sessions(batch.select("path"))))
 
-    return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+    return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**({"availableNow": True} if once else {"processingTime": interval})).start()
 
 
 def secret_alerts(lines: DataFrame, delay: str = "1 day") -> DataFrame:
     """Each finding once per fingerprint (check id and masked value), kept as state while the watermark lasts."""
-    hits = secret_lines(lines.withColumn("line_no", F.lit(0)).withColumn("seen_at", F.current_timestamp()), None)
+    hits = secret_lines(lines.withColumn("line_no", F.lit(0)), None)
     return hits.withColumn("fingerprint", F.concat_ws(":", "check_id", "masked")).withColumn("seen_at", F.current_timestamp()).withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["fingerprint"])
 
 

@@ -12,6 +12,7 @@ from .operators import records as X
 from .plans import reports as R
 from .queries import NOW, fold_of, query
 from .sources.adapter import event_records
+from .sources.files import shared_root
 
 
 def table(spark, d, name):
@@ -113,18 +114,11 @@ query("j16_import_closure", """WITH RECURSIVE ed AS (SELECT p_partkey AS src, p_
 
 
 def _closure(s, d):
-    if s.sparkContext.getCheckpointDir() is None:
-        _checkpoints(s)
+    shared_root(s, "closure")  # names a checkpoint folder where a local session has none
     part = table(s, d, "part")
     return X.import_depths(part.filter("p_partkey > 1").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst")), part.select(F.col("p_partkey").alias("node")))
 
 
-def _checkpoints(s) -> None:
-    import tempfile
-
-    s.sparkContext.setCheckpointDir(s.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="loomlog-"))
-
-
 # --- search, windows, sets --------------------------------------------------------------------------------------
 
 query("a31_search", """WITH q AS (SELECT conv_id, turn, text, strpos(lower(text), 'tion') AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE lower(text) LIKE '%tion%'), b AS (SELECT *, greatest(p - 40, 1) AS f, least(p + 84, length(text) + 1) AS t FROM q)

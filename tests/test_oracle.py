@@ -5,7 +5,7 @@ from __future__ import annotations
 import compare
 import pytest
 from loomlog import queries as library
-from loomlog import report_queries, table_queries  # noqa: F401  (register their queries)
+from loomlog import file_queries, report_queries, table_queries  # noqa: F401  (register their queries)
 
 SF = "/root/testdata/sf0.001"
 
