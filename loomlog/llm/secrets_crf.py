@@ -8,7 +8,7 @@ spans are added to them.
 The CRF is fitted by gradient ascent on the log-likelihood of windows of tokens from a bounded sample: at most ``windows`` windows of each
 of ``train_docs`` documents with and as many without a base finding. Labels are the values that the base patterns find; so that it
 learns what the patterns miss, each window with a value comes ``variants`` times more with the value cut short or replaced by random characters,
-the sign between keyword and value replaced or dropped, and the keyword changed or, before long values, dropped.
+the sign between keyword and value replaced or dropped, the keyword changed or, before long values, dropped, and other words before it.
 
 No secret begins with a plain word or a mark (the begin label is barred there), so only lines with a telling token are
 decoded. Lines are independent, whole texts are read.
@@ -153,7 +153,7 @@ class Crf:
         self.banned[O, I] = -1e9  # inside needs a begin
         self.w[list(QUIET), B] = -1e9  # no secret begins with a quiet shape: a line of quiet shapes decodes to O throughout
 
-    def fit(self, windows: list[Window], steps: int = 150, rate: float = 0.15, decay: float = 2e-3) -> Crf:
+    def fit(self, windows: list[Window], steps: int = 150, rate: float = 0.15, decay: float = 3e-4) -> Crf:
         """Full-batch gradient ascent (Adam) on the penalised log-likelihood, by forward-backward over all windows at once."""
         n, most = len(windows), max(len(x.tokens) for x in windows)
         x = np.full((n, most, 8), N_FEATURES - 1)
@@ -280,16 +280,22 @@ def variant(window: Window, draw: np.random.Generator) -> Window:
         head.pop()
     if not re.search("[0-9]", value):
         value = f"{value[:3]}{int(draw.integers(10))}{value[4:]}"
+    # Other words around it: which words those are says nothing about a secret.
+    head = ["".join(LETTERS[i] for i in draw.integers(0, 26, int(draw.integers(2, 9)))) if shape(x) == PLAIN else x for x in head]
     keep = labels[: len(head)]
     key = "" if len(value) >= 24 and draw.random() < 0.3 else KEYWORDS[int(draw.integers(len(KEYWORDS)))]
     middle = [x for x in (key, SIGNS[int(draw.integers(len(SIGNS)))] if key else "") if x]
+    tail, rest = tokens[end:], labels[end:]
     if draw.random() < 0.3:
         middle.append('"')
+    else:
+        while tail and shape(tail[0]) == QUOTE:
+            tail, rest = tail[1:], rest[1:]
     made = TOKEN.findall(value)
-    return Window(head + middle + made + tokens[end:], keep + [O] * len(middle) + [B] + [I] * (len(made) - 1) + labels[end:], window.file if not key else window.file | 2)
+    return Window(head + middle + made + tail, keep + [O] * len(middle) + [B] + [I] * (len(made) - 1) + rest, window.file if not key else window.file | 2)
 
 
-def train(docs: DataFrame, text: str = "text", train_docs: int = 300, windows: int = 4, variants: int = 3) -> Crf:
+def train(docs: DataFrame, text: str = "text", train_docs: int = 300, windows: int = 4, variants: int = 8) -> Crf:
     """A CRF from at most ``windows`` windows of at most ``train_docs`` documents with a base finding and as many others, chosen by a hash of the text."""
     words = r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"
     pool = docs.select(F.col(text).alias("t"), F.xxhash64(text).alias("h"), F.col(text).rlike(words).alias("found")).filter("t IS NOT NULL")
