@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, held_out, materialise, text_batches
+from .substring_dedup import Bits, filter_of
 
 END = b""  #: the end token; no word is empty
 SHAPES = 16
@@ -155,12 +156,16 @@ class Numbers(dict):
         return n
 
 
-def left_contexts(docs: DataFrame, text: str, contexts: Contexts, flush: int = 6 << 20) -> DataFrame:
-    """L: (h, k, n) of each word and the context classes before it, the end token (hash of no bytes) included; a text begins after an end token."""
-    shared = docs.sparkSession.sparkContext.broadcast(contexts)
+def left_contexts(docs: DataFrame, text: str, contexts: Contexts, taking_part: Bits | None = None, flush: int = 6 << 20) -> DataFrame:
+    """L: (h, k, n) of each word and the context classes before it; a text begins after an end token.
+
+    Words that surely don't take part in the exchange, by the filter ``taking_part``, and the end token are counted together by shape: h is
+    their number, 0 to SHAPES. A word that the filter lets through by mistake is counted as itself, and told apart when joined.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((contexts, taking_part))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        contexts, digest = shared.value, xxhash.xxh64_intdigest
+        (contexts, taking_part), digest = shared.value, xxhash.xxh64_intdigest
         number = Numbers(contexts.number)  # words of the texts that are held
         held: list[np.ndarray] = []
         size, width = 0, contexts.end + 1
@@ -169,8 +174,18 @@ def left_contexts(docs: DataFrame, text: str, contexts: Contexts, flush: int = 6
             """Texts stand behind each other, each ended by an end token, so that every word's neighbour is the one before it."""
             ids = np.concatenate(held)
             classes = np.array(number.made, np.int64)
-            pair, n = np.unique(ids * width + np.concatenate(([contexts.end], classes[ids[:-1]])), return_counts=True)
-            hashes = np.fromiter(map(digest, number), np.uint64, len(number)).view(np.int64)
+            hashes = np.fromiter(map(digest, number), np.uint64, len(number))
+            own = np.arange(len(number))
+            if taking_part is not None:
+                words, out = list(number), np.flatnonzero(~taking_part.has(hashes))
+                shapes = np.array([SHAPES if not words[i] else shape_class(words[i]) for i in out.tolist()], np.int64)
+                # Words of a shape go under the first of them.
+                hashes[out] = shapes.astype(np.uint64)
+                first = np.zeros(SHAPES + 1, np.int64)
+                first[shapes[::-1]] = out[::-1]
+                own[out] = first[shapes]
+            pair, n = np.unique(own[ids] * width + np.concatenate(([contexts.end], classes[ids[:-1]])), return_counts=True)
+            hashes = hashes.view(np.int64)
             return pd.DataFrame({"h": hashes[pair // width], "k": (pair % width).astype(np.int32), "n": n})
 
         for batch in batches:
@@ -291,7 +306,7 @@ def smoothed(pair: np.ndarray, prior: float = 10.0) -> np.ndarray:
     return np.log10((pair + prior * back) / (pair.sum(axis=1, keepdims=True) + prior))
 
 
-def train(docs: DataFrame, text: str = "text", table_words: int = 100_000, classes: int = 48, rounds: tuple[int, int] = (3, 2), min_count: int = 5) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, text: str = "text", table_words: int = 300_000, classes: int = 48, rounds: tuple[int, int] = (3, 2), min_count: int = 5) -> tuple[Model, DataFrame]:
     """The model and (w, n, cls) of all training words; the classes of words are followed by one a shape and that of the end token."""
     text_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -303,8 +318,9 @@ def train(docs: DataFrame, text: str = "text", table_words: int = 100_000, class
     taking_part = counts.filter((F.col("n") >= min_count) & (F.octet_length("w") > 0)).select("h")
     words = taking_part.join(F.broadcast(seeds), "h", "left").select("h", F.coalesce("seed", F.lit(-1)).alias("cls"))
     contexts = Contexts(classes, {w: k for k, w in enumerate(vocab.words[:classes])})
+    taking_filter = filter_of(taking_part.select(F.col("h").alias("anchor")))
     for last, times in enumerate(rounds):
-        left = materialise(left_contexts(docs, text, contexts), "left-contexts")
+        left = materialise(left_contexts(docs, text, contexts, taking_filter), "left-contexts")
         words, pair = exchange(left, words, classes, n_contexts, times)
         if not last:
             contexts = Contexts(classes, _table_classes(vocab, words))
@@ -313,7 +329,9 @@ def train(docs: DataFrame, text: str = "text", table_words: int = 100_000, class
     kinds = np.zeros(n_contexts)
     for r in placed.groupBy("cls").agg(F.count("*").alias("words")).collect():  # a row for each class
         kinds[r["cls"]] = r["words"]
-    rest = left.join(placed.filter(F.col("cls") >= classes).select("h", "cls"), "h").groupBy("k", "cls").agg(F.sum("n").alias("n")).collect()  # context classes by shapes
+    mistaken = left.filter(~F.col("h").between(0, SHAPES)).join(placed.filter(F.col("cls") >= classes).select("h", "cls"), "h").select("k", "cls", "n")
+    by_shape = left.filter(F.col("h").between(0, SHAPES)).select("k", (F.col("h") + classes).cast("int").alias("cls"), "n")
+    rest = by_shape.unionByName(mistaken).groupBy("k", "cls").agg(F.sum("n").alias("n")).collect()  # context classes by shapes
     whole = np.zeros((n_contexts, n_contexts))
     whole[:, :classes] = pair
     for r in rest:
@@ -380,12 +398,13 @@ def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id
                 tail += own
                 times += own.values()
                 ends.append(len(tail))
-                if len(shapes) > 500_000:
-                    shapes = Numbers(shapes.make)
             w = [x for x, _ in tail]
-            fields = {"w": pa.array(w, pa.binary()), "k": pa.array([k for _, k in tail], pa.int32()), "m": pa.array(times, pa.int64()), "shape": pa.array([shapes.make(x) for x in w], pa.int32())}
+            of_shape = np.array(shapes.made or [0], np.int32)[np.fromiter(map(shapes.__getitem__, w), np.int64, len(w))]
+            fields = {"w": pa.array(w, pa.binary()), "k": pa.array([k for _, k in tail], pa.int32()), "m": pa.array(times, pa.int64()), "shape": pa.array(of_shape)}
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
             kept = {c: batch.column(c) for c in ("rid", "id", "flag")}
+            if len(shapes) > 500_000:
+                shapes = Numbers(shapes.make)
             yield pa.RecordBatch.from_pydict(kept | {"n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base": pa.array(bases, pa.float64()), "model": pa.array(scores, pa.float64()), "tail": lists})
 
     kind = dict(docs.dtypes)[id_col]
