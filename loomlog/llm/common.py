@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,11 +66,22 @@ def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
 
 
 def with_row_keys(docs: DataFrame, tag: str) -> DataFrame:
-    """(rid, row): a written copy of ``docs`` in which every row has a number of its own, whatever its id is.
+    """(rid, row): ``docs`` with a number of its own for every row, whatever its id is.
 
-    Written, because numbers that Spark gives out anew on each reading need not agree.
+    Rows of files that are read as they are have their file and place in it; its files are numbered on the driver. Any other table is
+    written first, because numbers that Spark gives out anew on each computation need not agree.
     """
-    return materialise(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), tag)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    if docs._jdf.queryExecution().analyzed().children().isEmpty():
+        try:
+            placed = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), row)
+        except AnalysisException:  # no table of files
+            placed = None
+        if placed is not None:
+            files = [(r["file"], n << 40) for n, r in enumerate(placed.select("file").distinct().orderBy("file").collect())]
+            numbers = docs.sparkSession.createDataFrame(files, "file string, first long")
+            return placed.join(F.broadcast(numbers), "file").select((F.col("first") + F.col("at")).alias("rid"), "row")
+    return materialise(docs.select(F.monotonically_increasing_id().alias("rid"), row), tag)
 
 
 def remove(spark: SparkSession, path: str) -> None:
