@@ -97,6 +97,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def split_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int, most: int = 4096) -> DataFrame:
+    """Inner join of ``rows`` with ``table``: one row for each value of ``keys``, with ``count``, how many of the ``total`` rows hold the value.
+
+    Values that more than one in ``most`` rows hold are broadcast, so that their rows stay where they are. There are fewer than ``most``
+    of them, whatever the data. The others are shuffled, and none brings more than one in ``most`` rows into a task. Keys aren't null.
+    """
+    often = F.broadcast(table.filter(F.col(count) > total // most))
+    others = rows.join(often.select(*keys), keys, "left_anti").join(table.filter(F.col(count) <= total // most), keys)
+    return rows.join(often, keys).unionByName(others)
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id's decimal text selects the held-out rows; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, text_batches
+from .common import documents, materialise, split_join, text_batches
 
 P = 0x9E3779B97F4A7C15
 PI = pow(P, -1, 1 << 64)
@@ -213,10 +213,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     places = scan.mapInPandas(pick, f"id {kind}, key long, anchor long, region long, first int, n int, words binary")
     places = materialise(places, "places")
-    kinds = places.groupBy("anchor", "region").agg(F.count("*").alias("times"))
-    # How often each region occurs; a false hit of the filter is its anchor's only region and occurs once.
-    told = places.drop("words").join(kinds, ["anchor", "region"])
-    pure = told.filter("times > 1").select("id", "key", "first", "n")
+    # Regions that occur again; a false hit of the filter is its anchor's only region and occurs once. One region may hold a large part of all places.
+    times = materialise(places.groupBy("anchor", "region").agg(F.count("*").alias("times")).filter("times > 1"), "times")
+    pure = split_join(places.drop("words"), times, ["anchor", "region"], "times", places.count()).select("id", "key", "first", "n")
     mixed_anchors = shared.filter("kinds > 1 AND any_lone = 1").select("anchor", "kinds")
     members = places.filter("words IS NOT NULL").groupBy("anchor", "region").agg(F.count("*").alias("times"), F.min(F.struct(F.col("id"), F.col("key"), F.col("first"), F.col("n"), F.col("words"))).alias("m"))
     members = members.select("anchor", "times", "m.*").join(mixed_anchors, "anchor")
