@@ -6,6 +6,7 @@ from .brown_lm import op9_brown_lm
 from .decontaminate import op3_benchmark_decontamination
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .langid import op7_language_id
+from .merkle import OP11_SQL, op11_merkle_manifest
 from .mixing import OP5_SQL, op5_fair_queue_mix
 from .pii import op2_pii_sanitisation
 from .secrets_crf import op4_secret_scan
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_brown_lm": op9_brown_lm,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL = {
     "op5_fair_queue_mix": OP5_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
