@@ -8,6 +8,7 @@ from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .langid import op7_language_id
 from .merkle import OP11_SQL, op11_merkle_manifest
 from .mixing import OP5_SQL, op5_fair_queue_mix
+from .packing import op12_packing
 from .pii import op2_pii_sanitisation
 from .secrets_crf import op4_secret_scan
 from .simhash import op1_simhash_near_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_brown_lm": op9_brown_lm,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_packing": op12_packing,
 }
 
 ORACLE_SQL = {
