@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_token_alignment
 from .brown_lm import op9_brown_lm
 from .decontaminate import op3_benchmark_decontamination
 from .exact_dedup import OP10_SQL, op10_exact_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_packing": op12_packing,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL = {
