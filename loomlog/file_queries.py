@@ -17,10 +17,12 @@ from .operators import transcript as T
 from .operators.fold import Fold, visible
 from .queries import query
 from .sources import catalog as C
+from .sources import growing
 from .sources import incremental as I
 from .sources import transcripts as S
 from .sources.files import shared_root, write_lines
 from .streaming import tail
+from .streaming.live import keep_state, live_changes, secret_alerts
 from .table_queries import table
 
 LINES = """WITH q AS (SELECT conv_id AS c, turn AS t, role, coalesce(text, '') AS x, '-home-me-proj' || (conv_id % 4) AS pid, 'c' || conv_id AS sid, CASE WHEN turn = 0 THEN 1 ELSE turn + 4 END AS line,
@@ -258,33 +260,76 @@ query("l12_unscrubbed", "WITH q AS (SELECT n_nationkey AS k FROM nation) SELECT
 # --- streams ----------------------------------------------------------------------------------------------------
 
 
-def _drained(s, stream: DataFrame) -> DataFrame:
-    """All that is there now, through a streaming query and its checkpoint."""
-    path = shared_root(s, "stream")
+def _drained(s, stream: DataFrame, path: str | None = None) -> DataFrame:
+    """All that is there now, through a streaming query and its checkpoint; with the same ``path``, the query goes on."""
+    path = path or shared_root(s, "stream")
     stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return s.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-query("r01_file_tail", LINES + "SELECT sid || '.jsonl' AS file, count(*) + 3 AS lines FROM q GROUP BY sid")(lambda s, d: _drained(s, tail.stream_lines(s, root_of(s, d))).groupBy(F.regexp_extract("path", "([^/]+)$", 1).alias("file")).agg(F.count("*").alias("lines")))
+@query("r01_file_tail", LINES + "SELECT sid || '.jsonl' AS file, count(*) FILTER (t <= 2) + 3 AS first_lines, count(*) + 3 AS lines, count(*) + 3 AS starts FROM q GROUP BY sid")
+def r01(s, d):
+    """Files are read, grow in place, and are read on from the checkpoint: every line comes once."""
+    root, path = shared_root(s, "transcripts"), shared_root(s, "stream")
+    file = F.regexp_extract("path", "([^/]+)$", 1).alias("file")
+    counts = []
+    for keep in ("t <= 2", None):
+        write_lines(_rows(s, d, keep), root)
+        lines = _drained(s, growing.stream(s, root, f"{path}/log"), path)
+        counts.append(lines.groupBy(file).agg(F.count("*").alias("lines"), F.countDistinct("start").alias("starts")))
+        if len(counts) == 1:  # before the folder has more
+            counts[0].write.parquet(f"{path}/first")
+    first = s.read.parquet(f"{path}/first").select("file", F.col("lines").alias("first_lines"))
+    return counts[1].join(first, "file").select("file", "first_lines", "lines", "starts")
+
+
 query("r05_path_router", LINES + "SELECT DISTINCT pid AS project_id, sid AS session_id FROM q")(lambda s, d: I.touched_sessions(_drained(s, tail.stream_lines(s, root_of(s, d))).select("path")))
 
 
-@query("r03_refold", LINES + "SELECT sid AS session_id, count(*) FILTER (role IN ('user', 'assistant') AND NOT carrier AND NOT synthetic) AS messages FROM q GROUP BY sid")
+@query("r03_refold", LINES + "SELECT sid AS session_id, count(*) FILTER (role IN ('user', 'assistant') AND NOT carrier AND NOT synthetic) AS messages, 1 AS created, CASE WHEN c % 5 = 0 AND max(t) > 1 THEN 1 ELSE 0 END AS updated FROM q GROUP BY sid, c")
 def r03(s, d):
-    """Touched sessions are folded again as a whole; what they come to is pushed (K05)."""
-    root, path = root_of(s, d), shared_root(s, "stream")
-    own = lambda keys: visible(S.read_records(s, root).filter("agent_id IS NULL").join(keys, ["project_id", "session_id"], "left_semi")).groupBy("session_id").agg(F.count_if(F.col("kind").isin("user", "assistant")).alias("messages"))
-    tail.refold(tail.stream_lines(s, root), own, lambda df: df.write.mode("append").parquet(f"{path}/out"), f"{path}/state", once=True).awaitTermination()
-    return s.read.parquet(f"{path}/out")
+    """A fifth of the sessions grows between two batches; touched sessions are folded again as a whole, upserted and pushed (K05)."""
+    root, path = shared_root(s, "transcripts"), shared_root(s, "stream")
+
+    def build(lines):
+        own = visible(S.records(S.parse(lines)).filter("agent_id IS NULL"))
+        return own.groupBy("project_id", "session_id").agg(F.count_if(F.col("kind").isin("user", "assistant")).alias("messages"))
 
+    for keep in ("c % 5 <> 0 OR t <= 1", None):
+        write_lines(_rows(s, d, keep), root)
+        tail.push_sessions(growing.stream(s, root, f"{path}/log"), root, f"{path}/store", build, f"{path}/state", once=True).awaitTermination()
+    events = s.read.parquet(f"{path}/store/events-*").groupBy("session_id").agg(F.count_if(F.col("event") == "created").alias("created"), F.count_if(F.col("event") == "updated").alias("updated"))
+    return I.current(s, f"{path}/store").join(events, "session_id").select("session_id", "messages", "created", "updated")
 
-@query("r04_secret_alerts", "WITH q AS (SELECT o_custkey % 20 AS k FROM orders) SELECT DISTINCT 'SEC005' AS check_id, 'pass…' || length('password = hunter' || (100 + k)) AS masked FROM q")
+
+@query("r04_secret_alerts", "WITH q AS (SELECT o_custkey % 20 AS k FROM orders) SELECT DISTINCT 'SEC005' AS check_id, 'pass…' || (17 + k) AS masked FROM q WHERE k % 7 <> 0")
 def r04(s, d):
-    """The same secret in many files is alerted once."""
-    root = shared_root(s, "transcripts")
-    k = (F.col("o_custkey") % 20 + 100).cast("string")
-    write_lines(table(s, d, "orders").select(F.concat(F.lit("projects/p/s"), (F.col("o_orderkey") % 50).cast("string"), F.lit(".jsonl")).alias("path"), F.col("o_orderkey").alias("line_no"), F.concat(F.lit("password = hunter"), k).alias("value")), root)
-    return _drained(s, tail.secret_alerts(tail.stream_lines(s, root))).select("check_id", "masked").distinct()
+    """The same secrets in many files that grow twice. Some were alerted before; the second growth, and a query that starts anew, alert nothing."""
+    root, path = shared_root(s, "transcripts"), shared_root(s, "stream")
+    keep_state(s)
+    orders = table(s, d, "orders").select("o_orderkey", F.col("o_custkey") % 20, F.concat(F.lit("projects/p/s"), (F.col("o_orderkey") % 50).cast("string"), F.lit(".jsonl")).alias("path")).toDF("line_no", "k", "path")
+    said = orders.withColumn("value", F.concat(F.lit("password = hunter"), F.repeat(F.lit("x"), F.col("k").cast("int"))))
+    more = said.groupBy("path").agg(F.max("line_no").alias("line_no"), F.max_by("value", "line_no").alias("value")).withColumn("line_no", F.col("line_no") + 1)
+    alerted = said.filter("k % 7 = 0").select(F.concat(F.lit("SEC005:pass…"), F.char_length("value").cast("string")).alias("fingerprint")).distinct()
+    alerted.write.parquet(f"{path}/alerted")
+    for rows in (said.filter("line_no % 3 = 0"), said, said.drop("k").unionByName(more)):
+        write_lines(rows, root)
+        got = _drained(s, secret_alerts(growing.stream(s, root, f"{path}/log", created="hold"), s.read.parquet(f"{path}/alerted")), f"{path}/one")
+    known = alerted.unionByName(got.select("fingerprint"))
+    again = _drained(s, secret_alerts(growing.stream(s, root, f"{path}/log-2"), known), f"{path}/two")
+    return got.unionByName(again).select("check_id", "masked")
+
+
+@query("r07_live_flag", """WITH e AS (SELECT user_id::VARCHAR AS session_id, epoch_ms(ts) AS ms FROM events), g AS (SELECT *, ms - lag(ms) OVER (PARTITION BY session_id ORDER BY ms) AS gap FROM e),
+    r AS (SELECT session_id, ms, sum(CASE WHEN gap IS NULL OR gap >= 60000 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS n FROM g)
+    SELECT session_id, 'live' AS state, min(ms) AS at_ms FROM r GROUP BY session_id, n UNION ALL SELECT session_id, 'quiet', max(ms) + 60000 FROM r GROUP BY session_id, n""")
+def r07(s, d):
+    """Events as updates of a session for each user; the nations are the clock, long after the last update."""
+    keep_state(s)
+    stream = lambda name: s.readStream.schema(table(s, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+    updates = stream("events").select(F.col("user_id").cast("string").alias("session_id"), "ts")
+    ticks = stream("nation").select(F.make_timestamp(F.lit(2100), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("ts"))
+    return _drained(s, live_changes(updates, ticks))
 
 
 @query("r06_settings_stream", "WITH q AS (SELECT n_nationkey AS k FROM nation) SELECT 'settings' || k || '.json' AS file, k % 2 = 0 AS bare FROM q")

@@ -99,3 +99,39 @@ def _drop(spark: SparkSession, store: str, versions: list[int]) -> None:
         for name in ("manifest", "sessions", "touched"):
             path = jvm.org.apache.hadoop.fs.Path(f"{store}/{name}-{v}")
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def finished(spark: SparkSession, store: str, version: int) -> bool:
+    return version in _versions(spark, store)
+
+
+def write_version(spark: SparkSession, store: str, version: int, keys: DataFrame, build, merge_every: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Writes the sessions ``build(keys)`` as ``version`` of ``store``, which counts once :func:`finish_version` has marked it; the sessions and keys.
+
+    For callers whose versions rise by one and may come again, such as batches of a stream: what a failed attempt has left is replaced. Every
+    ``merge_every`` versions the whole is written as one. ``keys`` has project_id and session_id. A store is kept in this way or by :func:`refresh`.
+    """
+    keys.write.mode("overwrite").parquet(f"{store}/touched-{version}")
+    keys = spark.read.schema(keys.schema).parquet(f"{store}/touched-{version}")
+    fresh = build(keys)
+    old = current(spark, store, merge_every)
+    merged = (version - 1) % merge_every == 0 and old is not None
+    rows = old.join(keys, ["project_id", "session_id"], "left_anti").unionByName(fresh, allowMissingColumns=True) if merged else fresh
+    rows.write.mode("overwrite").parquet(f"{store}/sessions-{version}")
+    rows = spark.read.schema(rows.schema).parquet(f"{store}/sessions-{version}")
+    return (rows.join(keys, ["project_id", "session_id"], "left_semi") if merged else rows), keys
+
+
+def finish_version(spark: SparkSession, store: str, version: int, keys: DataFrame, merge_every: int = 16) -> None:
+    keys.write.mode("overwrite").parquet(f"{store}/manifest-{version}")
+    if (version - 1) % merge_every == 0:
+        _drop(spark, store, [v for v in _versions(spark, store) if v < version])
+
+
+def current(spark: SparkSession, store: str, merge_every: int = 16) -> DataFrame | None:
+    """The sessions of the last finished version; None if there is none."""
+    finished = _versions(spark, store)
+    if not finished:
+        return None
+    base = max(v for v in finished if (v - 1) % merge_every == 0)
+    return stored(spark, store, [v for v in finished if v >= base])

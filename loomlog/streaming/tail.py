@@ -1,4 +1,4 @@
-"""Structured Streaming over transcripts: new files, changed sessions, secret alerts, and event-time extensions."""
+"""Structured Streaming over transcripts: files that grow, changed sessions pushed to a store, and event-time extensions."""
 
 from __future__ import annotations
 
@@ -8,16 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.lint import secret_lines
+from ..sources import growing
 from ..sources.catalog import settings
-from ..sources.incremental import touched_sessions
+from ..sources.incremental import finish_version, finished, touched_sessions, write_version
 
 
 def stream_lines(spark: SparkSession, root: str, files_per_trigger: int = 1000) -> DataFrame:
     """(path, value) of new session files ``projects/<project>/<session>.jsonl``; child files are routed out.
 
-    The file source sees new paths only. Files that grow in place are taken up by :func:`loomlog.sources.incremental.refresh`; writers
-    that want them streamed roll to a new part file.
+    The file source sees new paths only; :func:`loomlog.sources.growing.stream` follows files that grow in place.
     """
     raw = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("maxFilesPerTrigger", files_per_trigger).schema("value string").format("text").load(f"{root}/projects")
     return raw.select("value", F.col("_metadata.file_path").alias("path")).filter(F.col("path").rlike(r"/projects/[^/]+/[^/]+\.jsonl$"))
@@ -38,10 +37,30 @@ def refold(lines: DataFrame, build: Callable[[DataFrame], DataFrame], put: Calla
     return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**({"availableNow": True} if once else {"processingTime": interval})).start()
 
 
-def secret_alerts(lines: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Each finding once per fingerprint (check id and masked value), kept as state while the watermark lasts."""
-    hits = secret_lines(lines.withColumn("line_no", F.lit(0)), None)
-    return hits.withColumn("fingerprint", F.concat_ws(":", "check_id", "masked")).withColumn("seen_at", F.current_timestamp()).withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["fingerprint"])
+def push_batch(batch: DataFrame, number: int, root: str, store: str, build: Callable[[DataFrame], DataFrame], push: Callable[[DataFrame], None] | None = None) -> None:
+    """Folds the sessions that ``batch`` (path, is_new) touches again as a whole and upserts them as version ``number`` + 1 of ``store``.
+
+    ``build`` takes the lines of sessions and gives rows with project_id and session_id. With them, event says ``created`` for a session whose
+    file was first seen in this batch, else ``updated``; events are kept in ``events-<version>`` and handed to ``push``. A batch that comes
+    again changes nothing and pushes nothing; one whose first attempt was cut off may push a second time.
+    """
+    spark, keys, version = batch.sparkSession, ["project_id", "session_id"], number + 1
+    if finished(spark, store, version):
+        return
+    named = batch.select(F.regexp_extract("path", r"/projects/([^/]+)/", 1).alias("project_id"), F.regexp_extract("path", r"/projects/[^/]+/([^/]+)\.jsonl$", 1).alias("session_id"), "is_new")
+    touched = named.groupBy(*keys).agg(F.max("is_new").alias("is_new"))
+    fresh, touched = write_version(spark, store, version, touched, lambda k: build(growing.session_lines(k, root)))
+    events = fresh.join(touched, keys).withColumn("event", F.when(F.col("is_new"), "created").otherwise("updated")).drop("is_new")
+    events.write.mode("overwrite").parquet(f"{store}/events-{version}")
+    if push is not None:
+        push(spark.read.schema(events.schema).parquet(f"{store}/events-{version}"))
+    finish_version(spark, store, version, touched)
+
+
+def push_sessions(lines: DataFrame, root: str, store: str, build: Callable[[DataFrame], DataFrame], checkpoint: str, push: Callable[[DataFrame], None] | None = None, interval: str = "300 milliseconds", once: bool = False) -> StreamingQuery:
+    """:func:`push_batch` for every batch of ``lines`` (from :func:`loomlog.sources.growing.stream`); ``once`` as for :func:`refold`."""
+    each = lambda batch, number: push_batch(batch, number, root, store, build, push)
+    return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**({"availableNow": True} if once else {"processingTime": interval})).start()
 
 
 def daily_counts(events: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
