@@ -9,8 +9,8 @@ Windows still open at the end are filled up with pieces cut from the emptiest of
 cut into sequences whose lengths are powers of two, which need no padding. The same filling up happens when over ``open_windows`` windows are
 open: it bounds a task's memory by the tokens of so many windows, for any lengths.
 
-Tokens are those of a vocabulary file. Texts are cut at blanks and line ends, which no token spans, and each different word is encoded once by a
-worker; the words it remembers are bounded by ``KEPT_WORDS``.
+Tokens are those of a vocabulary file. Texts are cut at blanks and line ends, which no token spans, and each different piece of a word is encoded
+once by a worker; the pieces it remembers are bounded by ``KEPT_WORDS``.
 
 Defined cases: a null text is the empty text, whose only token is the end token; ids are carried as they are, may be null or repeat (each
 row's pieces start at 0); a very long text is cut into windows; an empty table gives no piece; other columns are left out. Sequence ids are the
@@ -35,8 +35,12 @@ from .common import documents, text_batches
 WINDOW, END = 4096, 2
 KEPT_WORDS = 400_000
 
-#: How the vocabulary splits words of ASCII characters, lower-cased; fixed by the vocabulary file.
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+")
+#: How the vocabulary splits normalised text; fixed by the vocabulary file. Written for words of :data:`PLAIN`.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\t\n\x0b\x0c\r ]|_)+")
+#: Characters that the vocabulary's normaliser lower-cases one by one and leaves as they are otherwise: ASCII and Latin letters but one.
+PLAIN = r"^[\x00-\x7f\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}]*$"
+WORD_END = "</w>"
+BLANKS = "\t\n\x0b\x0c\r"
 
 
 def vocabulary(name: str) -> str:
@@ -45,38 +49,73 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def gathered(codes: np.ndarray, firsts: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``flat[firsts[c] : firsts[c + 1]]`` of all codes c, one after another, and where each begins."""
+    sizes = np.diff(firsts)[codes]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    return flat[np.repeat(firsts[codes] - at[:-1], sizes) + np.arange(at[-1])], at
+
+
 class WordEncoder:
-    """Token ids of texts, word by word, as bytes of 4 for each id; equal to encoding whole texts with the vocabulary of ``path``."""
+    """Token ids of texts; equal to encoding whole texts with the vocabulary of ``path``.
+
+    A batch's different words are cut into pieces, and its different pieces looked up, by Arrow; only pieces that the worker hasn't met are encoded.
+    Words of other scripts, and those that may hold a special token, are encoded whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """ASCII words are put together from their pieces; others, and those that may hold a special token, are encoded whole."""
-        plain = [w for w in words if w.isascii() and "<|" not in w]
-        split = [ASCII_PIECES.findall(w.lower()) for w in plain]
-        new = [p for p in {p for ps in split for p in ps} if p not in self.pieces]
-        self.pieces.update(zip(new, self._encode(new), strict=True))
-        of = self.pieces.__getitem__
-        self.words.update((w, b"".join(map(of, ps))) for w, ps in zip(plain, split, strict=True))
-        other = [w for w in words if not w.isascii() or "<|" in w]
-        self.words.update(zip(other, self._encode(other), strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > KEPT_WORDS or len(self.pieces) > KEPT_WORDS:
-            self.words = {"": b""}
-            self.pieces = {}
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        self._learn([w for w in set().union(*split) if w not in self.words])
-        of = self.words.__getitem__
-        return [b"".join(map(of, ws)) for ws in split]
+        names = self.model.get_vocab()
+        self.ending = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.ending[[i for w, i in names.items() if w.endswith(WORD_END)]] = True
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str], most: int = 512) -> list[bytes]:
+        """Pieces are encoded ``most`` to a text; the last token of a piece is one that ends a word."""
+        parts = [" ".join(pieces[i : i + most]) for i in range(0, len(pieces), most)]
+        ids = np.array([i for e in self.model.encode_batch_fast(parts, add_special_tokens=False) for i in e.ids], dtype="<u4")
+        ends = ((np.flatnonzero(self.ending[ids]) + 1) * 4).tolist()
+        data = ids.tobytes()
+        return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def _ids(self, texts: pa.Array, encode) -> tuple[np.ndarray, np.ndarray]:
+        """Where each text's ids begin, and the ids."""
+        if len(self.known) > KEPT_WORDS:
+            self.known = {"": b""}
+        names = texts.to_pylist()
+        new = [w for w in names if w not in self.known]
+        self.known.update(zip(new, encode(new), strict=True))
+        found = list(map(self.known.__getitem__, names))
+        return np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))]) // 4, np.frombuffer(b"".join(found), dtype="<u4")
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        plain = pc.and_(pc.match_substring_regex(words, PLAIN), pc.invert(pc.match_substring(words, "<|")))
+        low = pc.utf8_lower(words.filter(plain))
+        mixed = pc.invert(pc.utf8_is_alpha(low))
+        low = pc.replace_with_mask(low, mixed, pa.array([" ".join(PIECES.findall(w)) for w in low.filter(mixed).to_pylist()], pa.string()))
+        cut = pc.split_pattern(low, " ")
+        pieces = pc.dictionary_encode(cut.flatten())
+        ids, at = gathered(pieces.indices.to_numpy(), *self._ids(pieces.dictionary, self._pieces))
+        firsts, (more, rest) = at[cut.offsets.to_numpy()], self._ids(words.filter(pc.invert(plain)), self._whole)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        place = np.empty(len(words), dtype=np.int64)
+        place[is_plain], place[~is_plain] = np.arange(len(cut)), np.arange(len(cut), len(words))
+        flat, at = gathered(place, np.concatenate([firsts, more[1:] + firsts[-1]]), np.concatenate([ids, rest]))
+        return at, flat
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        for c in BLANKS:
+            texts = pc.replace_substring(texts, c, " ")
+        split = pc.split_pattern(texts, " ")
+        words = pc.dictionary_encode(split.flatten())
+        ids, at = gathered(words.indices.to_numpy(), *self._words(words.dictionary))
+        ends = at[split.offsets.to_numpy()]
+        return [ids[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -191,35 +230,39 @@ def powers(pieces: list[Piece]) -> Iterator[list[Piece]]:
         yield out
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, open_windows: int = 1024, batch_bytes: int = 1 << 21) -> DataFrame:
-    """A row per piece: id, start, length, ids (the piece's token ids), ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, open_windows: int = 1024, batch_bytes: int = 1 << 22, with_ids: bool = True) -> DataFrame:
+    """A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, ``with_ids``, ids, the piece's token ids."""
     text_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long{', ids array<int>' if with_ids else ''}"
+
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, tail = encoder(path), Packer(window, open_windows), np.array([end], dtype="<u4").tobytes()
+        encode, packer, tail = encoder(path), Packer(window, open_windows), np.array([end], dtype="<u4")
         sequence, kind = TaskContext.get().partitionId() << 40, None
 
         def batch_of(windows: list[list[Piece]]) -> pa.RecordBatch:
             nonlocal sequence
-            out = []
+            out, pieces_ids = [], []
             for pieces in windows:
                 offset = 0
                 for row_id, start, ids, tokens in pieces:
-                    out.append((row_id, start, len(ids), ids.astype("<i4"), zlib.crc32(ids.tobytes()), tokens, sequence, offset))
+                    out.append((row_id, start, len(ids), zlib.crc32(ids.tobytes()), tokens, sequence, offset))
+                    pieces_ids.append(ids)
                     offset += len(ids)
                 sequence += 1
             cols = list(zip(*out, strict=True))
-            lengths = np.concatenate([[0], np.cumsum(cols[2])]).astype("<i4")
-            arrays = [pa.array(cols[0], kind), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(cols[3])))]
-            return pa.RecordBatch.from_arrays(arrays + [pa.array(c, pa.int64()) for c in cols[4:]], names=["id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            arrays = [pa.array(cols[0], kind), *[pa.array(c, pa.int64()) for c in cols[1:]]]
+            if with_ids:
+                firsts = np.concatenate([[0], np.cumsum(cols[2])]).astype("<i4")
+                arrays.append(pa.ListArray.from_arrays(pa.array(firsts), pa.array(np.concatenate(pieces_ids).astype("<i4"))))
+            return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for batch in batches:
             kind = batch.column("id").type
             for part in by_bytes(batch, batch_bytes):
-                texts = part.column("text").to_pylist()
-                full = [w for row_id, ids in zip(part.column("id").to_pylist(), encode(texts), strict=True) for w in packer.put(row_id, np.frombuffer(ids + tail, dtype="<u4"))]
+                full = [w for row_id, ids in zip(part.column("id").to_pylist(), encode(part.column("text")), strict=True) for w in packer.put(row_id, np.append(ids, tail))]
                 if full:
                     yield batch_of(full)
         full = list(packer.finish())
@@ -242,4 +285,4 @@ def by_bytes(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
 
 
 def op12_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")).drop("ids")
+    return pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), with_ids=False)
