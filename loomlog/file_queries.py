@@ -90,7 +90,7 @@ query("s03_session_files", LINES + "SELECT DISTINCT pid AS project_id, sid AS se
 query("s04_subagent_files", LINES + "SELECT DISTINCT sid AS session_id, 'k' || c AS agent_id FROM q WHERE c % 3 = 0")(lambda s, d: S.scan_lines(s, root_of(s, d)).filter("agent_id IS NOT NULL").select("session_id", "agent_id").distinct())
 query("s05_project_cwd", LINES + "SELECT DISTINCT pid AS project_id, '/home/me/proj' || c % 4 AS cwd FROM q WHERE role = 'user'")(lambda s, d: S.project_cwds(_records(s, d)))
 query("s06_scan_projects", LINES + "SELECT pid AS id, 'proj' || any_value(c % 4) AS name, '/home/me/proj' || any_value(c % 4) AS path, count(DISTINCT sid) AS session_count FROM q GROUP BY pid")(lambda s, d: S.projects(_fold(s, d).sessions).select("id", "name", "path", "session_count"))
-query("s07_project_sessions", LINES + "SELECT sid AS session_id, '2024-01-' || lpad((c % 28 + 1)::VARCHAR, 2, '0') || ' 00:' || lpad(max(t)::VARCHAR, 2, '0') AS last_time FROM q WHERE pid = '-home-me-proj1' AND NOT synthetic GROUP BY sid, c HAVING count(*) > 0")(
+query("s07_project_sessions", LINES + "SELECT sid AS session_id, '2024-01-' || lpad((c % 28 + 1)::VARCHAR, 2, '0') || ' 00:' || lpad(max(t)::VARCHAR, 2, '0') AS last_time FROM q WHERE pid = '-home-me-proj1' GROUP BY sid, c")(
     lambda s, d: _fold(s, d).sessions.filter("project_id = '-home-me-proj1' AND last_ts IS NOT NULL").orderBy(F.desc("last_ts"), "session_id").select("session_id", F.date_format("last_ts", "yyyy-MM-dd HH:mm").alias("last_time"))
 )
 query("s08_project_details", LINES + "SELECT DISTINCT pid AS id, '/home/me/proj' || c % 4 AS path, 'proj' || c % 4 AS name, true AS has_cwd FROM q")(lambda s, d: (lambda f: S.project_details(f.sessions, S.project_cwds(f.records)))(_fold(s, d)))
@@ -144,11 +144,13 @@ def k04(s, d):
 
 
 def _settings(s, d) -> DataFrame:
-    """(c_custkey, general, project): two settings files for each customer."""
+    """(c_custkey, content, general, project): two settings files for each customer."""
     k = F.col("c_custkey")
     n = lambda x: x.cast("string")
-    general = F.concat(F.lit('{"env":{"A":"'), n(k), F.lit('","B":"1"},"permissions":{"allow":["Bash(x'), n(k % 3), F.lit(')"],"deny":["Read"]},"hooks":{"Stop":[{"command":"done"}],"Start":[{"matcher":"m'), n(k % 5), F.lit('","hooks":[{"command":"a"},{"command":"b"}]}]},"shell":"zsh"}'))
-    project = F.concat(F.lit('{"env":{"B":"'), F.when(k % 2 == 0, "false").otherwise("true"), F.lit('"},"permissions":{"allow":["Edit"],"deny":["Bash"]},"bare":'), F.when(k % 4 == 0, "true").otherwise("false"), F.when(k % 7 == 0, F.lit(',"sandbox":true,"plugins":["my-channel"]')).otherwise(""), F.lit("}"))
+    general = F.concat(F.lit('{"env":{"A":"'), n(k), F.lit('","B":"1"},"permissions":{"allow":["src/x'), n(k % 3), F.lit('"],"deny":["src"]},"hooks":{"Stop":[{"command":"done"}],"Start":[{"matcher":"m'), n(k % 5), F.lit('","hooks":[{"command":"a"},{"command":"b"}]}]},"disableSkillShellExecution":'), F.when(k % 3 == 0, "true").otherwise("false"), F.lit("}"))
+    env = F.concat(F.lit('"env":{"B":"'), F.when(k % 2 == 0, "false").otherwise("true"), F.lit('"'), F.when(k % 6 == 0, f',"{L.SERVERS_ENABLED}":"false"').otherwise(""), F.when(k % 5 == 0, f',"{L.ENV_SCRUB}":"1"').otherwise(""), F.lit("}"))
+    more = F.concat(F.when(k % 7 == 0, ',"sandbox":{"enableWeakerNestedSandbox":false},"plugins":[{"name":"p","version":"1"}],"allowedChannelPlugins":["c"]').otherwise(',"sandbox":{}'), F.when(k % 4 == 0, ',"skipDangerousModePermissionPrompt":true').otherwise(""), F.when(k % 8 == 0, ',"profile":{"name":"me"},"marketplaces":[{"name":"m","url":"u"}]').otherwise(""))
+    project = F.concat(F.lit("{"), env, F.lit(',"permissions":{"allow":["srcfoo/'), n(k % 3), F.lit('"],"deny":["'), F.when(k % 2 == 0, "src/x1/").otherwise("lib"), F.lit('"]}'), more, F.lit("}"))
     parsed = lambda c: F.from_json(c, C.SETTINGS)
     return table(s, d, "customer").select(k, general.alias("content"), parsed(general).alias("general"), parsed(project).alias("project"))
 
@@ -157,32 +159,45 @@ def _merged(s, d) -> DataFrame:
     return _settings(s, d).select("c_custkey", F.col("c_custkey").cast("string").alias("path"), C.merged_settings(F.col("general"), F.col("project")).alias("s"))
 
 
-query("s14_merged_settings", "WITH q AS (SELECT c_custkey AS k FROM customer) SELECT k AS c_custkey, k::VARCHAR AS a, CASE WHEN k % 2 = 0 THEN 'false' ELSE 'true' END AS b, 'Bash(x' || k % 3 || '),Edit' AS allow, 'Read,Bash' AS deny, 'zsh' AS shell, k % 4 = 0 AS bare FROM q")(
-    lambda s, d: _merged(s, d).select("c_custkey", F.col("s.env")["A"].alias("a"), F.col("s.env")["B"].alias("b"), F.array_join("s.permissions.allow", ",").alias("allow"), F.array_join("s.permissions.deny", ",").alias("deny"), "s.shell", "s.bare")
+query("s14_merged_settings", """WITH q AS (SELECT c_custkey AS k FROM customer) SELECT k AS c_custkey, k::VARCHAR AS a, CASE WHEN k % 2 = 0 THEN 'false' ELSE 'true' END AS b, 'src/x' || k % 3 || ',srcfoo/' || k % 3 AS allow, 'src,' || CASE WHEN k % 2 = 0 THEN 'src/x1/' ELSE 'lib' END AS deny,
+    k % 3 = 0 AS no_shell, CASE WHEN k % 4 = 0 THEN true END AS bare, CASE WHEN k % 7 = 0 THEN false END AS weaker, CASE WHEN k % 8 = 0 THEN 'me' END AS profile FROM q""")(
+    lambda s, d: _merged(s, d).select("c_custkey", F.col("s.env")["A"].alias("a"), F.col("s.env")["B"].alias("b"), F.array_join("s.permissions.allow", ",").alias("allow"), F.array_join("s.permissions.deny", ",").alias("deny"), F.col("s.disableSkillShellExecution").alias("no_shell"), F.col("s.skipDangerousModePermissionPrompt").alias("bare"), F.col("s.sandbox.enableWeakerNestedSandbox").alias("weaker"), F.col("s.profile.name").alias("profile"))
 )
 query("s15_hooks", "WITH q AS (SELECT c_custkey::VARCHAR AS path, c_custkey % 5 AS m FROM customer) SELECT path, 'Stop' AS event, '' AS matcher, 'done' AS command FROM q UNION ALL SELECT path, 'Start', 'm' || m, unnest(['a', 'b']) FROM q")(
     lambda s, d: C.hooks(C.settings(_settings(s, d).select(F.col("c_custkey").cast("string").alias("path"), "content"))).select("path", "event", "matcher", "command")
 )
-query("s16_extended_config", "WITH q AS (SELECT c_custkey AS k FROM customer) SELECT k::VARCHAR AS path, k % 7 = 0 AS sandbox, CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS plugins, '' AS model, 'zsh' AS shell, k % 4 = 0 AS bare FROM q")(lambda s, d: C.extended_config(_merged(s, d)).select("path", "sandbox", F.size("plugins").alias("plugins"), "model", "shell", "bare"))
+query("s16_extended_config", "WITH q AS (SELECT c_custkey AS k FROM customer) SELECT k::VARCHAR AS path, CASE WHEN k % 7 = 0 THEN 'p' ELSE '' END AS plugins, CASE WHEN k % 8 = 0 THEN 'm=u' ELSE '' END AS marketplaces, CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS channels, k % 4 = 0 AS bare, k % 3 = 0 AS no_shell, 2 + CASE WHEN k % 6 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS env FROM q")(
+    lambda s, d: C.extended_config(_merged(s, d)).select("path", F.array_join("plugins.name", ",").alias("plugins"), F.array_join(F.transform("marketplaces", lambda m: F.concat(m["name"], F.lit("="), m["url"])), ",").alias("marketplaces"), F.size("allowedChannelPlugins").alias("channels"), F.col("skipDangerousModePermissionPrompt").alias("bare"), F.col("disableSkillShellExecution").alias("no_shell"), F.size("env").alias("env"))
+)
 
 
 def _servers(s, d) -> tuple[DataFrame, DataFrame]:
-    p = table(s, d, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit("srv"), (F.col("p_partkey") % 50).cast("string")).alias("name"))
-    command = F.concat(F.lit('{"mcpServers":{"'), "name", F.when(F.col("k") % 2 == 0, F.concat(F.lit('":{"command":"run'), F.col("k").cast("string"))).otherwise(F.concat(F.lit('":{"url":"http://h'), F.col("k").cast("string"))), F.lit('"}}}'))
-    sources = C.settings(p.select("k", F.col("k").cast("string").alias("path"), command.alias("content"))).withColumn("priority", F.col("path").cast("long"))
-    says = F.when(F.col("k") % 3 == 0, "connected").when(F.col("k") % 3 == 1, "failed: no").otherwise(F.concat(F.lit("stderr: bad "), F.col("k").cast("string")))
-    log = p.filter("k % 50 <> 7").select(F.col("k").alias("line_no"), F.concat(F.lit('server "'), "name", F.lit('" '), says).alias("value"))
-    return sources, log.unionByName(p.filter("k % 50 = 3").select(F.col("k").alias("line_no"), F.concat(F.lit('server "'), "name", F.lit('" capabilities: {"tools":'), F.col("k").cast("string"), F.lit("}")).alias("value")))
-
-
-_SERVERS = """WITH p AS (SELECT p_partkey AS k, 'srv' || p_partkey % 50 AS name FROM part), one AS (SELECT name, min(k) AS k FROM p GROUP BY name),
-    st AS (SELECT name, arg_max(CASE WHEN k % 3 = 0 THEN 'connected' ELSE 'failed' END, k) AS status FROM p WHERE k % 50 <> 7 AND k % 3 < 2 GROUP BY name), er AS (SELECT name, 'bad ' || min(k) AS error FROM p WHERE k % 50 <> 7 AND k % 3 = 2 GROUP BY name),
-    m AS (SELECT name, CASE WHEN k % 2 = 0 THEN 'stdio' ELSE 'sse' END AS kind, CASE WHEN k % 2 = 0 THEN 'run' || k END AS command, CASE WHEN k % 2 = 1 THEN 'http://h' || k END AS url, coalesce(status, 'unknown') AS status FROM one LEFT JOIN st USING (name)) """
-query("s17_servers", _SERVERS + "SELECT * FROM m")(lambda s, d: (lambda x: C.servers(x[0], C.server_status(x[1])))(_servers(s, d)))
-query("j09_server_status", _SERVERS + "SELECT name, status FROM m")(lambda s, d: (lambda x: C.servers(x[0], C.server_status(x[1])))(_servers(s, d)).select("name", "status"))
-query("a41_server_counts", _SERVERS + "SELECT count(*) FILTER (status = 'connected') AS connected, count(*) FILTER (status = 'failed') AS failed FROM m")(lambda s, d: (lambda x: C.server_counts(C.servers(x[0], C.server_status(x[1]))))(_servers(s, d)))
-query("s18_server_log", _SERVERS + """, c AS (SELECT name, '{"tools":' || max(k) || '}' AS capabilities FROM p WHERE k % 50 = 3 GROUP BY name)
-    SELECT name, st.status, capabilities, error FROM (SELECT DISTINCT name FROM p WHERE k % 50 <> 7) LEFT JOIN st USING (name) LEFT JOIN c USING (name) LEFT JOIN er USING (name)""")(lambda s, d: C.server_log(_servers(s, d)[1]))
+    """Server entries, and a log of two lines a part: what became of its server, and for some the rest of an error or capabilities."""
+    k = F.col("k")
+    n = lambda c: c.cast("string")
+    p = table(s, d, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit("srv"), n(F.col("p_partkey") % 50)).alias("name"))
+    command = F.concat(F.lit('{"mcpServers":{"'), "name", F.when(k % 2 == 0, F.concat(F.lit('":{"command":"run'), n(k), F.lit('","args":["-v","'), n(k), F.lit('"],"env":{"K":"'), n(k), F.lit('"}'))).otherwise(F.concat(F.lit('":{"url":"http://h'), n(k), F.lit('"'))), F.lit("}}}"))
+    sources = C.settings(p.select("k", n(k).alias("path"), command.alias("content"))).withColumn("priority", F.col("path").cast("long")).withColumn("level", F.when(F.col("priority") % 3 == 0, "project").otherwise("global"))
+    at = F.concat(F.lit("2024-01-01T00:"), F.lpad(n(F.floor(k / 60) % 60), 2, "0"), F.lit(":"), F.lpad(n(k % 60), 2, "0"), F.lit(".000Z "))
+    of = F.concat(F.lit('MCP server "'), "name", F.lit('"'))
+    says = F.when(k % 3 == 0, F.concat(at, F.lit("[DEBUG] "), of, F.lit(": Successfully connected (transport: stdio), no error"))).when(k % 3 == 1, F.concat(at, F.lit("[ERROR] "), of, F.lit(" Connection failed after 9ms: no "), n(k))).otherwise(F.concat(at, F.lit("[ERROR] "), of, F.lit(" Server stderr: bad "), n(k)))
+    then = F.when(k % 3 == 2, F.when(k % 2 == 0, F.concat(F.lit("  at line "), n(k))).otherwise("")).when(k % 50 == 3, F.concat(at, F.lit("[DEBUG] "), of, F.lit(': Connection established with capabilities: {"tools":'), n(k), F.lit("}"))).otherwise(F.concat(at, F.lit("[DEBUG] failed: nothing")))
+    log = p.filter("k % 50 <> 7").select(F.explode(F.array(F.struct((k * 2).alias("line_no"), says.alias("value")), F.struct((k * 2 + 1).alias("line_no"), then.alias("value")))).alias("l")).select("l.*")
+    return sources, C.server_log(log)
+
+
+_SERVERS = """WITH p AS (SELECT p_partkey AS k, 'srv' || p_partkey % 50 AS name, '2024-01-01T00:' || lpad(((p_partkey // 60) % 60)::VARCHAR, 2, '0') || ':' || lpad((p_partkey % 60)::VARCHAR, 2, '0') || '.000Z' AS tm FROM part), one AS (SELECT name, min(k) AS k FROM p GROUP BY name), l AS (SELECT * FROM p WHERE k % 50 <> 7),
+    st AS (SELECT name, arg_max(CASE WHEN k % 3 = 0 THEN 'connected' ELSE 'failed' END, k) AS status, max(k) AS k, arg_max(tm, k) AS last_seen, coalesce(max(k) FILTER (k % 3 = 0), -1) AS c FROM l WHERE k % 3 < 2 GROUP BY name),
+    er AS (SELECT name, arg_min('no ' || l.k, l.k) AS why FROM l JOIN st USING (name) WHERE l.k % 3 = 1 AND l.k > st.c GROUP BY name),
+    sd AS (SELECT name, coalesce(arg_min('bad ' || k || chr(10) || '  at line ' || k, k) FILTER (k % 2 = 0), arg_max('bad ' || k, k)) AS err FROM l WHERE k % 3 = 2 GROUP BY name),
+    ca AS (SELECT name, '{"tools":' || max(l.k) || '}' AS capabilities FROM l JOIN st USING (name) WHERE l.k % 50 = 3 AND l.k % 3 <> 2 AND l.k >= st.k GROUP BY name),
+    x AS (SELECT name, status, last_seen, capabilities, CASE WHEN status = 'failed' THEN coalesce(err, why) END AS error FROM st LEFT JOIN er USING (name) LEFT JOIN sd USING (name) LEFT JOIN ca USING (name)),
+    m AS (SELECT name, CASE WHEN k % 2 = 0 THEN 'stdio' ELSE 'sse' END AS kind, CASE WHEN k % 2 = 0 THEN 'run' || k END AS command, CASE WHEN k % 2 = 0 THEN '-v,' || k ELSE '' END AS args, CASE WHEN k % 2 = 1 THEN 'http://h' || k END AS url, CASE WHEN k % 2 = 0 THEN k::VARCHAR END AS env,
+        CASE WHEN k % 3 = 0 THEN 'project' ELSE 'global' END AS level, coalesce(status, 'unknown') AS status, error, capabilities, last_seen FROM one LEFT JOIN x USING (name)) """
+query("s17_servers", _SERVERS + "SELECT * FROM m")(lambda s, d: C.servers(*_servers(s, d)).withColumn("args", F.array_join("args", ",")).withColumn("env", F.try_element_at("env", F.lit("K"))))
+query("j09_server_status", _SERVERS + "SELECT name, status FROM m")(lambda s, d: C.servers(*_servers(s, d)).select("name", "status"))
+query("a41_server_counts", _SERVERS + "SELECT count(*) FILTER (status = 'connected') AS connected, count(*) FILTER (status = 'failed') AS failed FROM m")(lambda s, d: C.server_counts(C.servers(*_servers(s, d))))
+query("s18_server_log", _SERVERS + "SELECT * FROM x")(lambda s, d: _servers(s, d)[1].drop("path"))
 
 
 def _written(s, d) -> str:
@@ -239,19 +254,16 @@ query("l03_directories", "WITH q AS (SELECT p_partkey AS k FROM part) SELECT 'CM
     UNION ALL SELECT k::VARCHAR, 'RUL003' FROM q WHERE k % 2 = 1 AND k % 4 <> 1 UNION ALL SELECT k::VARCHAR, 'RUL005' FROM q WHERE k % 5 = 0""")
 def l06(s, d):
     k = F.col("p_partkey")
-    glob = F.when(k % 4 == 1, "lib/[*").when(k % 2 == 1, F.concat(F.lit("none/*.x"), k.cast("string"))).otherwise(F.concat(F.lit("src/d"), k.cast("string"), F.lit("/*.py")))
+    glob = F.when(k % 4 == 1, "lib/ [*").when(k % 2 == 1, F.concat(F.lit("none/*.x"), k.cast("string"))).otherwise(F.concat(F.lit("**/d"), k.cast("string"), F.lit("/?.{ts,py}")))
     head = F.when(k % 3 == 0, "---\nopen ").otherwise("")
     docs = table(s, d, "part").select(k.cast("string").alias("path"), F.concat(head, F.lit("see `"), glob, F.lit("`"), F.when(k % 5 == 0, F.repeat(F.lit("\nx"), 100)).otherwise("")).alias("content"))
-    files = table(s, d, "part").select(F.concat(F.lit("a/src/d"), k.cast("string"), F.lit("/m.py")).alias("path"))
+    files = table(s, d, "part").select(F.concat(F.lit("src/d"), k.cast("string"), F.lit("/m.py")).alias("path"))
     return L.rules(docs, files).select("path", "check_id")
 
 
-query("l09_settings_rules", """WITH q AS (SELECT c_custkey AS k, c_custkey::VARCHAR AS path FROM customer) SELECT path, 'CFG001' AS check_id FROM q WHERE k % 7 = 0 UNION ALL SELECT path, 'CFG003' FROM q WHERE k % 2 = 0 UNION ALL SELECT path, 'CFG004' FROM q WHERE k % 7 = 0
-    UNION ALL SELECT path, 'CFG005' FROM q WHERE k % 4 = 0 UNION ALL SELECT path, 'CFG006' FROM q UNION ALL SELECT path, 'CFG007' FROM q WHERE k % 7 = 0 UNION ALL SELECT DISTINCT 'Bash(x' || k % 3 || ')', 'CFG002' FROM q""")(
-    lambda s, d: L.settings(
-        _merged(s, d).withColumn("has_lock_files", F.lit(False)),
-        X.allow_deny_conflicts(*[_merged(s, d).select(F.explode(f"s.permissions.{x}").alias("entry")).distinct().withColumn("pos", F.lit(0)) for x in ("allow", "deny")]),
-    ).select("path", "check_id")
+query("l09_settings_rules", """WITH q AS (SELECT c_custkey AS k, c_custkey::VARCHAR AS path FROM customer) SELECT path, 'CFG001' AS check_id, 'warning' AS severity FROM q WHERE k % 7 = 0 AND k % 9 > 0 UNION ALL SELECT path, 'CFG002', 'warning' FROM q UNION ALL SELECT path, 'CFG003', 'info' FROM q WHERE k % 6 = 0
+    UNION ALL SELECT path, 'CFG004', 'info' FROM q WHERE k % 7 = 0 UNION ALL SELECT path, 'CFG005', 'warning' FROM q WHERE k % 4 = 0 UNION ALL SELECT path, 'CFG006', 'warning' FROM q WHERE k % 5 > 0 UNION ALL SELECT path, 'CFG007', 'info' FROM q WHERE k % 7 = 0 AND k % 3 > 0""")(
+    lambda s, d: L.settings(_merged(s, d).withColumn("has_lock_files", F.col("c_custkey") % 9 == 0)).select("path", "check_id", "severity")
 )
 query("l12_unscrubbed", "WITH q AS (SELECT n_nationkey AS k FROM nation) SELECT 'SEC008' AS check_id, 'warning' AS severity FROM q WHERE k < 3 HAVING count(*) BETWEEN 1 AND 19")(
     lambda s, d: L.unscrubbed(L.secrets(table(s, d, "nation").filter("n_nationkey < 3").select(F.col("n_name").alias("path"), F.lit(1).cast("long").alias("line_no"), F.concat(F.lit("password = hunter"), F.col("n_nationkey").cast("string")).alias("value"))), False).select("check_id", "severity")
@@ -335,5 +347,5 @@ def r07(s, d):
 @query("r06_settings_stream", "WITH q AS (SELECT n_nationkey AS k FROM nation) SELECT 'settings' || k || '.json' AS file, k % 2 = 0 AS bare FROM q")
 def r06(s, d):
     root, k = shared_root(s, "tree"), F.col("n_nationkey").cast("string")
-    write_lines(table(s, d, "nation").select(F.concat(F.lit("p"), k, F.lit("/settings"), k, F.lit(".json")).alias("path"), F.lit(0).alias("line_no"), F.concat(F.lit('{"bare":'), (F.col("n_nationkey") % 2 == 0).cast("string"), F.lit("}")).alias("value")), root)
-    return _drained(s, tail.stream_settings(s, root).select("path", F.col("s.bare").alias("bare"))).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "bare")
+    write_lines(table(s, d, "nation").select(F.concat(F.lit("p"), k, F.lit("/settings"), k, F.lit(".json")).alias("path"), F.lit(0).alias("line_no"), F.concat(F.lit('{"skipDangerousModePermissionPrompt":'), (F.col("n_nationkey") % 2 == 0).cast("string"), F.lit("}")).alias("value")), root)
+    return _drained(s, tail.stream_settings(s, root).select("path", F.col("s.skipDangerousModePermissionPrompt").alias("bare"))).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "bare")

@@ -135,6 +135,7 @@ class Fold:
         stamped = F.when(F.col("ts").isNotNull(), F.col("line_no"))
         first = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("line_no")))
         durations = F.array_sort(F.collect_list("duration_ms"))  # one session's turns
+        error = F.coalesce(error_class(F.col("text"), F.col("stop_reason")), F.when(F.coalesce("tool_error", F.lit(False)), "toolError"))
         base = self.rows.groupBy("project_id", "session_id").agg(
             first("slug").alias("slug"), first("cwd").alias("cwd"), F.min_by("ts", stamped).alias("first_ts"), F.max_by("ts", stamped).alias("last_ts"),
             F.sum(F.when(F.col("kind").isin("user", "assistant"), 1).otherwise(0)).alias("parent_messages"), F.sum(F.when(F.col("kind") == "user", 1).otherwise(0)).alias("user_messages"),
@@ -142,7 +143,7 @@ class Fold:
             F.coalesce(F.bool_or(F.col("gap_ms") > IDLE_GAP_MS), F.lit(False)).alias("has_idle_gap"), durations.alias("durations"), F.max("duration_ms").alias("max_turn_ms"),
             *[F.sum(F.when(a & (level == x), 1).otherwise(0)).alias(f"effort_{x}") for x in EFFORTS],
             F.sum(tools).alias("tool_calls"), F.sum(F.when(tools > 1, 1).otherwise(0)).alias("parallel_groups"), F.max(F.when(tools > 1, tools).otherwise(0)).alias("max_degree"),
-            F.bool_or(a & (F.coalesce("tool_error", F.lit(False)) | error_class(F.col("text"), F.col("stop_reason")).isNotNull())).alias("has_error"),
+            F.bool_or(a & error.isNotNull()).alias("has_error"), F.min_by(error, F.when(a & error.isNotNull(), F.col("line_no"))).alias("first_error"),
             F.bool_or(a & F.coalesce(F.arrays_overlap("tool_names", F.array(*map(F.lit, WORKTREE_TOOLS))), F.lit(False))).alias("is_worktree"),
         )
         upper = F.try_element_at("durations", (F.floor(F.size("durations") / 2) + 1).cast("int"))

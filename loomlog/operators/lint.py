@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import balanced_glob, frontmatter, token_estimate
+from .globs import matched
 
 RESULT = "check_id string, severity string, path string, line int, message string"
 
@@ -60,26 +61,26 @@ def instructions(docs: DataFrame, has_rules: Column | bool = False, content: str
     """Length, references, fences and size of instruction files (path, content)."""
     lines = F.split(content, "\n")
     n, rules_dir = F.size(lines), has_rules if isinstance(has_rules, Column) else F.lit(has_rules)
-    fences = F.size(F.filter(lines, lambda x: F.ltrim(x).startswith("```")))
-    last = F.array_max(F.transform(lines, lambda x, i: F.when(F.ltrim(x).startswith("```"), i + 1)))
+    fences = F.size(F.filter(lines, lambda x: x.startswith("```")))
+    last = F.array_max(F.transform(lines, lambda x, i: F.when(x.startswith("```"), i + 1)))
     tokens = token_estimate(F.col(content))
     base = found(
         docs,
         [
-            ("CMD001", "error", n > 200, "over 200 lines"),
-            ("CMD002", "warning", (n > 100) & ~rules_dir, "over 100 lines and no rules directory"),
-            ("CMD003", "info", F.regexp_count(content, F.lit(r"\*\.[A-Za-z0-9]+")) >= 3, "names three or more file types"),
+            ("CMD001", "warning", n > 200, "over 200 lines"),
+            ("CMD002", "info", (n > 100) & ~rules_dir, "over 100 lines and no rules directory"),
+            ("CMD003", "warning", F.regexp_count(content, F.lit(r"\*\.\w+")) >= 3, "names three or more file types"),
             ("XCT001", "warning", tokens > 2500, "over 2500 tokens"),
             ("XCT002", "error", tokens > 5000, "over 5000 tokens"),
         ],
     )
-    return base.unionByName(found(docs, [("CMD006", "warning", fences % 2 == 1, "a code fence is not closed")], last.cast("int")))
+    return base.unionByName(found(docs, [("CMD006", "error", fences % 2 == 1, "a code fence is not closed")], last.cast("int")))
 
 
 def directories(existing: DataFrame, spark: SparkSession, old: str, ignore: str) -> DataFrame:
     """A deprecated directory that is there; an ignore file that is not. ``existing`` has a path column."""
-    dep = existing.filter(F.col("path").endswith(old)).select(F.lit("CMD_DEPRECATE").alias("check_id"), F.lit("info").alias("severity"), "path", F.lit(None).cast("int").alias("line"), F.lit("deprecated directory").alias("message"))
-    wanted = spark.createDataFrame([("XCT003", "info", ignore, None, "no ignore file")], RESULT)
+    dep = existing.filter(F.col("path").endswith(old)).select(F.lit("CMD_DEPRECATE").alias("check_id"), F.lit("warning").alias("severity"), "path", F.lit(None).cast("int").alias("line"), F.lit("deprecated directory").alias("message"))
+    wanted = spark.createDataFrame([("XCT003", "warning", ignore, None, "no ignore file")], RESULT)
     return dep.unionByName(wanted.join(existing.filter(F.col("path").endswith(ignore)).select(F.lit(1).alias("__x")).limit(1), how="left_anti", on=F.lit(True)))
 
 
@@ -90,24 +91,22 @@ def deep_imports(depths: DataFrame, most: int = 5) -> DataFrame:
 
 
 def rules(docs: DataFrame, files: DataFrame) -> DataFrame:
-    """Rule files: open front matter, bad globs, globs without a file, length. ``files`` has a path column."""
+    """Rule files: open front matter, bad globs, globs without a file, length. ``files`` has a path column.
+
+    Globs are relative to a root, and so are the paths of ``files``; both frames may name roots in a column root, else all are of one.
+    Each back-ticked glob of a line is a finding of its own.
+    """
+    rooted = lambda df: df if "root" in df.columns else df.withColumn("root", F.lit(""))
+    docs, files = rooted(docs), rooted(files)
     c = F.col("content")
-    base = found(docs, [("RUL001", "error", c.startswith("---") & ~c.rlike(r"(?s)^---\r?\n.*?\r?\n---"), "front matter is not closed"), ("RUL005", "warning", F.size(F.split(c, "\n")) > 100, "over 100 lines")])
-    globs = docs.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"`([^`\s]*[*\[{][^`\s]*)`"), F.lit(1)))).alias("glob"))
-    bad = found(globs.filter(~balanced_glob(F.col("glob"))), [("RUL002", "error", F.lit(True), "invalid glob")])
-    like = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("glob", r"([.+()^$|\\])", r"\\$1"), r"\*\*/?", "\u0001"), r"\*", "[^/]*"), "\u0001", ".*")
-    ok = globs.filter(balanced_glob(F.col("glob")) & ~F.col("glob").rlike(r"[\[{]")).withColumn("like", F.concat(F.lit("(^|/)"), like, F.lit("$")))
-    # Files meet only the globs that end like them (up to 8 characters behind the last wildcard) or, failing that, that name one of their
-    # folders; a glob of wildcards alone needs any file.
-    tail, folder = F.regexp_extract("glob", r"([^*]{1,8})$", 1), F.regexp_extract("glob", r"([^*/]+)/", 1)
-    keyed = ok.withColumn("key", F.when(tail != "", F.concat(F.lit("t"), tail)).when(folder != "", F.concat(F.lit("f"), folder)).otherwise("any"))
-    ends = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda n: F.concat(F.lit("t"), F.right(F.col("path"), n)))
-    folders = F.transform(F.split("path", "/"), lambda x: F.concat(F.lit("f"), x))
-    candidates = files.select(F.col("path").alias("file"), F.explode(F.array_distinct(F.concat(ends, folders))).alias("key"))
-    candidates = candidates.unionByName(files.limit(1).select(F.col("path").alias("file"), F.lit("any").alias("key")))
-    used = keyed.join(candidates, "key").filter("key = 'any' OR file RLIKE like").select("path", "glob").distinct()
-    none = found(ok.join(used, ["path", "glob"], "left_anti"), [("RUL003", "warning", F.lit(True), "glob matches no file")])
-    return base.unionByName(bad).unionByName(none)
+    closed = F.substring(c, F.lit(4), F.char_length(c)).rlike(r"\r?\n---(\r?\n|\z)")
+    base = found(docs, [("RUL001", "error", c.startswith("---") & ~closed, "front matter is not closed"), ("RUL005", "warning", F.size(F.split(c, "\n")) > 100, "over 100 lines")])
+    lines = docs.select("path", "root", F.posexplode(F.split(c, "\n")).alias("at", "value")).filter("value LIKE '%`%'")
+    quoted = lambda pattern: lines.select("path", "root", (F.col("at") + 1).alias("line"), F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(1))).alias("glob"))
+    bad = found(quoted(r"`([^`]*[*?\[{][^`]*)`").filter(~balanced_glob(F.col("glob"))), [("RUL002", "error", F.lit(True), "invalid glob")], F.col("line"))
+    good = quoted(r"`([^`]*[*?][^`]*)`").filter(balanced_glob(F.col("glob")))
+    none = good.join(matched(good, files), ["root", "glob"], "left_anti")
+    return base.unionByName(bad).unionByName(found(none, [("RUL003", "info", F.lit(True), "glob matches no file")], F.col("line")))
 
 
 def skills(docs: DataFrame) -> DataFrame:
@@ -120,14 +119,14 @@ def skills(docs: DataFrame) -> DataFrame:
         m,
         [
             ("SKL001", "error", (F.col("file") != "SKILL.md") & (F.lower("file") == "skill.md"), "the file must be called SKILL.md"),
-            ("SKL002", "error", name == "", "no name"),
+            ("SKL002", "warning", name == "", "no name"),
             ("SKL003", "error", desc == "", "no description"),
-            ("SKL004", "warning", (name != "") & (name != F.col("dir")), "name differs from directory"),
-            ("SKL005", "warning", (name != "") & ~name.rlike("^[a-z0-9]+(-[a-z0-9]+)*$"), "name is not in kebab case"),
+            ("SKL004", "error", (name != "") & (name != F.col("dir")), "name differs from directory"),
+            ("SKL005", "error", (name != "") & ~name.rlike("^[a-z0-9]+(-[a-z0-9]+)*$"), "name is not in kebab case"),
             ("SKL006", "error", F.char_length(name) > 64, "name over 64 characters"),
             ("SKL007", "error", F.char_length(desc) > 1024, "description over 1024 characters"),
             ("SKL008", "error", desc.rlike("[<>]") | name.rlike("[<>]"), "angle brackets"),
-            ("SKL009", "warning", F.lower(name).rlike("anthropic|claude"), "reserved word in name"),
+            ("SKL009", "error", F.lower(name).rlike("anthropic|claude"), "reserved word in name"),
             ("SKL012", "warning", F.size(F.split("f.body", "\n")) > 500, "body over 500 lines"),
         ],
     )
@@ -138,23 +137,40 @@ def skill_total(docs: DataFrame, most: int = 16_000) -> DataFrame:
     return d.filter(F.col("n") > most).select(F.lit("SKL_AGG").alias("check_id"), F.lit("warning").alias("severity"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line"), F.lit("descriptions are too long together").alias("message"))
 
 
-def settings(merged: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """(path, s, has_lock_files) with merged settings, and allow/deny conflicts (a, d)."""
+# Environment variables that settings may hold.
+SERVERS_ENABLED, ENV_SCRUB = "ENABLE_CLAUDEAI_MCP_SERVERS", "CLAUDE_CODE_SUBPROCESS_ENV_SCRUB"
+
+
+def settings(merged: DataFrame) -> DataFrame:
+    """(path, s, has_lock_files[, project_root]) with merged settings; without a project root (null) nothing is said of the sandbox.
+
+    Allowed and denied paths clash once a file: the first allowed entry, in order, with its first denied one. A file's lists are short
+    enough for a row; :func:`loomlog.operators.records.allow_deny_conflicts` compares lists of any length.
+    """
+    rooted = merged if "project_root" in merged.columns else merged.withColumn("project_root", F.lit(""))
     env = lambda k: F.try_element_at("s.env", F.lit(k))
-    plugins, servers = F.coalesce(F.size("s.plugins"), F.lit(0)), F.coalesce(F.size("s.mcpServers"), F.lit(0))
-    base = found(
-        merged,
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    none = F.array().cast("array<string>")
+    closed = lambda c: F.when(c.endswith("/"), c).otherwise(F.concat(c, F.lit("/")))
+    clash = F.exists(F.coalesce("s.permissions.allow", none), lambda a: F.exists(F.coalesce("s.permissions.deny", none), lambda d: closed(a).startswith(closed(d)) | closed(d).startswith(closed(a))))
+    boxed = F.col("s.sandbox.unsandboxedCommands").isNotNull() | F.col("s.sandbox.enableWeakerNestedSandbox").isNotNull()
+    return found(
+        rooted,
         [
-            ("CFG001", "warning", F.coalesce(F.col("s.sandbox"), F.lit(False)) & ~F.col("has_lock_files"), "sandbox without lock files"),
-            ("CFG003", "info", F.exists(F.map_values(F.coalesce("s.env", F.create_map().cast("map<string,string>"))), lambda v: F.lower(v) == "false"), "an environment flag is false"),
-            ("CFG004", "info", F.exists(F.coalesce("s.plugins", F.array().cast("array<string>")), lambda p: p.contains("channel")), "channel plugins"),
-            ("CFG005", "warning", F.coalesce(F.col("s.bare"), F.lit(False)) & ((F.coalesce(F.size("s.hooks"), F.lit(0)) > 0) | (servers > 0)), "bare mode ignores hooks and servers"),
-            ("CFG006", "info", env("SUBPROCESS_ENV_SCRUB").isNull(), "subprocess environment is not scrubbed"),
-            ("CFG007", "warning", F.col("s.shell").isNotNull() & (plugins > 0), "shell with plugins"),
+            ("CFG001", "warning", F.coalesce(boxed, F.lit(False)) & F.col("project_root").isNotNull() & ~F.col("has_lock_files"), "sandbox without lock files"),
+            ("CFG002", "warning", clash, "allowed and denied"),
+            ("CFG003", "info", F.coalesce(env(SERVERS_ENABLED) == "false", F.lit(False)), "servers are disabled"),
+            ("CFG004", "info", some("s.allowedChannelPlugins"), "channel plugins are controlled"),
+            ("CFG005", "warning", true("s.skipDangerousModePermissionPrompt") & (some("s.hooks") | some("s.mcpServers")), "bare mode ignores hooks and servers"),
+            ("CFG006", "warning", env(ENV_SCRUB).isNull(), "subprocess environment is not scrubbed"),
+            ("CFG007", "info", F.coalesce(F.col("s.disableSkillShellExecution") == F.lit(False), F.lit(False)) & some("s.plugins"), "shell with plugins"),
         ],
     )
-    clash = conflicts.select(F.lit("CFG002").alias("check_id"), F.lit("warning").alias("severity"), F.col("a").alias("path"), F.lit(None).cast("int").alias("line"), F.lit("allowed and denied").alias("message"))
-    return base.unionByName(clash)
+
+
+#: First errors of a session that make its finding an error.
+SEVERE = ("rateLimit", "authFailure", "proxyError")
 
 
 def sessions(s: DataFrame, now: datetime, days: int = 7, top: int = 10) -> DataFrame:
@@ -165,8 +181,8 @@ def sessions(s: DataFrame, now: datetime, days: int = 7, top: int = 10) -> DataF
         F.when(F.col("cost") > 25, "SES001").when(F.col("input_tokens") + F.col("output_tokens") > 2_000_000, "SES003").when(F.col("compactions") >= 5, "SES002")
         .when((age > 14 * 86_400_000) & (F.col("message_count") >= 10), "SES004").when(F.col("has_error"), "SES005").when(F.col("has_idle_gap"), "SES006")
     )
-    out = recent.select(rule.alias("check_id"), F.col("session_id").alias("path")).filter("check_id IS NOT NULL").orderBy("path").limit(top)
-    return out.select("check_id", F.when(F.col("check_id") == "SES005", "error").when(F.col("check_id") == "SES004", "info").otherwise("warning").alias("severity"), "path", F.lit(None).cast("int").alias("line"), F.lit("session needs attention").alias("message"))
+    out = recent.select(rule.alias("check_id"), F.col("session_id").alias("path"), "first_error").filter("check_id IS NOT NULL").orderBy("path").limit(top)
+    return out.select("check_id", F.when((F.col("check_id") == "SES005") & F.coalesce(F.col("first_error").isin(*SEVERE), F.lit(False)), "error").when(F.col("check_id") == "SES004", "info").otherwise("warning").alias("severity"), "path", F.lit(None).cast("int").alias("line"), F.lit("session needs attention").alias("message"))
 
 
 def secret_lines(lines: DataFrame, first: int | None = None, key: str = "path", order: str = "line_no", text: str = "value") -> DataFrame:

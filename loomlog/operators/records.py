@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ def search(lines: DataFrame, query: str, key: str = "session_id", order: str = "
 
 def sidebar(sessions: DataFrame, projects: DataFrame, query: str) -> DataFrame:
     """A project whose name matches keeps all its sessions, else those whose title matches."""
-    joined = sessions.join(F.broadcast(projects.select(F.col("id").alias("project_id"), "name")), "project_id")
+    joined = sessions.join(projects.select(F.col("id").alias("project_id"), "name"), "project_id")
     return joined.filter(contains(F.col("name"), query) | contains(F.col("title"), query))
 
 
@@ -62,17 +63,71 @@ def tool_report(calls: DataFrame, *by: str) -> DataFrame:
 
 
 def allow_deny_conflicts(allow: DataFrame, deny: DataFrame) -> DataFrame:
-    """The first deny entry of each allow entry of which one is a prefix of the other.
+    """The first deny entry of each allow entry of which one is the other or a folder above it.
 
-    Equal prefixes meet by an equi-join on every prefix of the longer entry, so nothing is compared pairwise.
+    Entries are compared with a closing slash. Equal prefixes meet by an equi-join on every folder of the longer entry, so nothing is
+    compared pairwise.
     """
-    prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.char_length(c)), lambda n: F.substring(c, F.lit(1), n))
-    a, d = allow.select(F.col("entry").alias("a"), F.col("pos").alias("ap")), deny.select(F.col("entry").alias("d"), F.col("pos").alias("dp"))
-    longer_allow = a.withColumn("p", F.explode(prefixes(F.col("a")))).join(d, F.col("p") == F.col("d")).select("a", "ap", "d", "dp")
-    longer_deny = d.withColumn("p", F.explode(prefixes(F.col("d")))).join(a, F.col("p") == F.col("a")).select("a", "ap", "d", "dp")
+    closed = lambda c: F.when(c.endswith("/"), c).otherwise(F.concat(c, F.lit("/")))
+    parts = lambda c: F.split(c, "/")
+    folders = lambda c: F.transform(F.sequence(F.lit(1), F.size(parts(c)) - 1), lambda n: F.concat(F.array_join(F.slice(parts(c), 1, n), "/"), F.lit("/")))
+    a = allow.select(F.col("entry").alias("a"), F.col("pos").alias("ap"), closed(F.col("entry")).alias("ac"))
+    d = deny.select(F.col("entry").alias("d"), F.col("pos").alias("dp"), closed(F.col("entry")).alias("dc"))
+    longer_allow = a.withColumn("p", F.explode(folders(F.col("ac")))).join(d, F.col("p") == F.col("dc")).select("a", "ap", "d", "dp")
+    longer_deny = d.withColumn("p", F.explode(folders(F.col("dc")))).join(a, F.col("p") == F.col("ac")).select("a", "ap", "d", "dp")
     return longer_allow.unionByName(longer_deny).groupBy("a", "ap").agg(F.min_by("d", "dp").alias("d"))
 
 
+def import_lines(docs: DataFrame) -> DataFrame:
+    """(src, pos, dst): the files that the lines ``@import <path>`` of ``docs`` (path, content) name, in order.
+
+    A relative path starts at the importing file's folder and loses its ``.`` and ``..``; an absolute one is taken as it is.
+    """
+    said = F.regexp_extract_all("content", F.lit(r"(?m)^@import[\s\x{a0}\x{feff}]+(.+)$"), F.lit(1))
+    named = docs.select(F.col("path").alias("src"), F.posexplode(said).alias("pos", "said")).withColumn("said", F.regexp_replace("said", r"^[\s\x{a0}\x{feff}]+|[\s\x{a0}\x{feff}]+$", ""))
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    folder = F.regexp_replace("src", "[^/]*$", "")
+    parts = F.filter(F.split(F.concat(folder, "said"), "/"), lambda x: ~x.isin("", "."))
+    normal = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x))))
+    resolved = F.concat(F.when(F.col("src").startswith("/"), "/").otherwise(""), F.array_join(normal, "/"))
+    return named.select("src", "pos", F.when(F.col("said").startswith("/"), F.col("said")).otherwise(resolved).alias("dst"))
+
+
+def import_chains(docs: DataFrame, roots: DataFrame, stop: int = 10) -> DataFrame:
+    """(root, depth): how deep the imports of each of ``roots`` (path) go among ``docs`` (path, content), depth first.
+
+    A file counts at the depth at which the first chain, in the order of the lines, meets it: a target that is missing or was met before ends
+    its chain there, and no chain is followed beyond ``stop`` + 1. What is within ``stop`` steps of a root is gathered by joins, one for each step; the
+    order of the walk is then a root's own affair.
+    """
+    edges = import_lines(docs)
+    front = roots.select(F.col("path").alias("root"), F.col("path").alias("node")).distinct()
+    seen, held = front, None
+    for _ in range(stop + 1):
+        step = front.join(edges, front.node == edges.src).select("root", "src", "pos", "dst").checkpoint()
+        held = step if held is None else held.unionByName(step)
+        front = step.select("root", F.col("dst").alias("node")).distinct().join(seen, ["root", "node"], "left_anti").checkpoint()
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+
+    def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        targets: dict[str, list[str]] = {}
+        for src, dst in zip(*(rows.sort_values(["src", "pos"])[c] for c in ("src", "dst")), strict=True):
+            targets.setdefault(src, []).append(dst)
+        met, most, todo = set(), 0, [(key[0], 0)]
+        while todo:
+            node, depth = todo.pop()
+            most = max(most, depth)
+            if depth <= stop and node not in met:
+                met.add(node)
+                todo.extend((dst, depth + 1) for dst in reversed(targets.get(node, [])))
+        return pd.DataFrame({"root": [key[0]], "depth": [most]})
+
+    deep = held.groupBy("root").applyInPandas(walk, "root string, depth long")
+    return roots.select(F.col("path").alias("root")).distinct().join(deep, "root", "left").select("root", F.coalesce("depth", F.lit(0)).alias("depth"))
+
+
 def import_depths(edges: DataFrame, roots: DataFrame, cap: int = 10) -> DataFrame:
     """(root, node, depth) of everything reached over (src, dst) within ``cap`` steps; a node counts at its first depth."""
     seen = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))

@@ -16,6 +16,7 @@ from .queries import NOW, fold_of, query
 from .sources import catalog as C
 from .sources import incremental as I
 from .sources.adapter import event_records
+from .sources.files import shared_root
 from .table_queries import bodies, table
 
 
@@ -106,8 +107,8 @@ query("p24_colour", """WITH q AS (SELECT p_partkey, list_reduce(list_transform(s
 query("p25_relative_days", "SELECT sid AS session_id, CASE WHEN n <= 0 THEN 'today' WHEN n = 1 THEN 'yesterday' WHEN n < 7 THEN n || 'd ago' ELSE day END AS label FROM (SELECT *, date_diff('day', last_ts::DATE, DATE '2024-01-30') AS n FROM s)")(
     _sessions("session_id", lambda: P.relative_days(F.col("last_ts"), F.lit("2024-01-30").cast("date")).alias("label"))
 )
-query("p27_balanced_glob", "WITH q AS (SELECT * FROM part) SELECT p_partkey, p_partkey % 4 = 0 AS valid FROM q")(
-    lambda s, d: table(s, d, "part").select("p_partkey", P.balanced_glob(F.get(F.array(F.concat("p_brand", F.lit("/**/*.{ts,js}")), F.concat(F.lit("a["), "p_brand"), F.lit("  "), F.concat(F.lit("}"), "p_brand", F.lit("{"))), (F.col("p_partkey") % 4).cast("int"))).alias("valid"))
+query("p27_balanced_glob", "WITH q AS (SELECT * FROM part) SELECT p_partkey, p_partkey % 6 IN (0, 5) AS valid FROM q")(
+    lambda s, d: table(s, d, "part").select("p_partkey", P.balanced_glob(F.get(F.array(F.concat("p_brand", F.lit("/**/*.{ts,js}")), F.concat(F.lit("a["), "p_brand"), F.lit("  "), F.concat(F.lit("}"), "p_brand", F.lit("{")), F.concat(F.lit("["), "p_brand", F.lit("}")), F.concat(F.lit("{"), "p_brand", F.lit("[x]y}"))), (F.col("p_partkey") % 6).cast("int"))).alias("valid"))
 )
 query("p28_safe_div", "WITH q AS (SELECT c_nationkey, sum(c_acctbal) AS n, count(*) FILTER (c_acctbal > 9000) AS k FROM customer GROUP BY c_nationkey) SELECT c_nationkey, round(CASE WHEN k > 0 THEN n / k ELSE 0 END, 4) AS ratio FROM q")(
     lambda s, d: table(s, d, "customer").groupBy("c_nationkey").agg(F.sum("c_acctbal").alias("n"), F.count_if(F.col("c_acctbal") > 9000).alias("k")).select("c_nationkey", F.round(P.safe_div(F.col("n"), F.col("k")), 4).alias("ratio"))
@@ -194,12 +195,18 @@ query("o08_union", "SELECT sid AS session_id, 'session' AS part, cost_r AS cost
     lambda s, d: (lambda f: f.sessions.select("session_id", F.lit("session").alias("part"), F.round(F.col("cost") - F.col("subagent_cost"), 6).alias("cost")).unionByName(f.subagents.select("session_id", F.col("agent_id").alias("part"), F.round("cost", 6).alias("cost"))))(fold_of(s, d))
 )
 query("o10_except", "WITH q AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) SELECT k FROM q")(lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("k")).distinct().join(table(s, d, "orders").select(F.col("o_custkey").alias("k")), "k", "left_anti"))
-query("l02_code_fences", r"""WITH q AS (SELECT doc_id::VARCHAR AS path, string_split(text, chr(10)) AS l FROM documents), f AS (SELECT path, list_filter(range(1, len(l) + 1), lambda i: starts_with(ltrim(l[i]), '```')) AS fences FROM q)
+query("l02_code_fences", r"""WITH q AS (SELECT doc_id::VARCHAR AS path, string_split(text, chr(10)) AS l FROM documents), f AS (SELECT path, list_filter(range(1, len(l) + 1), lambda i: starts_with(l[i], '```')) AS fences FROM q)
     SELECT path, fences[len(fences)]::INTEGER AS line FROM f WHERE len(fences) % 2 = 1""")(lambda s, d: L.filtered(L.instructions(bodies(s, d)), None, "CMD006").select("path", "line"))
 
 
-@query("l05_deep_imports", "WITH q AS (SELECT p_partkey AS k FROM part) SELECT k::VARCHAR AS path, 'CMD_IMPORT' AS check_id FROM q WHERE k >= 64")
+@query("l05_deep_imports", "WITH q AS (SELECT p_partkey AS k FROM part), z AS (SELECT max(k) AS m FROM q) SELECT 'd' || k % 7 || '/f' || k || '.md' AS path, 'CMD_IMPORT' AS check_id FROM q, z WHERE least(m + 1, (k // 10 + 1) * 10) - k > 5")
 def l05(s, d):
-    from .table_queries import _closure
-
-    return L.deep_imports(_closure(s, d)).select(F.col("path").cast("string"), "check_id")
+    """Chains of up to ten files that import the next one by relative and absolute paths; a chain's last file, and a missing one, are steps."""
+    shared_root(s, "closure")  # names a checkpoint folder where a local session has none
+    k = F.col("p_partkey")
+    name = lambda n: F.concat(F.lit("d"), (n % 7).cast("string"), F.lit("/f"), n.cast("string"), F.lit(".md"))
+    target = F.concat(F.when(k % 3 == 0, "  /root/").otherwise(" ../x/./../"), name(k + 1))
+    content = F.concat(F.lit("text\n @import indented\n"), F.when(k % 10 < 9, F.concat(F.lit("@import"), target, F.lit(" \r\n@import ./"), F.regexp_extract(name(k), "[^/]*$", 0))).otherwise(F.concat(F.lit("@import gone.md"))))
+    docs = table(s, d, "part").select(F.concat(F.lit("/root/"), name(k)).alias("path"), content.alias("content"))
+    chains = X.import_chains(docs, docs).withColumn("root", F.substring("root", 7, 1 << 20))
+    return L.deep_imports(chains).select("path", "check_id")

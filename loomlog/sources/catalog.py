@@ -8,7 +8,21 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import frontmatter, plan_title
 
-SETTINGS = "hooks map<string,array<variant>>, mcpServers map<string,variant>, permissions struct<allow:array<string>,deny:array<string>>, env map<string,string>, sandbox boolean, plugins array<string>, model string, shell string, bare boolean"
+# The keys of settings files.
+SETTINGS = (
+    "hooks map<string,array<variant>>, mcpServers map<string,variant>, permissions struct<allow:array<string>,deny:array<string>>, env map<string,string>, "
+    "sandbox struct<unsandboxedCommands:array<string>,enableWeakerNestedSandbox:boolean>, skipDangerousModePermissionPrompt boolean, disableSkillShellExecution boolean, "
+    "attribution struct<commitTemplate:string,prTemplate:string,hasDeprecatedCoAuthoredBy:boolean>, plugins array<struct<name:string,version:string,source:string>>, "
+    "marketplaces array<struct<name:string,url:string>>, profile struct<name:string,email:string>, allowedChannelPlugins array<string>"
+)
+WHOLE = ("sandbox", "skipDangerousModePermissionPrompt", "disableSkillShellExecution", "attribution", "plugins", "marketplaces", "profile", "allowedChannelPlugins")
+
+# What server log lines say.
+LED = r"^\d{4}-\d{2}-\d{2}T"
+CONNECTED = r'(\d{4}-\d{2}-\d{2}T[\d:.]+Z) \[DEBUG\] MCP server "([^"]+)": Successfully connected'
+CAPABLE = r'MCP server "([^"]+)": Connection established with capabilities: (\{.+\})'
+FAILED = r'(\d{4}-\d{2}-\d{2}T[\d:.]+Z) \[(?:DEBUG|ERROR)\] MCP server "([^"]+)"[: ]+Connection failed[^:]*: (.+)'
+STDERR = r'(?s)\[ERROR\] MCP server "([^"]+)" Server stderr: (.+)'
 
 
 def documents(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -41,7 +55,7 @@ def merged_settings(general: Column, project: Column) -> Column:
     none = F.array().cast("array<string>")
     lists = lambda k: F.concat(F.coalesce(general["permissions"][k], none), F.coalesce(project["permissions"][k], none))
     first = lambda k: F.coalesce(project[k], general[k]).alias(k)
-    return F.struct(merge("hooks").alias("hooks"), merge("mcpServers").alias("mcpServers"), merge("env").alias("env"), F.struct(lists("allow").alias("allow"), lists("deny").alias("deny")).alias("permissions"), *map(first, ("sandbox", "plugins", "model", "shell", "bare")))
+    return F.struct(merge("hooks").alias("hooks"), merge("mcpServers").alias("mcpServers"), merge("env").alias("env"), F.struct(lists("allow").alias("allow"), lists("deny").alias("deny")).alias("permissions"), *map(first, WHOLE))
 
 
 def hooks(s: DataFrame) -> DataFrame:
@@ -53,32 +67,68 @@ def hooks(s: DataFrame) -> DataFrame:
     return e.select("path", "event", "pos", F.coalesce(g("$.matcher"), F.lit("")).alias("matcher"), F.explode_outer(commands).alias("command"))
 
 
-def servers(sources: DataFrame, status: DataFrame | None = None) -> DataFrame:
-    """(name, kind, command, url, status) from (priority, path, s): the first source with a name wins."""
-    e = sources.select("priority", F.explode("s.mcpServers").alias("name", "v"))
-    g = lambda p: F.try_variant_get("v", p, "string")
+def servers(sources: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """(name, kind, command, args, url, env, level, status, error, capabilities, last_seen) from (priority, path, s[, level]): the first source with a
+    name wins. ``log`` is a :func:`server_log`."""
+    leveled = sources if "level" in sources.columns else sources.withColumn("level", F.lit("global"))
+    e = leveled.select("priority", "level", F.explode("s.mcpServers").alias("name", "v"))
+    g = lambda p, kind="string": F.try_variant_get("v", p, kind)
     kind = F.coalesce(g("$.type"), F.when(g("$.command").isNotNull(), "stdio").when(g("$.url").isNotNull(), "sse"))
-    one = e.withColumn("n", F.row_number().over(W.partitionBy("name").orderBy("priority"))).filter("n = 1").select("name", kind.alias("kind"), g("$.command").alias("command"), g("$.url").alias("url"))
-    if status is None:
-        return one.withColumn("status", F.lit("unknown"))
-    return one.join(status.select("name", "status"), "name", "left").fillna({"status": "unknown"})
+    args, env = F.coalesce(g("$.args", "array<string>"), F.array().cast("array<string>")), F.coalesce(g("$.env", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    first = e.withColumn("n", F.row_number().over(W.partitionBy("name").orderBy("priority"))).filter("n = 1")
+    one = first.select("name", kind.alias("kind"), g("$.command").alias("command"), args.alias("args"), g("$.url").alias("url"), env.alias("env"), "level")
+    if log is None:
+        return one.select("*", F.lit("unknown").alias("status"), *[F.lit(None).cast("string").alias(c) for c in ("error", "capabilities", "last_seen")])
+    return one.join(log.select("name", "status", "error", "capabilities", "last_seen"), "name", "left").fillna({"status": "unknown"})
 
 
-def server_log(log: DataFrame) -> DataFrame:
-    """(name, status, capabilities, error) from log lines (line_no, value): the last state and capabilities count, the first error output."""
-    name = F.regexp_extract("value", r'server "([^"]+)"', 1)
-    rest = F.regexp_extract("value", r'server "[^"]+"\s*(.*)$', 1)
-    state = F.when(F.lower(rest).contains("connected"), "connected").when(F.lower(rest).rlike("failed|error"), "failed")
-    capabilities = F.nullif(F.regexp_extract(rest, r"^capabilities:\s*(\{.*\})$", 1), F.lit(""))
-    error = F.nullif(F.regexp_extract(rest, r"^stderr:\s*(.*)$", 1), F.lit(""))
-    told = log.select("line_no", name.alias("name"), error.alias("error"), capabilities.alias("capabilities"), F.when(error.isNull() & capabilities.isNull(), state).alias("status")).filter("name <> ''")
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
-    return told.groupBy("name").agg(last("status"), last("capabilities"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("line_no"))).alias("error"))
+def log_blocks(log: DataFrame, chunk: int = 1 << 16) -> DataFrame:
+    """``log`` (path, line_no, value) with block, the last line at or before each that begins with a time, or 0.
+
+    A running maximum inside chunks of lines, and one over the chunks: no log is sorted as a whole.
+    """
+    led = F.when(F.col("value").rlike(LED), F.col("line_no"))
+    lines = log.withColumn("__chunk", F.floor(F.col("line_no") / chunk)).withColumn("__led", led)
+    before = W.partitionBy("path").orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    carried = lines.groupBy("path", "__chunk").agg(F.max("__led").alias("__last")).select("path", "__chunk", F.max("__last").over(before).alias("__before"))
+    here = F.max("__led").over(W.partitionBy("path", "__chunk").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
+    return lines.withColumn("__here", here).join(carried, ["path", "__chunk"]).withColumn("block", F.coalesce("__here", "__before", F.lit(0))).drop("__chunk", "__led", "__here", "__before")
 
 
-def server_status(log: DataFrame) -> DataFrame:
-    """(name, status) of the servers that the log says have connected or failed."""
-    return server_log(log).filter("status IS NOT NULL").select("name", "status")
+def server_log(log: DataFrame) -> DataFrame:
+    """(path, name, status, last_seen, capabilities, error) from log lines (line_no, value[, path]).
+
+    The last connection or failure counts, and capabilities if they follow it. The error of a failed server is its first error output of
+    several lines, else its last, else the first failure since it was connected. Error output goes on to the next line that begins with a time.
+    Empty error output and capabilities that are no JSON are left out.
+    """
+    log = log if "path" in log.columns else log.withColumn("path", F.lit(""))
+    part = lambda pattern, n: F.nullif(F.regexp_extract("value", pattern, n), F.lit(""))
+    ok, bad, able = part(CONNECTED, 2), part(FAILED, 2), part(CAPABLE, 1)
+    states = log.select("path", "line_no", F.coalesce(ok, able, bad).alias("name"), F.when(ok.isNotNull(), "connected").when(able.isNotNull(), "capable").otherwise("failed").alias("said"), F.coalesce(part(CONNECTED, 1), part(FAILED, 1)).alias("at"), F.trim(part(FAILED, 3)).alias("why"), F.when(F.try_parse_json(part(CAPABLE, 2)).isNotNull(), part(CAPABLE, 2)).alias("capabilities"))
+    states = states.filter("name IS NOT NULL AND (said <> 'capable' OR capabilities IS NOT NULL)")
+    is_state, line = F.col("said") != "capable", F.col("line_no")
+    last = states.groupBy("path", "name").agg(
+        F.max_by("said", F.when(is_state, line)).alias("status"),
+        F.max_by("at", F.when(is_state, line)).alias("last_seen"),
+        F.max(F.when(is_state, line)).alias("__state"),
+        F.max(F.when(F.col("said") == "connected", line)).alias("__connected"),
+        F.max(F.when(~is_state, line)).alias("__capable"),
+        F.max_by("capabilities", F.when(~is_state, line)).alias("capabilities"),
+    ).filter("__state IS NOT NULL")
+    failures = states.filter("said = 'failed'").join(last.select("path", "name", "__connected"), ["path", "name"]).filter("__connected IS NULL OR line_no > __connected")
+    why = failures.groupBy("path", "name").agg(F.min_by("why", "line_no").alias("why"))
+
+    blocks = log_blocks(log)
+    marked = blocks.filter(F.col("value").rlike(STDERR)).groupBy("path", "block").agg(F.min("line_no").alias("__from"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]), "\n")
+    outputs = blocks.join(marked, ["path", "block"]).filter("line_no >= __from").groupBy("path", "block").agg(text.alias("value")).select("path", "block", part(STDERR, 1).alias("name"), F.trim(F.regexp_replace(part(STDERR, 2), r"^\s+|\s+$", "")).alias("text"))
+    whole = F.col("text").contains("\n")
+    stderr = outputs.filter("text <> ''").groupBy("path", "name").agg(F.coalesce(F.min_by("text", F.when(whole, F.col("block"))), F.max_by("text", "block")).alias("stderr"))
+
+    out = last.join(why, ["path", "name"], "left").join(stderr, ["path", "name"], "left")
+    error = F.when(F.col("status") == "failed", F.coalesce("stderr", "why"))
+    return out.select("path", "name", "status", "last_seen", F.when(F.col("__capable") > F.col("__state"), F.col("capabilities")).alias("capabilities"), error.alias("error"))
 
 
 def server_counts(s: DataFrame) -> DataFrame:
@@ -104,10 +154,10 @@ def memory(spark: SparkSession, general: list[str], project: list[str]) -> DataF
 
 
 def extended_config(settings: DataFrame) -> DataFrame:
-    """(path, sandbox, plugins, model, shell, bare, env) with a value for everything that the file leaves out."""
-    flag = lambda k: F.coalesce(f"s.{k}", F.lit(False)).alias(k)
-    text = lambda k: F.coalesce(f"s.{k}", F.lit("")).alias(k)
-    return settings.select("path", flag("sandbox"), F.coalesce("s.plugins", F.array().cast("array<string>")).alias("plugins"), text("model"), text("shell"), flag("bare"), F.coalesce("s.env", F.create_map().cast("map<string,string>")).alias("env"))
+    """A column for each key of :data:`WHOLE`, and env, with a value for flags, lists and env that the file leaves out; path first."""
+    none = {"skipDangerousModePermissionPrompt": F.lit(False), "disableSkillShellExecution": F.lit(False)} | {k: F.array() for k in ("plugins", "marketplaces", "allowedChannelPlugins")}
+    value = lambda k: F.coalesce(f"s.{k}", none[k]).alias(k) if k in none else F.col(f"s.{k}").alias(k)
+    return settings.select("path", *map(value, WHOLE), F.coalesce("s.env", F.create_map().cast("map<string,string>")).alias("env"))
 
 
 def plans(docs: DataFrame) -> DataFrame:

@@ -98,11 +98,12 @@ query("j05_subagents_in_turn", "SELECT a.sid AS session_id, line AS line_no, x.a
 query("j08_project_stats", "WITH o AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey) SELECT c_custkey, round(coalesce(t, 0), 2) AS total FROM customer LEFT JOIN o ON c_custkey = o_custkey")(
     lambda s, d: table(s, d, "customer").join(table(s, d, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("t")), F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.round(F.coalesce("t", F.lit(0.0)), 2).alias("total"))
 )
-query("j11_allow_deny", """WITH al AS (SELECT DISTINCT p_type AS a FROM part), de AS (SELECT 'STANDARD' AS d, 0 AS dp UNION ALL SELECT DISTINCT p_type || ' x', 1 FROM part) SELECT a, arg_min(d, dp) AS d FROM al JOIN de ON starts_with(a, d) OR starts_with(d, a || ' ') OR d = a GROUP BY a""")(
-    lambda s, d: X.allow_deny_conflicts(
-        table(s, d, "part").select(F.col("p_type").alias("entry")).distinct().withColumn("pos", F.lit(0)),
-        s.createDataFrame([("STANDARD", 0)], "entry string, pos int").unionByName(table(s, d, "part").select(F.concat("p_type", F.lit(" x")).alias("entry")).distinct().withColumn("pos", F.lit(1))),
-    ).select("a", "d")
+query("j11_allow_deny", """WITH al AS (SELECT DISTINCT replace(p_type, ' ', '/') AS a FROM part), de AS (SELECT 'STANDARD' AS d, 0 AS dp UNION ALL SELECT 'PROMO/', 0 UNION ALL SELECT 'ECO', 0 UNION ALL SELECT DISTINCT replace(p_type, ' ', '/') || '/x', 1 FROM part WHERE p_type NOT LIKE 'E%')
+    SELECT a, arg_min(d, dp) AS d FROM al JOIN de ON starts_with(a || '/', CASE WHEN d LIKE '%/' THEN d ELSE d || '/' END) OR starts_with(d || '/', a || '/') GROUP BY a""")(
+    lambda s, d: (lambda types: X.allow_deny_conflicts(
+        types.distinct().withColumn("pos", F.lit(0)),
+        s.createDataFrame([("STANDARD", 0), ("PROMO/", 0), ("ECO", 0)], "entry string, pos int").unionByName(types.filter("entry NOT LIKE 'E%'").select(F.concat("entry", F.lit("/x")).alias("entry")).distinct().withColumn("pos", F.lit(1))),
+    ))(table(s, d, "part").select(F.replace(F.col("p_type"), F.lit(" "), F.lit("/")).alias("entry"))).select("a", "d")
 )
 query("j12_project_semi", "WITH k AS (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM k)")(lambda s, d: table(s, d, "customer").join(table(s, d, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("c_nationkey")), "c_nationkey", "left_semi").select("c_custkey"))
 query("j13_novel_findings", "WITH f AS (SELECT DISTINCT event_type AS check_id, user_id::VARCHAR AS masked FROM events), old AS (SELECT DISTINCT event_type || ':' || user_id AS fingerprint FROM events WHERE event_id % 3 = 0) SELECT check_id, masked FROM f WHERE check_id || ':' || masked NOT IN (SELECT fingerprint FROM old)")(
@@ -140,14 +141,16 @@ def bodies(s, d):
     return table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
 
 
-query("l01_instruction_rules", r"""WITH q AS (SELECT doc_id::VARCHAR AS path, text AS t, len(string_split(text, chr(10))) AS n, ceil(length(text) / 4) AS k, len(regexp_extract_all(text, '\*\.[A-Za-z0-9]+')) AS g FROM documents)
-    SELECT path, 'CMD001' AS check_id, 'error' AS severity FROM q WHERE n > 200 UNION ALL SELECT path, 'CMD002', 'warning' FROM q WHERE n > 100 UNION ALL SELECT path, 'CMD003', 'info' FROM q WHERE g >= 3
+query("l01_instruction_rules", r"""WITH q AS (SELECT doc_id::VARCHAR AS path, text AS t, len(string_split(text, chr(10))) AS n, ceil(length(text) / 4) AS k, len(regexp_extract_all(text, '\*\.\w+')) AS g FROM documents)
+    SELECT path, 'CMD001' AS check_id, 'warning' AS severity FROM q WHERE n > 200 UNION ALL SELECT path, 'CMD002', 'info' FROM q WHERE n > 100 UNION ALL SELECT path, 'CMD003', 'warning' FROM q WHERE g >= 3
     UNION ALL SELECT path, 'XCT001', 'warning' FROM q WHERE k > 2500 UNION ALL SELECT path, 'XCT002', 'error' FROM q WHERE k > 5000""")(lambda s, d: L.instructions(bodies(s, d)).select("path", "check_id", "severity"))
 query("l07_skill_rules", "WITH q AS (SELECT doc_id::VARCHAR AS path, len(string_split(text, chr(10))) AS n FROM documents) SELECT path, 'SKL002' AS check_id FROM q UNION ALL SELECT path, 'SKL003' FROM q UNION ALL SELECT path, 'SKL012' FROM q WHERE n > 500")(
     lambda s, d: L.skills(bodies(s, d)).select("path", "check_id")
 )
-query("l10_session_rules", """SELECT CASE WHEN cost > 25 THEN 'SES001' WHEN inp + out > 2000000 THEN 'SES003' WHEN compactions >= 5 THEN 'SES002' WHEN has_error THEN 'SES005' WHEN gap THEN 'SES006' END AS check_id, sid AS path FROM s
-    WHERE epoch_ms(TIMESTAMP '2024-01-30 12:00:00') - last_ms <= 7 * 86400000 AND (cost > 25 OR inp + out > 2000000 OR compactions >= 5 OR has_error OR gap) ORDER BY sid LIMIT 10""")(lambda s, d: L.sessions(fold_of(s, d).sessions, NOW).select("check_id", "path"))
+query("l10_session_rules", """SELECT check_id, sid AS path, CASE WHEN check_id = 'SES005' AND fe IN ('rateLimit', 'authFailure', 'proxyError') THEN 'error' ELSE 'warning' END AS severity FROM (
+    SELECT CASE WHEN cost > 25 THEN 'SES001' WHEN inp + out > 2000000 THEN 'SES003' WHEN compactions >= 5 THEN 'SES002' WHEN has_error THEN 'SES005' WHEN gap THEN 'SES006' END AS check_id, sid, fe
+    FROM s LEFT JOIN (SELECT sid, arg_min(err, line) FILTER (err IS NOT NULL) AS fe FROM a GROUP BY sid) USING (sid)
+    WHERE epoch_ms(TIMESTAMP '2024-01-30 12:00:00') - last_ms <= 7 * 86400000) WHERE check_id IS NOT NULL ORDER BY sid LIMIT 10""")(lambda s, d: L.sessions(fold_of(s, d).sessions, NOW).select("check_id", "path", "severity"))
 _LINES = "WITH q AS (SELECT doc_id::VARCHAR AS path, unnest(string_split(text, chr(10))) AS v, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents)"
 
 
@@ -159,8 +162,8 @@ query("l11_secret_lines", _LINES + r""" SELECT path, line AS line_no, 'SEC002' A
     UNION ALL SELECT path, line, 'SEC004' FROM q WHERE regexp_matches(v, '(?i)\b(?:api[_-]?key|token|secret)["'']?\s*[:=]\s*["'']?[A-Za-z0-9+/_.-]{16,}')
     UNION ALL SELECT path, line, 'SEC005' FROM q WHERE regexp_matches(v, '(?i)\b(?:password|passwd|pwd)["'']?\s*[:=]\s*["'']?[^\s"'']{6,}')""")(lambda s, d: L.secret_lines(text_lines(s, d)).select("path", "line_no", "check_id"))
 query("l11_secret_findings")(lambda s, d: L.secrets(text_lines(s, d)))
-query("a30_lint_summary", """WITH q AS (SELECT len(string_split(text, chr(10))) AS n, ceil(length(text) / 4) AS k, len(regexp_extract_all(text, '\\*\\.[A-Za-z0-9]+')) AS g FROM documents),
-    t AS (SELECT count(*) FILTER (n > 200) + count(*) FILTER (k > 5000) AS errors, count(*) FILTER (n > 100) + count(*) FILTER (k > 2500) AS warnings, count(*) FILTER (g >= 3) AS infos FROM q)
+query("a30_lint_summary", """WITH q AS (SELECT len(string_split(text, chr(10))) AS n, ceil(length(text) / 4) AS k, len(regexp_extract_all(text, '\\*\\.\\w+')) AS g, len(list_filter(string_split(text, chr(10)), lambda l: starts_with(l, '```'))) AS fences FROM documents),
+    t AS (SELECT count(*) FILTER (k > 5000) + count(*) FILTER (fences % 2 = 1) AS errors, count(*) FILTER (n > 200) + count(*) FILTER (k > 2500) + count(*) FILTER (g >= 3) AS warnings, count(*) FILTER (n > 100) AS infos FROM q)
     SELECT errors, warnings, infos, errors + warnings + infos AS total, round(CASE WHEN errors + warnings + infos = 0 THEN 1 ELSE greatest(0, 1 - (3 * errors + warnings)::DOUBLE / (3 * (errors + warnings + infos))) END, 6)::DOUBLE AS score FROM t""".replace("\\\\", "\\"))(
     lambda s, d: R.lint_summary(L.instructions(bodies(s, d)))
 )
