@@ -66,3 +66,12 @@ def texts(corpus):
 
     t = pq.read_table(f"{corpus}/documents.parquet", columns=["doc_id", "text", "lang", "source"])
     return t.to_pylist()
+
+
+@pytest.fixture(scope="session")
+def bare(tmp_path_factory):
+    """Rows whose ids are null or repeat, without languages or sources for many of them."""
+    folder = tmp_path_factory.mktemp("bare")
+    texts = [None, "", "One two", "one two three four five six", "A b c " * 2000, "tab\tand\nline", "日本語 テスト", "same", "same"]
+    rows = [(None if i % 2 else i % 3, t, None if i % 3 else "en", None, None if i % 2 else 5) for i, t in enumerate(texts * 3)]
+    return write(folder, rows)
