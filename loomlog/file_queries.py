@@ -13,6 +13,7 @@ from .functions import pricing
 from .functions import scalars as P
 from .operators import lint as L
 from .operators import records as X
+from .operators import search as Q
 from .operators import transcript as T
 from .operators.fold import Fold, visible
 from .queries import query
@@ -88,7 +89,7 @@ query("s01_scan_jsonl", LINES + "SELECT sid AS session_id, '' AS agent_id, count
 query("s02_project_dirs", LINES + "SELECT DISTINCT pid AS project_id FROM q")(lambda s, d: S.scan_lines(s, root_of(s, d)).select("project_id").distinct())
 query("s03_session_files", LINES + "SELECT DISTINCT pid AS project_id, sid AS session_id FROM q")(lambda s, d: S.scan_lines(s, root_of(s, d)).filter("agent_id IS NULL").select("project_id", "session_id").distinct())
 query("s04_subagent_files", LINES + "SELECT DISTINCT sid AS session_id, 'k' || c AS agent_id FROM q WHERE c % 3 = 0")(lambda s, d: S.scan_lines(s, root_of(s, d)).filter("agent_id IS NOT NULL").select("session_id", "agent_id").distinct())
-query("s05_project_cwd", LINES + "SELECT DISTINCT pid AS project_id, '/home/me/proj' || c % 4 AS cwd FROM q WHERE role = 'user'")(lambda s, d: S.project_cwds(_records(s, d)))
+query("s05_project_cwd", LINES + "SELECT DISTINCT pid AS project_id, '/home/me/proj' || c % 4 AS cwd FROM q WHERE role = 'user' AND t = 0")(lambda s, d: S.head_cwds(growing.heads(s, root_of(s, d))))
 query("s06_scan_projects", LINES + "SELECT pid AS id, 'proj' || any_value(c % 4) AS name, '/home/me/proj' || any_value(c % 4) AS path, count(DISTINCT sid) AS session_count FROM q GROUP BY pid")(lambda s, d: S.projects(_fold(s, d).sessions).select("id", "name", "path", "session_count"))
 query("s07_project_sessions", LINES + "SELECT sid AS session_id, '2024-01-' || lpad((c % 28 + 1)::VARCHAR, 2, '0') || ' 00:' || lpad(max(t)::VARCHAR, 2, '0') AS last_time FROM q WHERE pid = '-home-me-proj1' GROUP BY sid, c")(
     lambda s, d: _fold(s, d).sessions.filter("project_id = '-home-me-proj1' AND last_ts IS NOT NULL").orderBy(F.desc("last_ts"), "session_id").select("session_id", F.date_format("last_ts", "yyyy-MM-dd HH:mm").alias("last_time"))
@@ -269,6 +270,27 @@ query("l12_unscrubbed", "WITH q AS (SELECT n_nationkey AS k FROM nation) SELECT
     lambda s, d: L.unscrubbed(L.secrets(table(s, d, "nation").filter("n_nationkey < 3").select(F.col("n_name").alias("path"), F.lit(1).cast("long").alias("line_no"), F.concat(F.lit("password = hunter"), F.col("n_nationkey").cast("string")).alias("value"))), False).select("check_id", "severity")
 )
 
+# --- search -----------------------------------------------------------------------------------------------------
+
+
+@query("a31_search", LINES + """, r AS (SELECT * FROM q WHERE NOT carrier UNION ALL SELECT * REPLACE (4 AS line) FROM q WHERE t = 0 AND NOT carrier), m AS (SELECT *, strpos(lower(x), 'tion') AS p, row_number() OVER (PARTITION BY sid ORDER BY line) AS n FROM r WHERE lower(x) LIKE '%tion%'),
+    b AS (SELECT *, greatest(p - 40, 1) AS f, least(p + 84, length(x) + 1) AS z FROM m), g AS (SELECT sid, max(CASE WHEN role = 'user' THEN 'plan-' || c % 3 END) AS title FROM q GROUP BY sid)
+    SELECT sid AS session_id, coalesce(any_value(title), sid) AS title, count(*) AS matches, string_agg(CASE WHEN n <= 3 THEN CASE WHEN f > 1 THEN '…' ELSE '' END || substring(x, f, z - f) || CASE WHEN z <= length(x) THEN '…' ELSE '' END END, '|' ORDER BY n) AS snippets FROM b JOIN g USING (sid) GROUP BY sid""")
+def a31(s, d):
+    """Candidates come from trigrams that the incremental store keeps; the second refresh takes up the sessions that were missing."""
+    root, store = shared_root(s, "transcripts"), shared_root(s, "postings")
+
+    def build(path, keys):
+        own = S.read_records(s, path)
+        return Q.postings(Q.texts(own if keys is None else own.join(keys, ["project_id", "session_id"], "left_semi")))
+
+    for part in ("c % 5 <> 0", "c % 5 = 0"):
+        write_lines(_rows(s, d, part), root)
+        index = I.refresh(s, root, store, build)
+    records = S.read_records(s, root)
+    return Q.search_sessions(Q.texts(records), Q.titles(records), "tiON", index).select("session_id", "title", "matches", F.array_join("snippets", "|").alias("snippets"))
+
+
 # --- streams ----------------------------------------------------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pricing
 from ..functions.scalars import date_key, effort, safe_div
+from ..operators.intervals import contained
 from . import reports as R
 
 r6 = R.r6
@@ -96,12 +97,18 @@ def turn_metrics(fold) -> DataFrame:
     """Per turn: effort, tools, the children that ran inside it and the time left for the model."""
     keys = ["project_id", "session_id"]
     a = fold.assistants.filter("duration_ms IS NOT NULL").select(*keys, "line_no", "effort", "tool_count", "duration_ms", F.col("anchor.ts").alias("start"), "ts")
-    c = fold.subagents.select(*keys, "agent_id", "first_ts", "last_ts")
-    # Equal sessions first; containment is checked within a session, where children are few.
-    inside = (F.col("c.first_ts") >= F.col("a.start")) & (F.unix_millis("c.last_ts") <= F.unix_millis("a.ts") + F.col("duration_ms"))
-    j = a.alias("a").join(c.alias("c"), [F.col(f"a.{k}") == F.col(f"c.{k}") for k in keys] + [inside], "left")
-    spent = F.coalesce(F.sum(F.unix_millis("c.last_ts") - F.unix_millis("c.first_ts")), F.lit(0))
-    return j.groupBy("a.project_id", "a.session_id", "line_no", "effort", "tool_count", "duration_ms").agg(F.count("agent_id").alias("agents"), spent.alias("agent_ms")).withColumn("model_ms", F.greatest(F.lit(0), F.col("duration_ms") - F.col("agent_ms")))
+    inside = subagents_in_turns(a, fold.subagents, F.unix_millis("start"))
+    spent = inside.groupBy(*keys, "line_no").agg(F.count("agent_id").alias("agents"), F.sum(F.unix_millis("last_ts") - F.unix_millis("first_ts")).alias("agent_ms"))
+    j = a.join(spent, [*keys, "line_no"], "left").fillna(0, ["agents", "agent_ms"])
+    return j.select(*keys, "line_no", "effort", "tool_count", "duration_ms", "agents", "agent_ms", F.greatest(F.lit(0), F.col("duration_ms") - F.col("agent_ms")).alias("model_ms"))
+
+
+def subagents_in_turns(turns: DataFrame, subagents: DataFrame, start) -> DataFrame:
+    """``turns`` (with ts and duration_ms) with the children (agent_id, first_ts, last_ts) of their session that ran inside: not before ``start``, and
+    not beyond the turn's time and its duration."""
+    keys = ["project_id", "session_id"]
+    children = subagents.select(*keys, "agent_id", "first_ts", "last_ts")
+    return contained(turns, children, keys, (start, F.unix_millis("ts") + F.col("duration_ms")), (F.unix_millis("first_ts"), F.unix_millis("last_ts")))
 
 
 def percentile_bars(turns: DataFrame) -> DataFrame:

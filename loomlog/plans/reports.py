@@ -129,10 +129,25 @@ def daily_model_pivot(models: DataFrame, s: DataFrame, families: tuple[str, ...]
     return p.select("day", *[F.col(f"`{f}`").alias(f.replace("-", "_")) for f in families]).orderBy("day")
 
 
-def latency_percentiles(turns: DataFrame) -> DataFrame:
-    """Nearest-rank percentiles; no turns give zeros."""
-    p = lambda q: F.coalesce(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY duration_ms)"), F.lit(0)).cast("long")
-    return turns.agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.count("*").alias("turns"), r6(F.coalesce(F.avg("duration_ms"), F.lit(0.0))).alias("avg_ms"))
+def latency_percentiles(turns: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.95, 0.99), width: int = 512) -> DataFrame:
+    """Nearest-rank percentiles p<100 q> of durations, their number and average; no turns give zeros.
+
+    Equal durations are counted first, in parallel. A histogram of ``width`` milliseconds, at most ten minutes long, tells the bucket that holds
+    each rank, and only that bucket's durations are put in order: no task sees more than a histogram or a bucket.
+    """
+    counts = turns.filter("duration_ms IS NOT NULL").groupBy("duration_ms").agg(F.count("*").alias("n"))
+    bucket = F.floor(F.col("duration_ms") / width)
+    bars = counts.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"))
+    upto = W.partitionBy(F.lit(1)).orderBy("b").rowsBetween(W.unboundedPreceding, 0)
+    whole = W.partitionBy(F.lit(1))
+    bars = bars.select("b", (F.sum("n").over(upto) - F.col("n")).alias("before"), F.sum("n").over(upto).alias("to"), F.sum("n").over(whole).alias("all"))
+    ranks = F.array(*[F.struct(F.lit(q).alias("q"), F.greatest(F.ceil(F.lit(q) * F.col("all")), F.lit(1)).alias("rank")) for q in quantiles])
+    chosen = bars.select("*", F.explode(ranks).alias("r")).filter("r.rank > before AND r.rank <= to").select("b", "r.q", (F.col("r.rank") - F.col("before")).alias("rank"))
+    inside = counts.withColumn("b", bucket).join(F.broadcast(chosen), "b")  # a row for each quantile
+    placed = inside.withColumn("to", F.sum("n").over(W.partitionBy("q").orderBy("duration_ms").rowsBetween(W.unboundedPreceding, 0))).filter("to >= rank")
+    found = placed.groupBy().agg(*[F.coalesce(F.min(F.when(F.col("q") == q, F.col("duration_ms"))), F.lit(0)).cast("long").alias(f"p{round(q * 100)}") for q in quantiles])
+    n, ms = F.coalesce(F.sum("n"), F.lit(0)), F.sum(F.col("duration_ms") * F.col("n"))
+    return found.crossJoin(F.broadcast(counts.agg(n.alias("turns"), r6(F.coalesce(ms / F.sum("n"), F.lit(0.0))).alias("avg_ms"))))  # a row each
 
 
 def approx_latency_percentiles(turns: DataFrame, accuracy: int = 10_000) -> DataFrame:

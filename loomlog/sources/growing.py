@@ -256,3 +256,25 @@ def session_lines(keys: DataFrame, root: str) -> DataFrame:
                             count += n
 
     return keys.select("project_id", "session_id").mapInArrow(task, "file_path string, project_id string, session_id string, agent_id string, line_no long, value string")
+
+
+def heads(spark: SparkSession, root: str, most: int = 4096, pattern: str = "*.jsonl") -> DataFrame:
+    """(project_id, session_id, line_no, value): the lines in the first ``most`` bytes of each session file, the last of them perhaps cut off.
+
+    Files are listed without being read; each is opened by the task that has its path, which reads ``most`` bytes once.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(f"{root}/projects/*").select("path").repartition("path")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path in batch.column("path").to_pylist():
+                fs, at = open_store(path)
+                with fs.open_input_stream(at, compression=None, buffer_size=0) as f:
+                    lines = f.read(most).decode("utf-8", "replace").split("\n")
+                project, name = path.rsplit("/", 2)[1:]
+                out.extend((project, name.rpartition(".")[0], i, line) for i, line in enumerate(lines, 1))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["project_id", "session_id", "line_no", "value"])
+
+    return files.mapInArrow(task, "project_id string, session_id string, line_no long, value string")

@@ -106,6 +106,14 @@ def project_cwds(records: DataFrame) -> DataFrame:
     return named.groupBy("project_id").agg(F.min_by("cwd", F.struct("session_id", "line_no")).alias("cwd"))
 
 
+def head_cwds(heads: DataFrame) -> DataFrame:
+    """(project_id, cwd): as :func:`project_cwds`, from the first bytes of files (:func:`loomlog.sources.growing.heads`) alone."""
+    cwd = F.try_variant_get("v", "$.cwd", "variant")
+    text = F.when(F.schema_of_variant(cwd) == "STRING", F.try_variant_get("v", "$.cwd", "string"))
+    named = parse(heads).select("project_id", "session_id", "line_no", text.alias("cwd")).filter("cwd <> ''")
+    return named.groupBy("project_id").agg(F.min_by("cwd", F.struct("session_id", "line_no")).alias("cwd"))
+
+
 def project_details(sessions: DataFrame, cwds: DataFrame) -> DataFrame:
     """id, path, name and has_cwd of each project: its working directory, else a session's path that isn't the decoded id, else that."""
     from ..functions.scalars import decode_project_id, last_segment

@@ -9,6 +9,8 @@ from .functions import pricing
 from .functions import scalars as P
 from .operators import lint as L
 from .operators import records as X
+from .operators.intervals import contained
+from .plans import derived as D
 from .plans import reports as R
 from .queries import NOW, fold_of, query
 from .sources.adapter import event_records
@@ -92,8 +94,14 @@ query("j01_session_project_name", "SELECT sid AS session_id, CASE pid WHEN 'p0'
 query("j02_model_pricing", "SELECT model, any_value(p1) AS rate_input, any_value(p2) AS rate_output FROM rm JOIN price USING (family) GROUP BY model")(
     lambda s, d: pricing.with_rates(fold_of(s, d).rolled_models.select("model", "family").distinct(), pricing.price_table(s)).select("model", "rate_input", "rate_output")
 )
-query("j05_subagents_in_turn", "SELECT a.sid AS session_id, line AS line_no, x.agent AS agent_id FROM a JOIN subs x ON x.pid = a.pid AND x.sid = a.sid AND first_ms >= anchor - 3600000 AND last_ms <= ms + d + 3600000 WHERE d > 0 AND d <= 600000")(
-    lambda s, d: (lambda f: f.turns.alias("t").join(f.subagents.alias("c"), (F.col("t.session_id") == F.col("c.session_id")) & (F.col("t.project_id") == F.col("c.project_id")) & (F.unix_millis("c.first_ts") >= F.unix_millis("t.prev_ts") - 3600000) & (F.unix_millis("c.last_ts") <= F.unix_millis("t.ts") + F.col("duration_ms") + 3600000)).select("t.session_id", "line_no", "agent_id"))(fold_of(s, d))
+query("j05_subagents_in_turn", "SELECT a.sid AS session_id, line AS line_no, x.agent AS agent_id FROM a JOIN subs x ON x.pid = a.pid AND x.sid = a.sid AND first_ms >= anchor AND last_ms <= ms + d WHERE d > 0 AND d <= 600000")(
+    lambda s, d: (lambda f: D.subagents_in_turns(f.turns.select("project_id", "session_id", "line_no", "prev_ts", "ts", "duration_ms"), f.subagents, F.unix_millis("prev_ts")).select("session_id", "line_no", "agent_id"))(fold_of(s, d))
+)
+query("j05_order_intervals", """WITH o AS (SELECT o_custkey % 5 AS k, o_orderkey, epoch_ms(o_orderdate) AS a, epoch_ms(o_orderdate) + (o_orderkey % 30) * 86400000 AS z FROM orders), e AS (SELECT o_custkey % 5 AS k, o_orderkey AS inner_key, epoch_ms(o_orderdate) AS f, epoch_ms(o_orderdate) + (o_orderkey % 7) * 3600000 AS l FROM orders WHERE o_custkey % 11 = 0)
+    SELECT o_orderkey, count(*) AS held, sum(inner_key)::BIGINT AS keys FROM o JOIN e USING (k) WHERE f >= a AND l <= z GROUP BY o_orderkey""")(
+    lambda s, d: (lambda o: contained(o.select("k", "o_orderkey", "a"), o.filter("o_custkey % 11 = 0").select("k", F.col("o_orderkey").alias("inner_key"), F.col("a").alias("f")), ["k"], (F.col("a"), F.col("a") + F.col("o_orderkey") % 30 * 86_400_000), (F.col("f"), F.col("f") + F.col("inner_key") % 7 * 3_600_000)))(
+        table(s, d, "orders").select(F.expr("o_custkey % 5").alias("k"), "o_custkey", "o_orderkey", F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("a"))
+    ).groupBy("o_orderkey").agg(F.count("*").alias("held"), F.sum("inner_key").alias("keys"))
 )
 query("j08_project_stats", "WITH o AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey) SELECT c_custkey, round(coalesce(t, 0), 2) AS total FROM customer LEFT JOIN o ON c_custkey = o_custkey")(
     lambda s, d: table(s, d, "customer").join(table(s, d, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("t")), F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.round(F.coalesce("t", F.lit(0.0)), 2).alias("total"))
@@ -122,10 +130,6 @@ def _closure(s, d):
 
 # --- search, windows, sets --------------------------------------------------------------------------------------
 
-query("a31_search", """WITH q AS (SELECT conv_id, turn, text, strpos(lower(text), 'tion') AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE lower(text) LIKE '%tion%'), b AS (SELECT *, greatest(p - 40, 1) AS f, least(p + 84, length(text) + 1) AS t FROM q)
-    SELECT conv_id AS session_id, count(*) AS matches, string_agg(CASE WHEN n <= 3 THEN CASE WHEN f > 1 THEN '…' ELSE '' END || substring(text, f, t - f) || CASE WHEN t <= length(text) THEN '…' ELSE '' END END, '|' ORDER BY n) AS snippets FROM b GROUP BY conv_id""")(
-    lambda s, d: X.search(conversations(s, d), "tion").withColumn("snippets", F.array_join("snippets", "|"))
-)
 query("o05_session_order", "SELECT sid AS session_id, row_number() OVER (ORDER BY round(cost, 6) DESC, sid) AS place FROM s ORDER BY place LIMIT 25")(
     lambda s, d: fold_of(s, d).sessions.select("session_id", F.round("cost", 6).alias("cost")).orderBy(F.desc("cost"), "session_id").limit(25).select("session_id", F.row_number().over(W.orderBy(F.desc("cost"), "session_id")).cast("long").alias("place"))
 )
