@@ -266,14 +266,14 @@ query("l09_settings_rules", """WITH q AS (SELECT c_custkey AS k, c_custkey::VARC
     UNION ALL SELECT path, 'CFG004', 'info' FROM q WHERE k % 7 = 0 UNION ALL SELECT path, 'CFG005', 'warning' FROM q WHERE k % 4 = 0 UNION ALL SELECT path, 'CFG006', 'warning' FROM q WHERE k % 5 > 0 UNION ALL SELECT path, 'CFG007', 'info' FROM q WHERE k % 7 = 0 AND k % 3 > 0""")(
     lambda s, d: L.settings(_merged(s, d).withColumn("has_lock_files", F.col("c_custkey") % 9 == 0)).select("path", "check_id", "severity")
 )
-query("l12_unscrubbed", "WITH q AS (SELECT n_nationkey AS k FROM nation) SELECT 'SEC008' AS check_id, 'warning' AS severity FROM q WHERE k < 3 HAVING count(*) BETWEEN 1 AND 19")(
-    lambda s, d: L.unscrubbed(L.secrets(table(s, d, "nation").filter("n_nationkey < 3").select(F.col("n_name").alias("path"), F.lit(1).cast("long").alias("line_no"), F.concat(F.lit("password = hunter"), F.col("n_nationkey").cast("string")).alias("value"))), False).select("check_id", "severity")
+query("l12_unscrubbed", "WITH q AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 3 = 0) SELECT o_custkey AS root, 'SEC008' AS check_id, 'warning' AS severity FROM q GROUP BY o_custkey")(
+    lambda s, d: L.unscrubbed(L.secrets(table(s, d, "orders").select(F.col("o_custkey").alias("root"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("path"), F.lit(1).cast("long").alias("line_no"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("password = hunter"), F.col("o_orderkey").cast("string"))).otherwise("nothing").alias("value"))), False).select("root", "check_id", "severity")
 )
 
 # --- search -----------------------------------------------------------------------------------------------------
 
 
-@query("a31_search", LINES + """, r AS (SELECT * FROM q WHERE NOT carrier UNION ALL SELECT * REPLACE (4 AS line) FROM q WHERE t = 0 AND NOT carrier), m AS (SELECT *, strpos(lower(x), 'tion') AS p, row_number() OVER (PARTITION BY sid ORDER BY line) AS n FROM r WHERE lower(x) LIKE '%tion%'),
+@query("a31_session_search", LINES + """, r AS (SELECT * FROM q WHERE NOT carrier UNION ALL SELECT * REPLACE (4 AS line) FROM q WHERE t = 0 AND NOT carrier), m AS (SELECT *, strpos(lower(x), 'tion') AS p, row_number() OVER (PARTITION BY sid ORDER BY line) AS n FROM r WHERE lower(x) LIKE '%tion%'),
     b AS (SELECT *, greatest(p - 40, 1) AS f, least(p + 84, length(x) + 1) AS z FROM m), g AS (SELECT sid, max(CASE WHEN role = 'user' THEN 'plan-' || c % 3 END) AS title FROM q GROUP BY sid)
     SELECT sid AS session_id, coalesce(any_value(title), sid) AS title, count(*) AS matches, string_agg(CASE WHEN n <= 3 THEN CASE WHEN f > 1 THEN '…' ELSE '' END || substring(x, f, z - f) || CASE WHEN z <= length(x) THEN '…' ELSE '' END END, '|' ORDER BY n) AS snippets FROM b JOIN g USING (sid) GROUP BY sid""")
 def a31(s, d):

@@ -186,26 +186,34 @@ def sessions(s: DataFrame, now: datetime, days: int = 7, top: int = 10) -> DataF
 
 
 def secret_lines(lines: DataFrame, first: int | None = None, key: str = "path", order: str = "line_no", text: str = "value") -> DataFrame:
-    """(path, line_no, check_id, pattern, masked) of all shapes found; with ``first``, only in each file's first lines."""
+    """(path, line_no, check_id, pattern, masked) of all shapes found; with ``first``, only in each file's first lines. A column root is kept."""
     chosen = lines if first is None else lines.filter(F.col(order) <= first)
     hits = F.array_compact(F.array(*[F.when(F.col(text).rlike(p), F.struct(F.lit(i).alias("check_id"), F.lit(name).alias("pattern"), F.regexp_extract(text, p, 0).alias("hit"))) for i, name, p in SECRETS]))
     masked = F.concat(F.substring("h.hit", 1, 4), F.lit("…"), F.char_length("h.hit").cast("string"))
-    return chosen.select(F.col(key).alias("path"), F.col(order).alias("line_no"), F.explode(hits).alias("h")).select("path", "line_no", "h.check_id", "h.pattern", masked.alias("masked"))
+    root = [c for c in ("root",) if c in lines.columns]
+    return chosen.select(*root, F.col(key).alias("path"), F.col(order).alias("line_no"), F.explode(hits).alias("h")).select(*root, "path", "line_no", "h.check_id", "h.pattern", masked.alias("masked"))
 
 
-def secrets(lines: DataFrame, eligible: DataFrame | None = None, first: int = 50, per_pattern: int = 3, total: int = 20) -> DataFrame:
-    """Findings in the first lines of (eligible) files: three per pattern and file, twenty in all, in order."""
+def secrets(lines: DataFrame, eligible: DataFrame | None = None, first: int | None = 50, per_pattern: int | None = 3, total: int | None = 20) -> DataFrame:
+    """Findings in the ``first`` lines of (eligible) files, in order: ``per_pattern`` of a pattern and ``total`` in all; None lifts a limit.
+
+    Lines of several projects name theirs in a column root; limits then hold for each project.
+    """
     own = lines if eligible is None else lines.join(eligible.select("path"), "path", "left_semi")
     hits = secret_lines(own, first)
-    few = hits.withColumn("n", F.row_number().over(W.partitionBy("path", "check_id").orderBy("line_no"))).filter(F.col("n") <= per_pattern)
-    out = few.orderBy("path", "line_no", "check_id").limit(total)
-    return out.select("check_id", F.lit("error").alias("severity"), "path", F.col("line_no").cast("int").alias("line"), F.concat_ws(" ", "pattern", "masked").alias("message"))
+    root = [c for c in ("root",) if c in hits.columns]
+    limited = lambda df, keys, n: df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy("path", "line_no", "check_id"))).filter(F.col("__n") <= n).drop("__n")
+    few = hits if per_pattern is None else limited(hits, [*root, "check_id"], per_pattern)
+    if total is not None:
+        few = limited(few, root, total) if root else few.orderBy("path", "line_no", "check_id").limit(total)
+    return few.select(*root, "check_id", F.lit("error").alias("severity"), "path", F.col("line_no").cast("int").alias("line"), F.concat_ws(" ", "pattern", "masked").alias("message"))
 
 
 def unscrubbed(secret_findings: DataFrame, scrub_is_set: bool, total: int = 20) -> DataFrame:
-    """SEC008 when there are findings (fewer than the limit) and the scrub variable is unset."""
-    n = secret_findings.agg(F.count("*").alias("n")).filter((F.col("n") > 0) & (F.col("n") < total) & F.lit(not scrub_is_set))
-    return n.select(F.lit("SEC008").alias("check_id"), F.lit("warning").alias("severity"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line"), F.lit("secrets found and the environment is not scrubbed").alias("message"))
+    """SEC008 when there are findings (fewer than the limit) and the scrub variable is unset; for each root, where findings name theirs."""
+    root = [c for c in ("root",) if c in secret_findings.columns]
+    n = secret_findings.groupBy(*root).agg(F.count("*").alias("n")).filter((F.col("n") > 0) & (F.col("n") < total) & F.lit(not scrub_is_set))
+    return n.select(*root, F.lit("SEC008").alias("check_id"), F.lit("warning").alias("severity"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line"), F.lit("secrets found and the environment is not scrubbed").alias("message"))
 
 
 def distinct_results(results: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from .functions import pricing
 from .operators.fold import Fold
 from .plans import derived as D
 from .plans import reports as R
+from .plans.stored import StoredFold, stored_fold
 from .sources.adapter import event_records
 
 NOW = datetime(2024, 1, 30, 12)
@@ -19,15 +20,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def fold_of(spark: SparkSession, sf_dir: str) -> Fold:
-    return Fold(event_records(spark, sf_dir), pricing.price_table(spark))
+def fold_of(spark: SparkSession, sf_dir: str) -> StoredFold:
+    """The fold of the events, whose sessions, models and turns are written once and read by all reports."""
+    return stored_fold(spark, f"{sf_dir}/events.parquet", lambda: Fold(event_records(spark, sf_dir), pricing.price_table(spark)))
 
 
 def query(name: str, sql: str | None = None):
     def keep(build):
         QUERIES[name] = build
         if sql is not None:
-            ORACLE_SQL[name] = BASE + sql if sql.lstrip().startswith("SELECT") else sql
+            ORACLE_SQL[name] = BASE + sql if sql.lstrip().startswith(("SELECT", ",")) else sql
         return build
 
     return keep
@@ -184,7 +186,15 @@ query("a45_tool_analytics", "SELECT tool, count(*) AS calls FROM (SELECT 'tool'
 
 # --- derived ----------------------------------------------------------------------------------------------------
 
-query("d01_insights")(lambda spark, d: D.insights((f := fold_of(spark, d)).sessions, f.rolled_models, f.turns, f.prices))
+query("d01_insights", """, o AS (SELECT count(*)::DOUBLE AS n, coalesce(sum(inp + out), 0) AS tokens, coalesce(round(sum(cost), 6), 0) AS cost, floor(round(coalesce(sum(cr)::DOUBLE / nullif(sum(inp + cr + c5 + c1), 0), 0), 6) * 100 + 0.5) AS hit, coalesce(sum(compactions), 0)::DOUBLE AS comp, sum(ultra)::DOUBLE AS ultra, sum(low + medium + high + ultra)::DOUBLE AS levels FROM s),
+    p AS (SELECT max(c) AS top FROM (SELECT round(sum(cost), 6) AS c FROM s GROUP BY pid)), m AS (SELECT max(round(c / t * 100, 6)) AS model FROM (SELECT sum(cost) AS c, sum(sum(cost)) OVER () AS t FROM rm GROUP BY family)),
+    l AS (SELECT coalesce(quantile_disc(d, 0.95), 0)::DOUBLE AS p95, round(coalesce(avg(d) FILTER (post), 0), 6) AS pa, round(coalesce(avg(d) FILTER (NOT post), 0), 6) AS na FROM turns), z AS (SELECT round(sum(CASE WHEN compactions > 0 THEN removed / 1e6 * p1 ELSE 0 END), 6) AS saved FROM sr),
+    x AS (SELECT *, floor(CASE WHEN cost > 0 THEN top / cost ELSE 0 END * 100 + 0.5) AS share, floor(CASE WHEN levels > 0 THEN ultra / levels ELSE 0 END * 100 + 0.5) AS up, CASE WHEN n > 0 THEN cost / n ELSE 0 END AS av, CASE WHEN n > 0 THEN comp / n ELSE 0 END AS per, CASE WHEN na > 0 THEN pa / na ELSE 0 END AS ratio FROM o, p, m, l, z)
+    SELECT i.id, i.level, round(i.value, 6) AS value FROM (SELECT unnest([CASE WHEN hit >= 60 THEN {'id': 'cache-good', 'level': 'positive', 'value': hit::DOUBLE} END, CASE WHEN hit < 30 AND tokens > 0 THEN {'id': 'cache-low', 'level': 'warning', 'value': hit::DOUBLE} END,
+        CASE WHEN share >= 60 THEN {'id': 'cost-concentration', 'level': 'warning', 'value': share::DOUBLE} END, CASE WHEN p95 > 30000 THEN {'id': 'latency-high', 'level': 'warning', 'value': p95} END, CASE WHEN up >= 25 THEN {'id': 'ultrathink-high', 'level': 'info', 'value': up::DOUBLE} END,
+        CASE WHEN n = 0 THEN {'id': 'no-sessions', 'level': 'info', 'value': n} END, CASE WHEN av > 1 THEN {'id': 'high-session-cost', 'level': 'warning', 'value': av::DOUBLE} END, CASE WHEN model > 70 THEN {'id': 'model-dominance', 'level': 'info', 'value': model::DOUBLE} END,
+        CASE WHEN per >= 1 THEN {'id': 'compaction-frequent', 'level': 'warning', 'value': per::DOUBLE} END, CASE WHEN per < 1 AND comp > 0 THEN {'id': 'compaction-present', 'level': 'info', 'value': comp} END, CASE WHEN pa > 0 AND na > 0 AND ratio >= 1.5 THEN {'id': 'compaction-latency-spike', 'level': 'warning', 'value': ratio::DOUBLE} END,
+        CASE WHEN pa > 0 AND na > 0 AND ratio >= 1.2 AND ratio < 1.5 THEN {'id': 'compaction-latency-mild', 'level': 'info', 'value': ratio::DOUBLE} END, CASE WHEN saved > 0.5 THEN {'id': 'compaction-savings', 'level': 'positive', 'value': saved::DOUBLE} END]) AS i FROM x) WHERE i IS NOT NULL""")(lambda spark, d: D.insights((f := fold_of(spark, d)).sessions, f.rolled_models, f.turns, f.prices))
 query("d02_what_if", """SELECT a.family AS source, b.family AS target, round(c, 6) AS cost, round(c * (b.p1 + b.p2) / (p.p1 + p.p2), 6) AS projected, round(c * (b.p1 + b.p2) / (p.p1 + p.p2) - c, 6) + 0 AS delta, round((c * (b.p1 + b.p2) / (p.p1 + p.p2) - c) / c * 100, 6) + 0 AS delta_pct
     FROM (SELECT family, round(sum(cost), 6) AS c FROM rm WHERE family <> 'unknown' GROUP BY family HAVING sum(cost) > 0) a JOIN price p ON a.family = p.family JOIN price b ON b.family <> a.family AND b.family <> 'unknown'""")(_m(D.what_if, prices))
 query("d03_project_breakdown", "SELECT pid AS project_id, c AS cost, round(c / sum(c) OVER () * 100, 6) AS cost_share, round(t / sum(t) OVER () * 100, 6) AS token_share FROM (SELECT pid, round(sum(cost), 6) AS c, sum(inp + out)::DOUBLE AS t FROM s GROUP BY pid)")(_s(D.project_breakdown))

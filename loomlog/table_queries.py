@@ -130,6 +130,10 @@ def _closure(s, d):
 
 # --- search, windows, sets --------------------------------------------------------------------------------------
 
+query("a31_search", """WITH q AS (SELECT conv_id, turn, text, strpos(lower(text), 'tion') AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE lower(text) LIKE '%tion%'), b AS (SELECT *, greatest(p - 40, 1) AS f, least(p + 84, length(text) + 1) AS t FROM q)
+    SELECT conv_id AS session_id, count(*) AS matches, string_agg(CASE WHEN n <= 3 THEN CASE WHEN f > 1 THEN '…' ELSE '' END || substring(text, f, t - f) || CASE WHEN t <= length(text) THEN '…' ELSE '' END END, '|' ORDER BY n) AS snippets FROM b GROUP BY conv_id""")(
+    lambda s, d: X.search(conversations(s, d), "tion").withColumn("snippets", F.array_join("snippets", "|"))
+)
 query("o05_session_order", "SELECT sid AS session_id, row_number() OVER (ORDER BY round(cost, 6) DESC, sid) AS place FROM s ORDER BY place LIMIT 25")(
     lambda s, d: fold_of(s, d).sessions.select("session_id", F.round("cost", 6).alias("cost")).orderBy(F.desc("cost"), "session_id").limit(25).select("session_id", F.row_number().over(W.orderBy(F.desc("cost"), "session_id")).cast("long").alias("place"))
 )
@@ -162,10 +166,12 @@ def text_lines(s, d):
     return bodies(s, d).select("path", F.posexplode(F.split("content", "\n")).alias("p", "value")).select("path", (F.col("p") + 1).cast("long").alias("line_no"), "value")
 
 
-query("l11_secret_lines", _LINES + r""" SELECT path, line AS line_no, 'SEC002' AS check_id FROM q WHERE regexp_matches(v, '\bA(?:KIA|SIA)[A-Z0-9]{16}\b')
+_HITS = _LINES + r""", h AS (SELECT path, line, 'SEC002' AS check_id FROM q WHERE regexp_matches(v, '\bA(?:KIA|SIA)[A-Z0-9]{16}\b')
     UNION ALL SELECT path, line, 'SEC004' FROM q WHERE regexp_matches(v, '(?i)\b(?:api[_-]?key|token|secret)["'']?\s*[:=]\s*["'']?[A-Za-z0-9+/_.-]{16,}')
-    UNION ALL SELECT path, line, 'SEC005' FROM q WHERE regexp_matches(v, '(?i)\b(?:password|passwd|pwd)["'']?\s*[:=]\s*["'']?[^\s"'']{6,}')""")(lambda s, d: L.secret_lines(text_lines(s, d)).select("path", "line_no", "check_id"))
-query("l11_secret_findings")(lambda s, d: L.secrets(text_lines(s, d)))
+    UNION ALL SELECT path, line, 'SEC005' FROM q WHERE regexp_matches(v, '(?i)\b(?:password|passwd|pwd)["'']?\s*[:=]\s*["'']?[^\s"'']{6,}'))"""
+query("l11_secret_lines", _HITS + " SELECT path, line AS line_no, check_id FROM h")(lambda s, d: L.secret_lines(text_lines(s, d)).select("path", "line_no", "check_id"))
+query("l11_secret_findings", _HITS + " SELECT check_id, 'error' AS severity, path, line::INTEGER AS line FROM h")(lambda s, d: L.secrets(text_lines(s, d), first=None, per_pattern=None, total=None).select("check_id", "severity", "path", "line"))
+query("l11_first_findings", _HITS + """, n AS (SELECT *, row_number() OVER (PARTITION BY check_id ORDER BY path, line) AS n FROM h WHERE line <= 50) SELECT check_id, path, line::INTEGER AS line FROM n WHERE n <= 3 ORDER BY path, line, check_id LIMIT 20""")(lambda s, d: L.secrets(text_lines(s, d)).select("check_id", "path", "line"))
 query("a30_lint_summary", """WITH q AS (SELECT len(string_split(text, chr(10))) AS n, ceil(length(text) / 4) AS k, len(regexp_extract_all(text, '\\*\\.\\w+')) AS g, len(list_filter(string_split(text, chr(10)), lambda l: starts_with(l, '```'))) AS fences FROM documents),
     t AS (SELECT count(*) FILTER (k > 5000) + count(*) FILTER (fences % 2 = 1) AS errors, count(*) FILTER (n > 200) + count(*) FILTER (k > 2500) + count(*) FILTER (g >= 3) AS warnings, count(*) FILTER (n > 100) AS infos FROM q)
     SELECT errors, warnings, infos, errors + warnings + infos AS total, round(CASE WHEN errors + warnings + infos = 0 THEN 1 ELSE greatest(0, 1 - (3 * errors + warnings)::DOUBLE / (3 * (errors + warnings + infos))) END, 6)::DOUBLE AS score FROM t""".replace("\\\\", "\\"))(
