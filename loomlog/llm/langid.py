@@ -6,8 +6,8 @@ that the AND of ``hashes`` words answers, for one n-gram and all languages at on
 A text's n-grams are looked up this way, counted per language, corrected for the filter's false positives
 (known from its fill), and the language with the largest corrected share wins.
 
-Learning uses a bounded sample: about ``train_docs`` labelled documents of each language, chosen by a
-hash of the id. Filters have a fixed size (``slots`` words per 64 languages), which bounds what is
+Learning uses a bounded sample: about ``train_docs`` labelled documents of each language, and one at least, chosen by a
+hash of text and id (rows equal in both are chosen together). Filters have a fixed size (``slots`` words per 64 languages), which bounds what is
 collected and broadcast. Prediction reads whole texts and nothing but the text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, and so is every text if nothing was learned; any other
@@ -115,14 +115,16 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
     if slots & (slots - 1):
         raise ValueError("slots must be a power of two")
     known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r["l"]: r["n"] for r in known.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()}
+    # Drawn by text and id: ids may be null or repeat. The smallest draw of a language is always in.
+    draw = F.pmod(F.xxhash64(F.col(text), F.col(id_col), F.lit(11)), F.lit(1 << 20)) / (1 << 20)
+    told = known.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"), F.min(draw).alias("least")).orderBy(F.desc("n"), "l").limit(max_langs).collect()
+    counts, least = {r["l"]: r["n"] for r in told}, {r["l"]: r["least"] for r in told}
     langs = sorted(counts)
     if not langs:
         return Filters([], np.zeros((1, slots), np.uint64), n, hashes)
     spark, index = labelled.sparkSession, {x: i for i, x in enumerate(langs)}
-    share = spark.createDataFrame([(x, index[x], min(1.0, train_docs / counts[x])) for x in langs], "__lang string, __li int, __share double")
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 20)) / (1 << 20)
-    sample = known.join(F.broadcast(share), F.col(lang) == F.col("__lang")).filter(draw < F.col("__share")).select("__li", F.col(text).alias("__text"))
+    share = spark.createDataFrame([(x, index[x], min(1.0, train_docs / counts[x]), least[x]) for x in langs], "__lang string, __li int, __share double, __least double")
+    sample = known.join(F.broadcast(share), F.col(lang) == F.col("__lang")).filter((draw < F.col("__share")) | (draw == F.col("__least"))).select("__li", F.col(text).alias("__text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

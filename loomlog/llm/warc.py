@@ -9,8 +9,14 @@ without one, a partition for each ``*.warc`` or ``*.warc.gz`` file. Filters on r
 a record's headers are inflated and parsed first, and a record that is not wanted is skipped by its length without
 inflating its payload. A payload is inflated only if the schema asks for ``payload`` or ``verify`` is set.
 
+Spark 4.1 keeps the predicates that one plan has pushed into a loaded frame and applies them to every later plan of that frame: load the
+archives again for each set of predicates.
+
 Options: ``split_bytes`` (64 MB), ``verify`` (recompute payload digests, fail on a mismatch), ``date`` (WARC-Date of written records).
 
+Without skip lengths a gzip member may hold several records. A record that doesn't begin as one, whose headers don't end or whose payload is
+cut off fails the read: nothing is left out silently.
+
 Defined cases: a null payload of a response is the empty payload; a revisit has HTTP headers but no payload, its
 payload_bytes is the full payload's from those headers; a null target_uri or refers_to is left out; ids may be null or
 repeat (rows that share payload and smallest id are all responses); control characters in a URI are percent-encoded, all other
@@ -204,18 +210,22 @@ class WarcReader(DataSourceReader):
         with fs.open_input_file(part.name) as f:
             at = part.start
             while at < part.end:
-                record = Record(f, at)
-                row = record.headers()
-                if row is None:  # blank lines between or after records
+                record, row = Record(f, at), None
+                while record.begins():
+                    row = record.headers()
+                    if all(_COMPARE[kind](row[column], value) for kind, column, value in self.tests):
+                        if wants_http:
+                            row["payload_bytes"] = record.payload_bytes(row)
+                        if wants_payload and row["record_type"] == "response":
+                            row["payload"] = record.payload(row)
+                            if self.verify and (len(row["payload"]) != row["payload_bytes"] or row["payload_digest"] not in (None, base32_sha1(row["payload"]))):
+                                raise ValueError(f"{part.name}: {row['record_id']} does not match its digest or length")
+                        yield row
+                    if not record.gz or record.length:
+                        break
+                    record.skip(row)  # a member of foreign archives may hold more records
+                if row is None:  # nothing but blank lines to the end
                     break
-                if all(_COMPARE[kind](row[column], value) for kind, column, value in self.tests):
-                    if wants_http:
-                        row["payload_bytes"] = record.payload_bytes(row)
-                    if wants_payload and row["record_type"] == "response":
-                        row["payload"] = record.payload(row)
-                        if self.verify and (len(row["payload"]) != row["payload_bytes"] or row["payload_digest"] not in (None, base32_sha1(row["payload"]))):
-                            raise ValueError(f"{part.name}: {row['record_id']} does not match its digest or length")
-                    yield row
                 at = record.end(row)
 
 
@@ -261,10 +271,36 @@ class Record:
                 return -1
         return end
 
-    def headers(self) -> dict | None:
+    def begins(self) -> bool:
+        """Whether a record begins here, behind blank lines; anything else is damage."""
+        while not (rest := self.plain.lstrip(b"\r\n")) and self._more():
+            pass
+        rest = self.plain.lstrip(b"\r\n")
+        if not self.gz:
+            self.at += len(self.plain) - len(rest)
+        self.plain = rest
+        while 0 < len(self.plain) < 5 and self._more():
+            pass
+        if self.plain and not self.plain.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at {self.at}")
+        return bool(self.plain)
+
+    def skip(self, row: dict) -> None:
+        """Forgets a record that was read, as far as its member goes on."""
+        end, have = self.block + row["content_length"], len(self.plain)
+        while have < end:
+            self.plain = b""
+            if not self._more():
+                raise ValueError(f"the record at {self.at} is cut off")
+            have += len(self.plain)
+        self.plain = self.plain[len(self.plain) - (have - end) :] if have > end else b""
+        if hasattr(self, "body"):
+            del self.body
+
+    def headers(self) -> dict:
         self.block = self._until_blank(0) + 4
         if self.block < 4:
-            return None
+            raise ValueError(f"the headers at {self.at} have no end")
         found = {}
         for line in self.plain[: self.block].decode("utf-8", "replace").strip().split("\r\n")[1:]:
             k, _, v = line.partition(":")
@@ -299,7 +335,7 @@ class Record:
         while have < end:
             self.plain = b""
             if not self._more():
-                break
+                raise ValueError(f"the record at {self.at} is cut off")
             pieces.append(self.plain)
             have += len(self.plain)
         self.plain = b"".join(pieces)
