@@ -91,7 +91,9 @@ query("f10_catalog_search", "WITH q AS (SELECT * FROM part) SELECT p_partkey FRO
     lambda s, d: table(s, d, "part").filter(X.contains(F.col("p_name"), "BL") | X.contains(F.col("p_type"), "Steel")).select("p_partkey")
 )
 query("f11_lint_filter", "WITH q AS (SELECT doc_id::VARCHAR AS path, ceil(length(text) / 4) AS k FROM documents) SELECT path, 'XCT002' AS check_id FROM q WHERE k > 5000")(lambda s, d: L.filtered(L.instructions(bodies(s, d)), "error", "XCT").select("path", "check_id"))
-query("p08_active_pricing", "SELECT family, CASE family WHEN 'haiku-3' THEN 9.0 ELSE p1 END::DOUBLE AS rate_input, p2 AS rate_output FROM price")(lambda s, d: _prices(s, {"haiku-3": {"rate_input": 9.0}}).select("family", "rate_input", "rate_output"))
+query("p08_active_pricing", "SELECT sid AS session_id, model, CASE family WHEN 'sonnet-4-5' THEN 9.0 ELSE p1 END::DOUBLE AS rate_input, p2 AS rate_output FROM sm JOIN price USING (family)")(
+    lambda s, d: pricing.with_rates(fold_of(s, d).session_models, _prices(s, {"sonnet-4-5": {"rate_input": 9.0}})).select("session_id", "model", "rate_input", "rate_output")
+)
 query("p14_resolve_range", "SELECT sid AS session_id FROM s WHERE last_ts >= TIMESTAMP '2024-01-24' AND last_ts <= TIMESTAMP '2024-01-30 23:59:59.999'")(lambda s, d: R.in_range(fold_of(s, d).sessions, *P.resolve_range("7d", NOW)).select("session_id"))
 query("p15_day_keys", "WITH q AS (SELECT min(ts::DATE) AS a, max(ts::DATE) AS b FROM events) SELECT strftime(t, '%Y-%m-%d') AS day FROM (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY)) AS t FROM q)")(
     lambda s, d: table(s, d, "events").agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b")).select(F.explode(P.day_keys(F.col("a"), F.col("b"))).alias("day"))
@@ -119,8 +121,8 @@ query("p29_highlight", "WITH q AS (SELECT conv_id, turn, text, strpos(lower(text
 query("p31_health_label", "WITH q AS (SELECT c_custkey, floor(c_acctbal / 10000 * 100 + 0.5) AS p FROM customer) SELECT c_custkey, CASE WHEN p >= 80 THEN 'Excellent' WHEN p >= 50 THEN 'Good' WHEN p >= 25 THEN 'Fair' ELSE 'Poor' END AS label FROM q")(
     lambda s, d: table(s, d, "customer").select("c_custkey", P.health_label(F.col("c_acctbal") / 10000).alias("label"))
 )
-query("p32_model_label", "SELECT family, CASE WHEN family = 'unknown' THEN 'Claude' ELSE upper(family[1]) || split_part(family, '-', 1)[2:] || ' ' || replace(substring(family, strpos(family, '-') + 1), '-', '.') END AS label FROM price")(
-    lambda s, d: _prices(s).select("family", P.model_label(F.col("family")).alias("label"))
+query("p32_model_label", "SELECT sid AS session_id, model, CASE WHEN family = 'unknown' THEN 'Claude' ELSE upper(family[1]) || split_part(family, '-', 1)[2:] || ' ' || replace(substring(family, strpos(family, '-') + 1), '-', '.') END AS label FROM sm")(
+    lambda s, d: fold_of(s, d).session_models.select("session_id", "model", P.model_label(F.col("family")).alias("label"))
 )
 
 # --- joins ------------------------------------------------------------------------------------------------------
