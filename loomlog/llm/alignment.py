@@ -25,6 +25,7 @@ import re
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -104,10 +105,12 @@ class Links:
     def of(a_lengths: np.ndarray, b_lengths: np.ndarray, a_first: np.ndarray) -> Links:
         """Lengths are tokens' bytes; both sides of each text have the same bytes; ``a_first`` has the first token of each text and their number."""
         ea, eb = np.cumsum(a_lengths), np.cumsum(b_lengths)
-        ends = np.union1d(ea, eb)
-        a, b = np.searchsorted(ea, ends), np.searchsorted(eb, ends)
+        size = int(ea[-1]) + 1 if len(ea) else 0
+        na, nb = np.bincount(ea, minlength=size), np.bincount(eb, minlength=size)  # tokens that end at each byte
+        ends = np.flatnonzero(na + nb)
+        before = lambda n: (np.cumsum(n) - n)[ends]  # noqa: E731  (tokens that end earlier: the place of the one that is on)
         text_ends = np.concatenate([[0], ea])[a_first]
-        return Links(a, b, (ea[a] == ends) & (eb[b] == ends), np.searchsorted(ends, text_ends, side="right"))
+        return Links(before(na), before(nb), (na[ends] > 0) & (nb[ends] > 0), np.searchsorted(ends, text_ends, side="right"))
 
 
 def groups_text(a: np.ndarray, b: np.ndarray, a_first: np.ndarray, b_first: np.ndarray, links: Links, words: tuple[np.ndarray, ...]) -> list[str]:
@@ -167,7 +170,7 @@ def encoded(docs: DataFrame, a_path: str, b_path: str, id_col: str, text: str, b
                     if not t or any(b"".join(map(s.bytes.__getitem__, ids[i])) != whole for s, ids in zip(sides, coded, strict=True)):
                         coded[0][i] = coded[1][i] = []
                 first = [firsts([len(x) for x in ids]) for ids in coded]
-                a, b = (np.fromiter((i for x in ids for i in x), dtype=np.int64, count=f[-1]) for ids, f in zip(coded, first, strict=True))
+                a, b = (np.fromiter(chain.from_iterable(ids), dtype=np.int64, count=f[-1]) for ids, f in zip(coded, first, strict=True))
                 links = Links.of(sizes[0][a], sizes[1][b], first[0])
                 said = groups_text(a, b, *first, links, words)
                 closed = np.concatenate([[0], np.cumsum(links.closes)])
