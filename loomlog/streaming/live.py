@@ -59,9 +59,10 @@ def live_changes(updates: DataFrame, ticks: DataFrame) -> DataFrame:
 
     ``updates`` has session_id and ts, ``ticks`` has ts: the clock. The watermark follows both, so a session turns quiet when the clock has
     passed its last update by a minute, without further input of its own. Updates older than the clock come too late and count for nothing.
+    Times count to the nearest millisecond, halves away from 1970.
     """
     both = updates.select("session_id", "ts").unionByName(ticks.select(F.lit(None).cast("string").alias("session_id"), "ts"))
-    rows = both.withWatermark("ts", "0 seconds").select("session_id", "ts", F.unix_millis("ts").alias("at_ms"))
+    rows = both.withWatermark("ts", "0 seconds").select("session_id", "ts", F.expr("(unix_micros(ts) + CASE WHEN unix_micros(ts) < 0 THEN -500 ELSE 500 END) div 1000").alias("at_ms"))
     return rows.groupBy("session_id").transformWithState(Liveness(), "session_id string, state string, at_ms long", "Append", "EventTime")
 
 

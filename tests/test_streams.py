@@ -183,3 +183,18 @@ def test_sessions_turn_live_and_quiet(spark, tmp_path):
         assert got()[4:] == [(200, "a", "live"), (260, "a", "quiet"), (300, "a", "live"), (360, "a", "quiet")]
     finally:
         q.stop()
+
+
+def test_live_times_are_rounded_to_milliseconds(spark, tmp_path):
+    live.keep_state(spark)
+    (tmp_path / "updates").mkdir()
+    (tmp_path / "ticks").mkdir()
+    at = ["2024-01-01T00:00:00.001499Z", "2024-01-01T00:01:00.001500Z"]
+    (tmp_path / "updates/1.json").write_text("".join(f'{{"session_id": "a", "ts": "{t}"}}\n' for t in at))
+    (tmp_path / "ticks/1.json").write_text('{"ts": "2100-01-01T00:00:00Z"}')
+    read = lambda name, schema: spark.readStream.schema(schema).json(str(tmp_path / name))
+    out = live.live_changes(read("updates", "session_id string, ts timestamp"), read("ticks", "ts timestamp"))
+    path, zero = str(tmp_path / "out"), 1_704_067_200_000
+    out.writeStream.format("parquet").option("path", path).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.schema(out.schema).parquet(path).collect())
+    assert got == [("a", "live", zero + 1), ("a", "live", zero + 60_002), ("a", "quiet", zero + 60_001), ("a", "quiet", zero + 120_002)]
