@@ -244,27 +244,28 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, id_col: str, text: str, width: int, bands: int) -> DataFrame:
-    """id, shingles (how many distinct), mins (``bands`` values of two minima each) and sketch (one byte for each of 512 bins) of every row that has words."""
+    """id, shingles (how many distinct), fp (SimHash of the distinct shingles, a signed long), mins (``bands`` values of two minima each) and sketch (one byte for each of 512 bins) of every row that has words."""
 
     text_batches(docs.sparkSession)
 
-    @F.pandas_udf("shingles long, mins array<long>, sketch binary")
+    @F.pandas_udf("shingles long, fp long, mins array<long>, sketch binary")
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         top = np.uint64(2**64 - 1)
         for batch in texts:
             out = []
             for text in batch:
                 low, bins = np.full(2 * bands, top), np.full(BINS, top)
-                distinct = shingle_set(text, width)
+                distinct, ones = shingle_set(text, width), np.zeros(64, np.int64)
                 for at in range(0, len(distinct), BLOCK):
                     h = distinct[at : at + BLOCK]
+                    ones += _ones(h)
                     low = np.minimum(low, min_hashes(h, 2 * bands))
                     np.minimum.at(bins, (h >> np.uint64(55)).astype(np.int64), h & np.uint64(2**55 - 1))
                 if len(distinct):
-                    out.append((len(distinct), band_keys(low).view(np.int64), np.where(bins == top, 0, 1 + (bins >> np.uint64(20)) % np.uint64(255)).astype(np.uint8).tobytes()))
+                    out.append((len(distinct), int(np.uint64(_majority(ones, len(distinct))).view(np.int64)), band_keys(low).view(np.int64), np.where(bins == top, 0, 1 + (bins >> np.uint64(20)) % np.uint64(255)).astype(np.uint8).tobytes()))
                 else:
-                    out.append((None, None, None))
-            yield pd.DataFrame(out, columns=["shingles", "mins", "sketch"])
+                    out.append((None, None, None, None))
+            yield pd.DataFrame(out, columns=["shingles", "fp", "mins", "sketch"]).astype({"shingles": "Int64", "fp": "Int64"})
 
     return docs.select(F.col(id_col).alias("id"), sketch(F.col(text)).alias("s")).select("id", "s.*").filter("shingles IS NOT NULL AND id IS NOT NULL")
 
@@ -342,20 +343,28 @@ def _exact_links(dealt: DataFrame, similarity: float, width: int) -> DataFrame:
     return dealt.repartition("g").sortWithinPartitions("g").mapInPandas(verify, "a long, b long").distinct()
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5, bands: int = 26, chunk: int = 2048, chunk_shingles: int = 1 << 20, small: int = 32) -> DataFrame:
+def close_links(own: DataFrame, bits: int) -> DataFrame:
+    """Links (a, b) that connect the rows of ``own`` (id, fp; ids distinct) whose fingerprints are within ``bits``: :func:`links` over the smallest id of each fingerprint, and that id with the others."""
+    nodes = materialise(own.groupBy("fp").agg(F.min("id").alias("least")), "near-nodes")
+    same = own.select("id", "fp").join(nodes, "fp").filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    return links(nodes.select(F.col("least").alias("id"), "fp"), bits).unionByName(same)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5, bits: int = 4, bands: int = 26, chunk: int = 2048, chunk_shingles: int = 1 << 20, small: int = 32) -> DataFrame:
     """(id, component_id) of the rows that have a near copy: shingle sets alike by ``similarity`` or more. Ids are distinct longs.
 
-    At a similarity of 0.8 fingerprints lie about 10 of 64 bits apart, up to 18 and farther, where pieces of a fingerprint no
-    longer make buckets. So the buckets are pairs of independent min-hash values of the shingles: two sets that are alike by 0.8
-    share none of 26 pairs with probability (1 - 0.64) ** 26 = 3e-12. Within a bucket a pair is skipped if the sizes of its sets
-    exclude it or a 512-bin sketch says less than 0.65. What these links connect is a group; each text of a group is read
-    once more, and links that count are those whose sets, counted out, are alike by ``similarity``. Groups with over ``chunk`` texts or
+    Fingerprints of the shingle sets within ``bits`` are linked by pivot distance tables, as in :func:`near_duplicates`. At a similarity of 0.8
+    they lie about 10 of 64 bits apart, up to 18 and farther, where pieces of a fingerprint no longer make buckets. So for the rest there
+    are further buckets, pairs of independent min-hash values of the shingles: two sets that are alike by 0.8 share none of 26 pairs with
+    probability (1 - 0.64) ** 26 = 3e-12. Within such a bucket a pair is skipped if the sizes of its sets exclude it or a 512-bin sketch
+    says less than 0.65. What all these links connect is a group; each text of a group is read once more, and links that count are
+    those whose sets, counted out, are alike by ``similarity``. Groups with over ``chunk`` texts or
     ``chunk_shingles`` shingles are dealt as pairs of chunks.
     """
     own = materialise(sketched(docs, id_col, text, width, bands), "sketches")
     rows = own.select("id", "shingles", F.posexplode("mins").alias("band", "key"))
     dealt = _dealt(rows, chunk, "shingles").join(own.select(F.col("id").alias("sid"), F.col("shingles").alias("sn"), "sketch"), (F.col("id") == F.col("sid")) & (F.col("shingles") == F.col("sn"))).drop("sid", "sn")
-    groups = materialise(components(_wide_links(dealt, similarity, small)).join(own.groupBy("id").agg(F.sum("shingles").alias("shingles")), "id"), "near-groups")
+    groups = materialise(components(close_links(own, bits).unionByName(_wide_links(dealt, similarity, small))).join(own.groupBy("id").agg(F.sum("shingles").alias("shingles")), "id"), "near-groups")
     size = groups.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("shingles") / chunk_shingles)).cast("int").alias("parts"))
     split = groups.join(size, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     split = split.select("id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))

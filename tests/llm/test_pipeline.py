@@ -106,6 +106,20 @@ def test_near_copies_at_the_threshold(spark):
     assert near_pairs(spark, texts) == want
 
 
+def test_close_fingerprints_are_linked_by_pivot_tables(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    texts = []
+    for _ in range(50):  # a text and two copies: one with another word at its end, one with two equal lines more
+        words = [f"w{x}" for x in r.integers(0, 10**6, 3000)]
+        texts += [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(words + words[-5:] * 2)]
+    want = near_pairs(spark, texts)
+    assert want == {(i, i - i % 3) for i in range(150)}
+    monkeypatch.setattr(simhash, "_wide_links", lambda dealt, similarity, small: spark.createDataFrame([], "a long, b long"))
+    assert near_pairs(spark, texts) == want  # without any min-hash bucket
+    fp = {t: simhash._majority(simhash._ones(h), len(h)) for t in texts for h in [simhash.shingle_set(t, 5)]}
+    assert max((fp[texts[3 * k]] ^ fp[texts[3 * k + j]]).bit_count() for k in range(50) for j in (1, 2)) <= 4
+
+
 def test_benchmark_leaks(spark, kept, corpus):
     items = [" " + " ".join(words_of(r.text)) + " " for r in spark.read.parquet(f"{corpus}/benchmark.parquet").collect()]
     left = {r.doc_id for r in kept["benchmark_leaks"]}
