@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import snippet
+from ..sources.files import kept
 
 
 def display(records: DataFrame) -> DataFrame:
@@ -100,31 +103,43 @@ def import_chains(docs: DataFrame, roots: DataFrame, stop: int = 10) -> DataFram
     its chain there, and no chain is followed beyond ``stop`` + 1. What is within ``stop`` steps of a root is gathered by joins, one for each step; the
     order of the walk is then a root's own affair.
     """
-    edges = import_lines(docs)
-    front = roots.select(F.col("path").alias("root"), F.col("path").alias("node")).distinct()
+    edges = kept(import_lines(docs), "imports")
+    front = kept(roots.select(F.col("path").alias("root"), F.col("path").alias("node")).distinct(), "imports")
     seen, held = front, None
     for _ in range(stop + 1):
-        step = front.join(edges, front.node == edges.src).select("root", "src", "pos", "dst").checkpoint()
+        step = kept(front.join(edges, front.node == edges.src).select("root", "src", "pos", "dst"), "imports")
         held = step if held is None else held.unionByName(step)
-        front = step.select("root", F.col("dst").alias("node")).distinct().join(seen, ["root", "node"], "left_anti").checkpoint()
+        front = kept(step.select("root", F.col("dst").alias("node")).distinct().join(seen, ["root", "node"], "left_anti"), "imports")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
 
-    def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        targets: dict[str, list[str]] = {}
-        for src, dst in zip(*(rows.sort_values(["src", "pos"])[c] for c in ("src", "dst")), strict=True):
-            targets.setdefault(src, []).append(dst)
-        met, most, todo = set(), 0, [(key[0], 0)]
+    def depth_of(root: str, targets: dict[str, list[str]]) -> int:
+        met, most, todo = set(), 0, [(root, 0)]
         while todo:
             node, depth = todo.pop()
             most = max(most, depth)
             if depth <= stop and node not in met:
                 met.add(node)
                 todo.extend((dst, depth + 1) for dst in reversed(targets.get(node, [])))
-        return pd.DataFrame({"root": [key[0]], "depth": [most]})
-
-    deep = held.groupBy("root").applyInPandas(walk, "root string, depth long")
+        return most
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The rows come by root, file and place; a root's are held until the next root."""
+        root, targets = None, {}
+        for batch in batches:
+            out = []
+            for r, src, dst in zip(batch["root"], batch["src"], batch["dst"], strict=True):
+                if r != root:
+                    if targets:
+                        out.append((root, depth_of(root, targets)))
+                    root, targets = r, {}
+                targets.setdefault(src, []).append(dst)
+            yield pd.DataFrame(out, columns=["root", "depth"])
+        if targets:
+            yield pd.DataFrame({"root": [root], "depth": [depth_of(root, targets)]})
+
+    deep = held.repartition("root").sortWithinPartitions("root", "src", "pos").select("root", "src", "dst").mapInPandas(walk, "root string, depth long")
     return roots.select(F.col("path").alias("root")).distinct().join(deep, "root", "left").select("root", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 

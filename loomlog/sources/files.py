@@ -55,3 +55,10 @@ def write_lines(rows: DataFrame, root: str) -> int:
 
     sorted_rows = rows.select("path", "line_no", "value").repartition("path").sortWithinPartitions("path", "line_no")
     return sum(r["files"] for r in sorted_rows.mapInPandas(write, "files long").collect())  # a row for each task
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """``df``, computed once: written as Parquet to a folder of its own and read back. (A checkpoint computes its plan twice.)"""
+    path = shared_root(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -140,6 +140,21 @@ def test_import_chains(spark, tmp_path):
     assert {x.root: x.depth for x in import_chains(docs, roots).collect()} == {k: depth_first(files, k) for k in [*files, "/gone"]}
 
 
+def test_import_walk_is_streamed(spark, tmp_path):
+    from loomlog.operators.records import import_chains
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "checkpoints"))
+    files = {f"/t/{i}": [f"/t/{(i * 7 + k) % 30}" for k in range(i % 4)] for i in range(30)}
+    docs = spark.createDataFrame([(k, "\n".join(f"@import {x}" for x in v)) for k, v in files.items()], "path string, content string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # roots go on over several batches
+    try:
+        found = import_chains(docs, docs)
+        assert {x.root: x.depth for x in found.collect()} == {k: depth_first(files, k) for k in files}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()  # a call for each file
+
+
 def test_rule_files(spark):
     docs = spark.createDataFrame([("r1", "---\nopen"), ("r2", "see `src/*.py` and `lib/[*` and `*.zig`")], "path string, content string")
     files = spark.createDataFrame([("src/a.py",)], "path string")
