@@ -25,8 +25,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 SCHEMA = "path string, start long, value string, is_new boolean"
@@ -228,8 +230,111 @@ def stream(spark: SparkSession, root: str, log: str, **options: str) -> DataFram
     return spark.readStream.format("growing_lines").option("path", f"{root}/projects").option("log", log).options(**options).load()
 
 
+LINES = "file_path string, project_id string, session_id string, agent_id string, line_no long, value string"
+
+
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt to as many tasks as the session's shuffles have; short rows that stand for whole files are not put together again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _visible(name: str) -> bool:
+    """As Spark's own sources see it."""
+    return not name.startswith(("_", "."))
+
+
+def files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, mtime, size) of the files ``*.jsonl`` of all projects under ``root/projects``, at any depth; names that begin with a dot or an underscore are left out.
+
+    The driver sees the projects' names only. A task lists a project's folder, others the folders of its sessions.
+    """
+    fs, at = open_store(f"{root}/projects")
+    names = [i.base_name for i in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True)) if i.type == pafs.FileType.Directory and _visible(i.base_name)]
+    projects = spark.createDataFrame([(n,) for n in sorted(names)], "project string")
+
+    def rows(infos: list[pafs.FileInfo], at: str, project: str) -> Iterator[pa.RecordBatch]:
+        for n in range(0, len(infos), 10_000):
+            some = infos[n : n + 10_000]
+            cells = [[project] * len(some), [i.path[len(at) + 1 :] for i in some], [i.type == pafs.FileType.Directory for i in some], [(i.mtime_ns or 0) // 1000 for i in some], [i.size or 0 for i in some]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["project", "name", "folder", "mtime", "size"])
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = open_store(f"{root}/projects")
+        for batch in batches:
+            for project in batch.column("project").to_pylist():
+                yield from rows([i for i in fs.get_file_info(pafs.FileSelector(f"{at}/{project}", allow_not_found=True)) if _visible(i.base_name)], at, project)
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = open_store(f"{root}/projects")
+        for batch in batches:
+            yield batch.filter(pc.invert(batch.column("folder")))
+            infos = [i for f in batch.filter(batch.column("folder")).column("name").to_pylist() for i in fs.get_file_info(pafs.FileSelector(f"{at}/{f}", recursive=True, allow_not_found=True))]
+            yield from rows([i for i in infos if i.type == pafs.FileType.File and all(map(_visible, i.path[len(at) + 1 :].split("/")))], at, "")
+
+    shape = "project string, name string, folder boolean, mtime long, size long"
+    found = _spread(projects.mapInArrow(top, shape), "name").mapInArrow(below, shape)
+    return found.filter(F.col("name").endswith(".jsonl")).select(F.concat(F.lit(f"{root}/projects/"), "name").alias("path"), F.timestamp_micros("mtime").alias("mtime"), "size")
+
+
+class _Rows:
+    """Lines of many files, handed on some thousand at a time."""
+
+    def __init__(self) -> None:
+        self.cells: list[list] = [[] for _ in range(6)]
+        self.held = 0
+
+    def add(self, fs: pafs.FileSystem, at: str, same: tuple) -> Iterator[pa.RecordBatch]:
+        """The lines of the file at ``at``, which may be gone; ``same`` is what they have in common."""
+        try:
+            f = fs.open_input_file(at)
+        except FileNotFoundError:
+            return
+        with f:
+            count = 0
+            for some in lines_of(f, 0, f.size(), last=True):
+                values = [v for _, v in some]
+                if any("\r" in v for v in values):  # a carriage return alone ends a line too
+                    values = [x for v in values for x in v.split("\r")]
+                if not count and values[0].startswith("\ufeff"):
+                    values[0] = values[0][1:]
+                n = len(values)
+                for cells, x in zip(self.cells, same, strict=False):
+                    cells.extend([x] * n)
+                self.cells[4].extend(range(count + 1, count + n + 1))
+                self.cells[5].extend(values)
+                count, self.held = count + n, self.held + sum(map(len, values))
+                if self.held > CHUNK or len(self.cells[5]) > 8192:
+                    yield self.batch()
+
+    def batch(self) -> pa.RecordBatch:
+        kinds = [pa.string()] * 4 + [pa.int64(), pa.string()]
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(self.cells, kinds, strict=True)], names=["file_path", "project_id", "session_id", "agent_id", "line_no", "value"])
+        self.cells, self.held = [[] for _ in range(6)], 0
+        return out
+
+
+def all_lines(spark: SparkSession, root: str) -> DataFrame:
+    """(file_path, project_id, session_id, agent_id, line_no, value) of all transcript files; child files named *compact* are left out.
+
+    Files are found as :func:`files` does, and opened by the tasks that have their paths.
+    """
+    part = re.compile(r"/projects/([^/]+)/(?:([^/]+)\.jsonl|([^/]+)/subagents/([^/]+)\.jsonl)$")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = open_store(root)
+        out = _Rows()
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                found = part.search(path)
+                if found and "compact" not in (found[4] or ""):
+                    yield from out.add(fs, f"{at}{path[len(root):]}", (path, found[1], found[2] or found[3], found[4] and found[4].removeprefix("agent-")))
+        yield out.batch()
+
+    return _spread(files(spark, root).select("path"), "path").mapInArrow(task, LINES)
+
+
 def session_lines(keys: DataFrame, root: str) -> DataFrame:
-    """Lines, as :func:`loomlog.sources.transcripts.scan_lines` gives them, of the sessions ``keys`` (project_id, session_id) only.
+    """Lines, as :func:`all_lines` gives them, of the sessions ``keys`` (project_id, session_id) only.
 
     Each session's file and child files are opened by the task that has its key; no other file is listed or read. A session whose file
     is gone has no lines. The last line counts even without a newline.
@@ -237,25 +342,17 @@ def session_lines(keys: DataFrame, root: str) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = open_store(root)
+        out = _Rows()
         for batch in batches:
             for project, session in zip(batch.column("project_id").to_pylist(), batch.column("session_id").to_pylist(), strict=True):
                 folder = f"projects/{project}/{session}"
                 children = fs.get_file_info(pafs.FileSelector(f"{at}/{folder}/subagents", allow_not_found=True))
                 names = sorted(i.base_name[:-6] for i in children if i.type == pafs.FileType.File and i.base_name.endswith(".jsonl") and "compact" not in i.base_name)
-                files = [(f"{folder}.jsonl", None)] + [(f"{folder}/subagents/{n}.jsonl", n.removeprefix("agent-")) for n in names]
-                for path, agent in files:
-                    info = fs.get_file_info(f"{at}/{path}")
-                    if info.type != pafs.FileType.File:
-                        continue
-                    count = 0
-                    with fs.open_input_file(f"{at}/{path}") as f:
-                        for lines in lines_of(f, 0, info.size, last=True):
-                            n = len(lines)
-                            same = [pa.array([x] * n, pa.string()) for x in (f"{root}/{path}", project, session, agent)]
-                            yield pa.RecordBatch.from_arrays([*same, pa.array(range(count + 1, count + n + 1), pa.int64()), pa.array([v for _, v in lines], pa.string())], names=["file_path", "project_id", "session_id", "agent_id", "line_no", "value"])
-                            count += n
-
-    return keys.select("project_id", "session_id").mapInArrow(task, "file_path string, project_id string, session_id string, agent_id string, line_no long, value string")
+                for path, agent in [(f"{folder}.jsonl", None)] + [(f"{folder}/subagents/{n}.jsonl", n.removeprefix("agent-")) for n in names]:
+                    yield from out.add(fs, f"{at}/{path}", (f"{root}/{path}", project, session, agent))
+        yield out.batch()
+
+    return _spread(keys.select("project_id", "session_id"), "project_id", "session_id").mapInArrow(task, LINES)
 
 
 def heads(spark: SparkSession, root: str, most: int = 4096, pattern: str = "*.jsonl") -> DataFrame:

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .growing import files
+
 KEY = ["path", "mtime", "size"]
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, mtime, size) of all transcript files, child files included; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(f"{root}/projects")
-    return files.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    return files(spark, root)
 
 
 def changed(now: DataFrame, manifest: DataFrame) -> DataFrame:

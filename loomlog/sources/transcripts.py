@@ -2,30 +2,22 @@
 
 Layout: ``<root>/projects/<project>/<session>.jsonl`` and ``<root>/projects/<project>/<session>/subagents/agent-<id>.jsonl``. Lines are read as text and
 parsed leniently (blank and malformed lines go), since message content is a string in some lines and a list of blocks in
-others. Line numbers, the only order that counts, come from the place of the file block and the order within it.
+others. Line numbers, the only order that counts, are counted as a file is read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .growing import all_lines
+
 BLOCK = "array<struct<pos:int,type:string,text:string,thinking:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean>>"
 
 
 def scan_lines(spark: SparkSession, root: str) -> DataFrame:
     """(file_path, project_id, session_id, agent_id, line_no, value) of all transcript lines; child files named *compact* are left out."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("ignoreMissingFiles", "true").text(f"{root}/projects")
-    lines = raw.select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("__start")).withColumn("__id", F.monotonically_increasing_id())
-    part = F.regexp_extract("file_path", r"/projects/([^/]+)/([^/]+)(?:/subagents/([^/]+))?$", 1)
-    own = F.regexp_extract("file_path", r"/projects/[^/]+/([^/]+)\.jsonl$", 1)
-    parent, child = F.regexp_extract("file_path", r"/projects/[^/]+/([^/]+)/subagents/[^/]+$", 1), F.regexp_extract("file_path", r"/subagents/([^/]+)\.jsonl$", 1)
-    known = (own != "") | ((parent != "") & ~child.contains("compact"))
-    order = W.partitionBy("file_path").orderBy("__start", "__id")
-    return lines.filter(known).select(
-        "file_path", part.alias("project_id"), F.when(own != "", own).otherwise(parent).alias("session_id"), F.when(own == "", F.regexp_replace(child, "^agent-", "")).alias("agent_id"), F.row_number().over(order).cast("long").alias("line_no"), "value"
-    )
+    return all_lines(spark, root)
 
 
 def parse(lines: DataFrame) -> DataFrame:

@@ -148,3 +148,29 @@ def test_tags_novelty_and_results(spark):
     assert {r.session_id: r.tags for r in X.with_tags(s, stored).collect()} == {"a": ["x", "y"], "b": ["x"]}
     b = spark.createDataFrame([("s", 1, 0, "tool_use", "t", None, None, None), ("s", 2, 0, "tool_result", None, "t", "old", False), ("s", 3, 0, "tool_result", None, "t", "new", True)], "session_id string, line_no long, pos int, type string, id string, tool_use_id string, content string, is_error boolean")
     assert [(r.result, r.result_error) for r in X.with_results(b).filter(F.col("type") == "tool_use").collect()] == [("new", True)]
+
+
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    from loomlog.sources import growing
+    from loomlog.sources.incremental import listing
+    from loomlog.sources.transcripts import scan_lines
+
+    wrote = {"p/a.jsonl": "\ufeffone\r\n\ntwo\rthree", "p/a/subagents/agent-x.jsonl": "child\n", "p/a/subagents/agent-compact-1.jsonl": "no\n", "p/a/other/b.jsonl": "no\n", "p/_b.jsonl": "no\n", ".q/c.jsonl": "no\n", "-q r/d.jsonl": "", "-q r/e.jsonl": "é\n" * 3, "-q r/f.txt": "no\n"}
+    for name, text in wrote.items():
+        path = tmp_path / "projects" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(text.encode())
+    root = f"file://{tmp_path}"
+    lines, files = scan_lines(spark, root), listing(spark, root)
+    want = [("-q r", "e", "", n, "é") for n in (1, 2, 3)] + [("p", "a", "", n, v) for n, v in enumerate(["one", "", "two", "three"], 1)] + [("p", "a", "x", 1, "child")]
+    assert sorted((r.project_id, r.session_id, r.agent_id or "", r.line_no, r.value) for r in lines.collect()) == want
+    seen = {n: len(t.encode()) for n, t in wrote.items() if n not in ("p/_b.jsonl", ".q/c.jsonl", "-q r/f.txt")}
+    assert {r.path.partition("/projects/")[2]: r.size for r in files.collect()} == seen
+    assert all(abs(r.mtime.timestamp() - (tmp_path / "projects" / r.path.partition("/projects/")[2]).stat().st_mtime) < 1e-3 for r in files.collect())
+    plans = [x._jdf.queryExecution().toString() for x in (lines, files)]
+    assert not any("FileScan" in p or "Window" in p for p in plans)  # nothing of a file comes to the driver, no line is sorted
+    keys = spark.createDataFrame([("p", "a"), ("-q r", "e"), ("p", "gone")], "project_id string, session_id string").coalesce(1)
+    own = growing.session_lines(keys, root)
+    assert sorted((r.project_id, r.session_id, r.agent_id or "", r.line_no, r.value) for r in own.collect()) == want
+    assert own.rdd.getNumPartitions() > 1  # keys of one small file, read by several tasks
+    assert scan_lines(spark, f"{root}/none").count() == 0
