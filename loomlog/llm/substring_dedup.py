@@ -92,15 +92,20 @@ class Bits:
 
 
 def filter_of(anchors: DataFrame, most_bits: int = 1 << 28) -> Bits:
-    """Of (anchor); 16 bits each up to ``most_bits`` in all, which bounds what is collected and broadcast."""
-    size = 1 << 10
+    """Of (anchor); 16 bits each up to ``most_bits`` in all, which bounds what is collected and broadcast.
+
+    Tasks make the bitmaps, of 4 KB each, and the driver lays their bytes one behind the other: it never holds a row for each word or anchor.
+    """
+    size = 1 << 15
     n = anchors.count()
     while size < min(most_bits, 16 * n):
         size *= 2
-    place = F.col("anchor").bitwiseAND(F.lit(size - 1))
-    got = anchors.select(F.shiftright(place, 6).alias("i"), F.expr("shiftleft(1L, CAST(anchor & 63L AS INT))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toPandas()
+    place = F.col("anchor").bitwiseAND(F.lit(size - 1)) + 1  # Spark's bitmaps count places and blocks from 1
+    bits = anchors.select(F.bitmap_bucket_number(place).alias("block"), F.bitmap_bit_position(place).alias("at"))
     words = np.zeros(size // 64, np.uint64)
-    words[got["i"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
+    # Dealt by block first: partial bitmaps of each task would be many times the anchors.
+    for r in bits.repartition("block").groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits")).collect():  # 8192 at most
+        words[(r["block"] - 1) * 512 : r["block"] * 512] = np.frombuffer(r["bits"], "<u8")
     return Bits(words)
 
 
